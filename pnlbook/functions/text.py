@@ -72,7 +72,7 @@ def positive_money_text(x: Column, negate: bool = False) -> Column:
 def account_label(kind: Column, size: Column) -> Column:
     """H7: '🏆 Prop Firm · $50,000' / '💼 Live · $25,000'."""
     head = F.when(kind == "prop", F.lit(PROP_LABEL)).otherwise(F.lit(LIVE_LABEL))
-    return F.concat(head, F.lit(LABEL_SEPARATOR), F.format_number(size, "#,##0.###"))
+    return F.concat(head, F.lit(LABEL_SEPARATOR), F.call_function("format_number", size, F.lit("#,##0.###")))
 
 
 def pnl_sign(x: Column) -> Column:

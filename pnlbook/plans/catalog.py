@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pnlbook.functions import text
+from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scores, stats, summaries
 from pnlbook.operators import ingest as ing
-from pnlbook.operators import stats, summaries
 from pnlbook.plans.context import Journal
+from pnlbook.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +40,203 @@ def q_ingest_trades(spark, sf_dir):
 @query("monthly_summary")
 def q_monthly_summary(spark, sf_dir):
     return summaries.monthly_summary(Journal(spark, sf_dir).trades)
+
+
+# ---- parameters of the catalogue (same literals as the SQL oracles) ---------
+USER = 7
+ACCOUNT = 22
+RANGE_FROM, RANGE_TO = "1997-01-01", "1998-12-31"
+API_FROM, API_TO = "1996-01-01", "2000-12-31"
+MONTH = "1998-06"
+DAY = "1998-06-15"
+AS_OF = "2001-08-01 12:00:00"
+
+
+def _j(spark, sf_dir) -> Journal:
+    return Journal(spark, sf_dir)
+
+
+@query("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return ing.rejects(j.raw_trades, j.users)
+
+
+@query("orphan_trades")
+def q_orphan_trades(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return ing.orphans(j.raw_trades, j.users).select("id", "user_id")
+
+
+@query("pnl_only_entries")
+def q_pnl_only_entries(spark, sf_dir):
+    e = ing.pnl_only_entries(_j(spark, sf_dir).trade_changes)
+    return e.select("seq", "type", "entry_price", "exit_price", "pnl")
+
+
+@query("user_trades")
+def q_user_trades(spark, sf_dir):
+    t = filters.date_range(filters.by_user(_j(spark, sf_dir).trades, USER), RANGE_FROM, RANGE_TO)
+    return ordering.newest_first(t).select("id", "date", "type", "pnl")
+
+
+@query("account_trades")
+def q_account_trades(spark, sf_dir):
+    t = filters.by_account(filters.by_user(_j(spark, sf_dir).trades, USER), ACCOUNT)
+    return ordering.newest_first(t).select("id", "date", "pnl")
+
+
+@query("month_trades")
+def q_month_trades(spark, sf_dir):
+    return filters.by_month(_j(spark, sf_dir).trades, MONTH).select("id", "user_id", "date", "pnl")
+
+
+@query("trailing_trades")
+def q_trailing_trades(spark, sf_dir):
+    t = filters.trailing_days(_j(spark, sf_dir).trades, AS_OF, 30)
+    return t.select("id", "user_id", "date", "pnl")
+
+
+@query("day_trades")
+def q_day_trades(spark, sf_dir):
+    t = filters.one_day(_j(spark, sf_dir).trades, DAY)
+    return t.select("id", "user_id", "type", text.currency(F.col("pnl")).alias("pnl_text"),
+                    text.dash_if_empty(F.col("grade")).alias("grade"),
+                    text.dash_if_empty(F.col("notes")).alias("notes"))
+
+
+@query("daily_summary")
+def q_daily_summary(spark, sf_dir):
+    return summaries.daily_summary(_j(spark, sf_dir).trades)
+
+
+@query("api_stats")
+def q_api_stats(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.api_stats(j.trades, j.users, API_FROM, API_TO)
+
+
+@query("stat_card")
+def q_stat_card(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.stat_card(j.trades, j.users)
+
+
+@query("account_stats")
+def q_account_stats(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.account_stats(j.trades, j.accounts, j.users)
+
+
+@query("month_stats")
+def q_month_stats(spark, sf_dir):
+    return stats.month_stats(_j(spark, sf_dir).trades)
+
+
+@query("best_day")
+def q_best_day(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.best_day(j.trades, j.users)
+
+
+@query("side_split")
+def q_side_split(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.side_split(j.trades, j.users)
+
+
+@query("account_counts")
+def q_account_counts(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return stats.account_counts(j.accounts, j.users)
+
+
+@query("equity_curve")
+def q_equity_curve(spark, sf_dir):
+    return curve.equity_curve(_j(spark, sf_dir).trades)
+
+
+@query("equity_curve_90d")
+def q_equity_curve_90d(spark, sf_dir):
+    return curve.equity_curve_range(_j(spark, sf_dir).trades, AS_OF, 90)
+
+
+@query("curve_end")
+def q_curve_end(spark, sf_dir):
+    return curve.curve_end(_j(spark, sf_dir).trades, AS_OF, 365)
+
+
+def _months():
+    first, _ = filters.month_bounds(MONTH)
+    nxt = filters.month_bounds(f"{first.year + (first.month == 12)}-{first.month % 12 + 1:02d}")[0]
+    return [MONTH, nxt.strftime("%Y-%m")]
+
+
+@query("calendar_grid")
+def q_calendar_grid(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return calendar_grid.calendar_grid(j.trades, j.users, _months())
+
+
+@query("calendar_weeks")
+def q_calendar_weeks(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return calendar_grid.calendar_weeks(calendar_grid.calendar_grid(j.trades, j.users, _months()))
+
+
+@query("consistency")
+def q_consistency(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return scores.consistency(j.trades, j.users, AS_OF, 365)
+
+
+@query("edge_scores")
+def q_edge_scores(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return scores.edge_scores(stats.stat_card(j.trades, j.users))
+
+
+@query("card_labels")
+def q_card_labels(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    return scores.card_labels(stats.stat_card(j.trades, j.users))
+
+
+@query("trade_table")
+def q_trade_table(spark, sf_dir):
+    t = ordering.newest_first(_j(spark, sf_dir).trades)
+    return t.select("id", "date", "type", text.currency(F.col("pnl")).alias("pnl_text"),
+                    text.dash_if_empty(F.col("grade")).alias("grade"),
+                    text.dash_if_empty(F.col("notes")).alias("notes"))
+
+
+@query("account_list")
+def q_account_list(spark, sf_dir):
+    a = _j(spark, sf_dir).accounts
+    return (a.orderBy("user_id", "id")
+            .select("user_id", "id", "name", text.account_label(F.col("type"), F.col("size"))
+                    .alias("label")))
+
+
+@query("change_outcomes")
+def q_change_outcomes(spark, sf_dir):
+    return changes.change_outcomes(_j(spark, sf_dir).trade_changes).select("seq", "op", "outcome")
+
+
+@query("live_ledger")
+def q_live_ledger(spark, sf_dir):
+    return (changes.live_ledger(_j(spark, sf_dir).trade_changes)
+            .select("user_id", "id", "date", "type", "pnl", "born", "seq"))
+
+
+@query("account_changes")
+def q_account_changes(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return changes.account_state(changes.account_changes_from_events(ev))
+
+
+@query("user_purge")
+def q_user_purge(spark, sf_dir):
+    j = _j(spark, sf_dir)
+    purged = j.users.filter(F.col("id") % 5 == 0).select(F.col("id").alias("user_id"))
+    return changes.purge_users(j.trades, purged).select("id", "user_id")

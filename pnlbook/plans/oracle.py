@@ -96,3 +96,280 @@ SELECT user_id, month, CAST(trade_count AS BIGINT) AS trade_count, CAST(net_pnl
   {hu('wins*100', 'trade_count', 1, 'DECIMAL(6,1)')} AS win_rate_pct,
   {hu('gw', 'gl', 2, 'DECIMAL(18,2)')} AS profit_factor
 FROM m""")
+
+_MONEY = "DECIMAL(18,4)"
+
+
+def _money_text(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN '+$' ELSE '-$' END || format('{{:,.2f}}', abs({x})))"
+
+
+def _dash(x: str) -> str:
+    return f"COALESCE(NULLIF({x}, ''), '—')"
+
+
+def _num_text(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\\.[0-9]*[1-9])0+$', '\\1'),"
+            f" '\\.0+$', '')")
+
+
+# Base aggregates over a trades-like relation; gw / gl in ten-thousandths.
+def _base(src: str, keys: str) -> str:
+    return f"""SELECT {keys}, COUNT(*) AS total,
+    SUM(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS wins, SUM(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS losses,
+    SUM(pnl) AS net, CAST(SUM(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) * 10000 AS HUGEINT) AS gw,
+    CAST(-SUM(CASE WHEN pnl < 0 THEN pnl ELSE 0 END) * 10000 AS HUGEINT) AS gl,
+    SUM(CASE WHEN type = 'LONG' THEN 1 ELSE 0 END) AS longs,
+    SUM(CASE WHEN type = 'SHORT' THEN 1 ELSE 0 END) AS shorts
+  FROM {src} GROUP BY {keys}"""
+
+
+# The stat card over a relation b(keys, total, wins, losses, net, gw, gl, longs, shorts),
+# NULLs (no trades) read as 0.
+def _card(b: str, keys: str, nested: bool = False) -> str:
+    lead = "WITH" if nested else "\n,"
+    return f"""{lead} z AS (SELECT {keys}, CAST(COALESCE(total,0) AS BIGINT) AS total, CAST(COALESCE(wins,0) AS BIGINT) AS wins,
+    CAST(COALESCE(losses,0) AS BIGINT) AS losses, CAST(COALESCE(net,0) AS {_MONEY}) AS net,
+    COALESCE(gw,0) AS gw, COALESCE(gl,0) AS gl, CAST(COALESCE(longs,0) AS BIGINT) AS longs,
+    CAST(COALESCE(shorts,0) AS BIGINT) AS shorts FROM {b}),
+ca AS (SELECT *, CASE WHEN wins > 0 THEN (2*gw + 100*wins) // (200*wins) ELSE 0 END AS aw_c,
+    CASE WHEN losses > 0 THEN (2*gl + 100*losses) // (200*losses) ELSE 0 END AS al_c FROM z)
+SELECT {keys}, total, wins, losses, net AS net_pnl,
+  CAST(CAST(gw AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_MONEY}) AS gross_win,
+  CAST(CAST(gl AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_MONEY}) AS gross_loss,
+  COALESCE({hu('wins*100', 'total', 1, 'DECIMAL(6,1)')}, CAST(0 AS DECIMAL(6,1))) AS win_rate,
+  CASE WHEN gl > 0 THEN {hu('gw', 'gl', 2, 'DECIMAL(18,2)')}
+       WHEN gw > 0 THEN NULL ELSE CAST(0 AS DECIMAL(18,2)) END AS profit_factor,
+  (gl = 0 AND gw > 0) AS pf_unbounded,
+  CAST(CAST(aw_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS avg_win,
+  CAST(CAST(al_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS avg_loss,
+  CASE WHEN aw_c > 0 AND al_c > 0 THEN {hu('aw_c', 'al_c', 2, 'DECIMAL(18,2)')} END AS avg_rr,
+  longs, shorts
+FROM ca"""
+
+
+def _stat_card(nested: bool = False) -> str:
+    lead = "WITH" if nested else "\n,"
+    return f"""{lead} b AS ({_base('trades', 'user_id')}),
+j AS (SELECT u.id AS user_id, b.* EXCLUDE (user_id) FROM users u LEFT JOIN b ON b.user_id = u.id)
+{_card('j', 'user_id')}"""
+
+
+_TRAIL = "CAST(date AS TIMESTAMP) >= TIMESTAMP '2001-08-01 12:00:00' - INTERVAL {n} DAY"
+
+oracle("ingest_rejects")("""
+, k AS (SELECT r.*, CAST(ROUND(CASE WHEN r.type = 'LONG' THEN r.exit_price - r.entry_price
+      ELSE r.entry_price - r.exit_price END * CAST(COALESCE(NULLIF(r.position_size, 0), 1) AS DECIMAL(18,4)), 2)
+      AS DECIMAL(38,8)) AS p, EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id) AS known
+  FROM raw_trades r),
+x AS (SELECT id, concat_ws(',',
+    CASE WHEN date IS NULL THEN 'missing_date' END,
+    CASE WHEN type IS NULL THEN 'missing_type' END,
+    CASE WHEN entry_price IS NULL THEN 'missing_entry_price' END,
+    CASE WHEN exit_price IS NULL THEN 'missing_exit_price' END,
+    CASE WHEN type IS NOT NULL AND type NOT IN ('LONG','SHORT') THEN 'bad_type' END,
+    CASE WHEN length(grade) > 3 THEN 'bad_grade' END,
+    CASE WHEN type IN ('LONG','SHORT') AND entry_price IS NOT NULL AND exit_price IS NOT NULL
+         AND abs(p) >= 100000000000000 THEN 'out_of_range' END,
+    CASE WHEN NOT known THEN 'unknown_user' END) AS reasons FROM k)
+SELECT id, reasons FROM x WHERE reasons <> ''""")
+
+oracle("orphan_trades")("""
+SELECT id, user_id FROM raw_trades r WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id)""")
+
+oracle("pnl_only_entries")("""
+, e AS (SELECT seq, type, CAST(100 AS DECIMAL(18,4)) AS entry_price,
+    CAST(CASE WHEN type = 'LONG' THEN 100 + pnl_input ELSE 100 - pnl_input END AS DECIMAL(18,4)) AS exit_price
+  FROM trade_changes WHERE date IS NOT NULL AND pnl_input IS NOT NULL)
+SELECT seq, type, entry_price, exit_price,
+  CAST(ROUND(CASE WHEN type = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END, 2)
+    AS DECIMAL(18,4)) AS pnl FROM e""")
+
+oracle("user_trades")("""
+SELECT id, date, type, pnl FROM trades WHERE user_id = 7 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
+
+oracle("account_trades")("""
+SELECT id, date, pnl FROM trades WHERE user_id = 7 AND list_contains(account_ids, 22)""")
+
+oracle("month_trades")("""
+SELECT id, user_id, date, pnl FROM trades WHERE year(date) = 1998 AND month(date) = 6""")
+
+oracle("trailing_trades")(f"""
+SELECT id, user_id, date, pnl FROM trades WHERE {_TRAIL.format(n=30)}""")
+
+oracle("day_trades")(f"""
+SELECT id, user_id, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS grade, {_dash('notes')} AS notes
+FROM trades WHERE date = DATE '1998-06-15'""")
+
+oracle("daily_summary")("""
+SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS DECIMAL(18,4)) AS daily_pnl,
+  CAST(SUM(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+  CAST(SUM(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
+  CAST(SUM(CASE WHEN type = 'LONG' THEN 1 ELSE 0 END) AS BIGINT) AS longs,
+  CAST(SUM(CASE WHEN type = 'SHORT' THEN 1 ELSE 0 END) AS BIGINT) AS shorts
+FROM trades GROUP BY user_id, date""")
+
+oracle("api_stats")(f"""
+, b AS ({_base("(SELECT * FROM trades WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')", 'user_id')}),
+j AS (SELECT u.id AS user_id, b.* EXCLUDE (user_id) FROM users u LEFT JOIN b ON b.user_id = u.id),
+c AS ({_card('j', 'user_id', nested=True)})
+SELECT user_id, total, wins, losses, win_rate,
+  CASE WHEN gross_loss > 0 THEN profit_factor END AS profit_factor, net_pnl, longs, shorts FROM c""")
+
+oracle("stat_card")(_stat_card())
+
+oracle("account_stats")(f"""
+, pairs AS (SELECT user_id, type, pnl, unnest(account_ids) AS account_id FROM trades),
+pa AS ({_base('pairs', 'user_id, account_id')}),
+ja AS (SELECT a.user_id, a.id AS account_id, pa.* EXCLUDE (user_id, account_id)
+  FROM accounts a LEFT JOIN pa ON pa.user_id = a.user_id AND pa.account_id = a.id),
+pu AS ({_base('trades', 'user_id')}),
+ju AS (SELECT u.id AS user_id, CAST(NULL AS INT) AS account_id, pu.* EXCLUDE (user_id)
+  FROM users u LEFT JOIN pu ON pu.user_id = u.id),
+jj AS (SELECT * FROM ja UNION ALL SELECT * FROM ju)
+{_card('jj', 'user_id, account_id')}""")
+
+oracle("month_stats")(f"""
+, m AS (SELECT user_id, strftime(date, '%Y-%m') AS month, pnl, type FROM trades),
+b AS ({_base('m', 'user_id, month')})
+{_card('b', 'user_id, month')}""")
+
+oracle("best_day")("""
+, d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades GROUP BY user_id, date),
+m AS (SELECT user_id, MAX(s) AS mx FROM d GROUP BY user_id)
+SELECT u.id AS user_id, CAST(greatest(COALESCE(m.mx, 0), 0) AS DECIMAL(18,4)) AS best_day
+FROM users u LEFT JOIN m ON m.user_id = u.id""")
+
+oracle("side_split")("""
+, s AS (SELECT user_id, SUM(CASE WHEN type='LONG' THEN 1 ELSE 0 END) AS l,
+    SUM(CASE WHEN type='SHORT' THEN 1 ELSE 0 END) AS s FROM trades GROUP BY user_id)
+SELECT u.id AS user_id, CAST(COALESCE(l, 0) AS BIGINT) AS longs, CAST(COALESCE(s.s, 0) AS BIGINT) AS shorts
+FROM users u LEFT JOIN s ON s.user_id = u.id""")
+
+oracle("account_counts")("""
+, c AS (SELECT user_id, COUNT(*) AS n FROM accounts GROUP BY user_id)
+SELECT u.id AS user_id, CAST(COALESCE(n, 0) AS BIGINT) AS accounts FROM users u LEFT JOIN c ON c.user_id = u.id""")
+
+_CURVE = """
+, d AS (SELECT user_id, date, CAST(SUM(pnl) AS DECIMAL(18,4)) AS daily_pnl FROM trades {where} GROUP BY user_id, date)
+SELECT user_id, date, daily_pnl,
+  CAST(SUM(daily_pnl) OVER (PARTITION BY user_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AS DECIMAL(18,4)) AS cum_pnl
+FROM d"""
+
+oracle("equity_curve")(_CURVE.format(where=""))
+oracle("equity_curve_90d")(_CURVE.format(where="WHERE " + _TRAIL.format(n=90)))
+
+oracle("curve_end")(f"""
+, f AS (SELECT user_id, CAST(SUM(pnl) AS DECIMAL(18,4)) AS final_pnl FROM trades
+  WHERE {_TRAIL.format(n=365)} GROUP BY user_id)
+SELECT user_id, final_pnl, CASE WHEN final_pnl >= 0 THEN 'up' ELSE 'down' END AS trend FROM f""")
+
+_GRID = """
+, um AS (SELECT u.id AS user_id, m.first FROM users u CROSS JOIN
+    (VALUES (DATE '1998-06-01'), (DATE '1998-07-01')) m(first)),
+gm AS (SELECT user_id, first, dayofweek(first) AS lead, day(last_day(first)) AS ndays FROM um),
+cells AS (SELECT user_id, first, lead, ndays, unnest(range(0, CAST(ceil((lead + ndays) / 7.0) * 7 AS BIGINT))) AS cell
+  FROM gm),
+g AS (SELECT user_id, strftime(first, '%Y-%m') AS month, CAST(cell // 7 AS INT) AS week_index,
+    CAST(cell % 7 AS INT) AS dow,
+    CASE WHEN cell - lead >= 0 AND cell - lead < ndays THEN CAST(first + CAST(cell - lead AS INT) AS DATE) END AS date,
+    strftime(first, '%B %Y') AS month_label FROM cells),
+d AS (SELECT user_id, date, COUNT(*) AS n, SUM(pnl) AS p FROM trades
+  WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-07-31' GROUP BY user_id, date),
+grid AS (
+SELECT g.user_id, g.month, g.week_index, g.dow, g.date, CAST(COALESCE(d.n, 0) AS BIGINT) AS trade_count,
+  CAST(d.p AS DECIMAL(18,4)) AS pnl,
+  CASE WHEN COALESCE(d.n, 0) = 0 THEN 'empty' WHEN d.p > 0 THEN 'profit' ELSE 'loss' END AS day_class,
+  CASE WHEN d.n > 0 THEN CASE WHEN d.p >= 0 THEN 'pos' ELSE 'neg' END END AS pnl_sign,
+  g.month_label,
+  CASE WHEN d.n > 0 THEN CAST(d.n AS VARCHAR) || ' trade' || CASE WHEN d.n > 1 THEN 's' ELSE '' END END AS count_text
+FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.date = g.date)"""
+
+oracle("calendar_grid")(_GRID + "\nSELECT * FROM grid")
+
+oracle("calendar_weeks")(_GRID + """
+SELECT user_id, month, week_index, CAST(COALESCE(SUM(pnl), 0) AS DECIMAL(18,4)) AS week_pnl,
+  CASE WHEN COALESCE(SUM(pnl), 0) >= 0 THEN 'pos' ELSE 'neg' END AS week_sign
+FROM grid GROUP BY user_id, month, week_index""")
+
+oracle("consistency")(f"""
+, d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades WHERE {_TRAIL.format(n=365)} GROUP BY user_id, date),
+m AS (SELECT user_id, SUM(s) AS net, MAX(s) AS mx FROM d GROUP BY user_id),
+c AS (SELECT u.id AS user_id, CAST(COALESCE(net, 0) AS DECIMAL(18,4)) AS net,
+    CAST(greatest(COALESCE(mx, 0), 0) AS DECIMAL(18,4)) AS best_day FROM users u LEFT JOIN m ON m.user_id = u.id)
+SELECT user_id, net, best_day,
+  CASE WHEN net > 0 THEN {hu('CAST(best_day * 10000 AS HUGEINT) * 100', 'CAST(net * 10000 AS HUGEINT)', 1, 'DECIMAL(6,1)')} END
+    AS consistency_pct,
+  CASE WHEN net <= 0 THEN 'none' WHEN best_day * 100 < net * 30 THEN 'good'
+       WHEN best_day * 100 > net * 50 THEN 'poor' ELSE 'fair' END AS band
+FROM c""")
+
+oracle("edge_scores")(f"""
+, card AS ({_stat_card(nested=True)}),
+k AS (SELECT user_id, win_rate, pf_unbounded, CAST(profit_factor * 100 AS HUGEINT) AS pf_c,
+    CAST(avg_rr * 100 AS HUGEINT) AS rr_c FROM card)
+SELECT user_id, CAST(win_rate AS DECIMAL(10,4)) AS win_score,
+  CASE WHEN pf_unbounded THEN CAST(100 AS DECIMAL(10,4))
+       ELSE COALESCE(least({hu('pf_c', '3', 4, 'DECIMAL(10,4)')}, CAST(100 AS DECIMAL(10,4))), CAST(0 AS DECIMAL(10,4))) END
+    AS pf_score,
+  COALESCE(least({hu('rr_c', '3', 4, 'DECIMAL(10,4)')}, CAST(100 AS DECIMAL(10,4))), CAST(0 AS DECIMAL(10,4))) AS rr_score
+FROM k""")
+
+oracle("card_labels")(f"""
+, card AS ({_stat_card(nested=True)})
+SELECT user_id, {_money_text('net_pnl')} AS net_text, {_num_text('win_rate')} || '%' AS wr_text,
+  CASE WHEN pf_unbounded THEN '∞' ELSE {_num_text('profit_factor')} END AS pf_text,
+  CASE WHEN avg_rr IS NULL THEN '—' ELSE {_num_text('avg_rr')} || 'R' END AS rr_text,
+  CASE WHEN avg_win > 0 THEN {_money_text('avg_win')} ELSE '—' END AS avg_win_text,
+  CASE WHEN avg_loss > 0 THEN {_money_text('-avg_loss')} ELSE '—' END AS avg_loss_text,
+  CASE WHEN net_pnl > 0 THEN 'green' WHEN net_pnl < 0 THEN 'red' ELSE 'neutral' END AS net_class,
+  CASE WHEN win_rate >= 50 THEN 'green' ELSE 'red' END AS wr_class,
+  CASE WHEN pf_unbounded OR profit_factor >= 1 THEN 'green' ELSE 'red' END AS pf_class,
+  CASE WHEN avg_rr IS NULL THEN 'neutral' WHEN avg_rr >= 1 THEN 'green' ELSE 'red' END AS rr_class
+FROM card""")
+
+oracle("trade_table")(f"""
+SELECT id, date, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS grade, {_dash('notes')} AS notes
+FROM trades""")
+
+oracle("account_list")("""
+SELECT user_id, id, name,
+  CASE WHEN type = 'prop' THEN '🏆 Prop Firm' ELSE '💼 Live' END || ' · $' || format('{:,}', CAST(size AS BIGINT)) AS label
+FROM accounts""")
+
+oracle("change_outcomes")("""
+, c AS (SELECT *, MAX(CASE WHEN op='I' THEN seq END) OVER w AS li, MAX(CASE WHEN op='D' THEN seq END) OVER w AS ld
+  FROM trade_changes
+  WINDOW w AS (PARTITION BY user_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, COALESCE(li,-1) > COALESCE(ld,-1) AS present FROM c)
+SELECT seq, op, CASE op WHEN 'I' THEN CASE WHEN present THEN 'duplicate' ELSE 'created' END
+                        WHEN 'U' THEN CASE WHEN present THEN 'updated' ELSE 'not_found' END
+                        ELSE CASE WHEN present THEN 'deleted' ELSE 'not_found' END END AS outcome
+FROM o""")
+
+_LIVE = """
+, c AS (SELECT *, MAX(CASE WHEN op='D' THEN seq END) OVER (PARTITION BY user_id,id) AS last_d FROM {src}),
+a AS (SELECT *, MIN(CASE WHEN op='I' THEN seq END) OVER (PARTITION BY user_id,id) AS born FROM c
+  WHERE seq > COALESCE(last_d,-1)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id,id ORDER BY seq DESC) AS rn FROM a
+  WHERE born IS NOT NULL AND (seq = born OR (op='U' AND seq > born)))"""
+
+oracle("live_ledger")(_LIVE.format(src="trade_changes") + """
+SELECT user_id, id, date, type, CAST(ROUND(pnl_input, 2) AS DECIMAL(18,4)) AS pnl, born, seq FROM r WHERE rn = 1""")
+
+oracle("account_changes")("""
+, f AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
+    user_id, user_id*3 + event_id % 3 AS id,
+    trim(CASE WHEN event_id % 13 = 0 THEN NULL
+         ELSE '  ' || event_type || '-' || CAST(event_id % 7 AS VARCHAR) || ' ' END) AS name,
+    CASE event_type WHEN 'purchase' THEN 'prop' WHEN 'click' THEN 'live' ELSE 'live' END AS type,
+    COALESCE(TRY_CAST(CASE WHEN event_type = 'view' THEN 'n/a'
+        ELSE CAST(CAST(ROUND(value * 1000, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS DECIMAL(18,4)),
+      CAST(0 AS DECIMAL(18,4))) AS size
+  FROM events),
+acc AS (SELECT * FROM f WHERE op = 'D' OR COALESCE(name <> '', false))""" + _LIVE.format(src="acc") + """
+SELECT user_id, id, name, type, size FROM r WHERE rn = 1""")
+
+oracle("user_purge")("""
+SELECT id, user_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id AND u.id % 5 = 0)""")
