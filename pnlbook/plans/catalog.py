@@ -16,7 +16,10 @@ from pnlbook.functions import text
 from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scores, stats, summaries
 from pnlbook.operators import ingest as ing
 from pnlbook.plans.context import Journal
+from pnlbook.session import scratch_dir
+from pnlbook.sources import export, ledger
 from pnlbook.sources.tables import read_table
+from pnlbook.streaming import feed, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,3 +243,121 @@ def q_user_purge(spark, sf_dir):
     j = _j(spark, sf_dir)
     purged = j.users.filter(F.col("id") % 5 == 0).select(F.col("id").alias("user_id"))
     return changes.purge_users(j.trades, purged).select("id", "user_id")
+
+
+# ---- sources, sinks and the other ingest steps -------------------------------
+
+@query("json_ingest")
+def q_json_ingest(spark, sf_dir):
+    """A3 + B10: the entries travel as JSON text and are parsed back."""
+    j = _j(spark, sf_dir)
+    as_json = j.raw_trades.select(F.to_json(F.struct(*j.raw_trades.columns)).alias("value"))
+    parsed = ledger.entries_from_json(as_json, "value")
+    t = ing.ingest(parsed.filter(~F.col("corrupt")).drop("corrupt"), j.users)
+    return t.select("id", "user_id", "date", "type", "entry_price", "exit_price", "position_size",
+                    "pnl", "grade", "mental", "notes", "initial_risk")
+
+
+@query("ledger_roundtrip")
+def q_ledger_roundtrip(spark, sf_dir):
+    """A4 then A1: write the ledger by month into the shared scratch folder
+    and read it back."""
+    path = scratch_dir(spark, "ledger")
+    ledger.write_ledger(_j(spark, sf_dir).trades, path)
+    back = ledger.read_ledger(spark, path)
+    return back.groupBy("user_id", "month").agg(F.count(F.lit(1)).alias("trade_count"))
+
+
+@query("csv_lines")
+def q_csv_lines(spark, sf_dir):
+    return export.csv_lines(_j(spark, sf_dir).trades)
+
+
+def dirty_accounts(accounts: DataFrame) -> DataFrame:
+    """Account edits with planted faults: padded names, blank names, type
+    text in the wrong case or missing, sizes that are not numbers."""
+    k = F.col("id")
+    return accounts.select(
+        "id", "user_id",
+        F.when(k % 7 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.col("name"), F.lit(" ")))
+         .alias("name"),
+        F.when(k % 4 == 1, F.upper(F.col("type"))).when(k % 4 == 2, F.lit(None).cast("string"))
+         .otherwise(F.col("type")).alias("type"),
+        F.when(k % 5 == 0, F.lit("abc")).otherwise(F.col("size").cast("string")).alias("size"))
+
+
+@query("accounts_normalised")
+def q_accounts_normalised(spark, sf_dir):
+    n = ing.normalise_accounts(dirty_accounts(_j(spark, sf_dir).accounts))
+    return n.filter("valid").select("id", "user_id", "name", "type", "size")
+
+
+@query("default_accounts")
+def q_default_accounts(spark, sf_dir):
+    """Entries whose account list is missing (every 13th) get all of
+    their user's accounts."""
+    j = _j(spark, sf_dir)
+    entries = j.trades.select(
+        "id", "user_id",
+        F.when(F.col("id") % 13 == 0, F.lit(None).cast("array<int>"))
+         .otherwise(F.col("account_ids")).alias("account_ids"))
+    return ing.default_account_pairs(entries, j.accounts).select("id", "account_id")
+
+
+@query("new_users")
+def q_new_users(spark, sf_dir):
+    """Sign-ups named NATION_<custkey % 40>; names 0-24 are taken."""
+    j = _j(spark, sf_dir)
+    cand = read_table(spark, sf_dir, "customer", "c_custkey").select(
+        F.concat(F.lit("NATION_"), (F.col("c_custkey") % 40).cast("string")).alias("username"),
+        F.col("c_custkey").alias("seq"))
+    return ing.new_users(cand, j.users).select("username", "seq")
+
+
+# ---- streams ---------------------------------------------------------------------
+
+STREAM_SLICES = 3
+
+
+def _staged_stream(spark, sf_dir, name, start):
+    """Write the events feed in seq slices; after each slice run the stream
+    (availableNow) from the same checkpoint. Returns the scratch root."""
+    root = scratch_dir(spark, name)
+    src, ckpt = f"{root}/source", f"{root}/checkpoint"
+    ev = read_table(spark, sf_dir, "events")
+
+    def run(_i):
+        q = start(src, root, ckpt)
+        q.awaitTermination()
+
+    feed.feed_in_slices(ev, "event_id", STREAM_SLICES, src, run)
+    return root
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    root = _staged_stream(spark, sf_dir, "s1", lambda src, r, ck: jobs.run_ingest(
+        spark, src, f"{r}/sink", f"{r}/rejects", ck))
+    return spark.read.parquet(f"{root}/sink").select("seq", "type", "entry_price", "exit_price", "pnl")
+
+
+@query("stream_daily_summary")
+def q_stream_daily_summary(spark, sf_dir):
+    root = _staged_stream(spark, sf_dir, "s2", lambda src, r, ck: jobs.run_daily_summary(
+        spark, src, f"{r}/sink", ck))
+    return jobs.latest_per_key(spark, f"{root}/sink", ["user_id", "date"])
+
+
+@query("stream_ledger")
+def q_stream_ledger(spark, sf_dir):
+    last = {}
+
+    def start(src, r, ck):
+        q = jobs.run_ledger(spark, src, f"{r}/ledger", ck)
+        last["q"] = q
+        return q
+
+    root = _staged_stream(spark, sf_dir, "s3", start)
+    version = last["q"].lastProgress["batchId"]
+    snap = spark.read.parquet(jobs.snapshot_path(f"{root}/ledger", version))
+    return snap.select("user_id", "id", "date", "type", "pnl", "born", "seq")

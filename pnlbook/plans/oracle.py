@@ -373,3 +373,51 @@ SELECT user_id, id, name, type, size FROM r WHERE rn = 1""")
 
 oracle("user_purge")("""
 SELECT id, user_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id AND u.id % 5 = 0)""")
+
+QUERIES["json_ingest"] = QUERIES["ingest_trades"]
+
+oracle("ledger_roundtrip")("""
+SELECT user_id, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS trade_count
+FROM trades GROUP BY user_id, strftime(date, '%Y-%m')""")
+
+
+def _q(x: str) -> str:
+    return f"""'"' || replace(COALESCE({x}, ''), '"', '""') || '"'"""
+
+
+oracle("csv_lines")("""
+SELECT id, """ + " || ',' || ".join([
+    _q("CAST(id AS VARCHAR)"), _q("strftime(date, '%Y-%m-%d')"), _q("type"),
+    _q("CAST(entry_price AS VARCHAR)"), _q("CAST(exit_price AS VARCHAR)"),
+    _q("CAST(position_size AS VARCHAR)"), _q(_num_text("pnl")), _q("notes"),
+    _q("strftime(created_at, '%Y-%m-%d %H:%M:%S')")]) + """ AS line
+FROM trades""")
+
+oracle("accounts_normalised")("""
+, d AS (SELECT id, user_id,
+    CASE WHEN id % 7 = 0 THEN '   ' ELSE '  ' || name || ' ' END AS name,
+    CASE WHEN id % 4 = 1 THEN upper(type) WHEN id % 4 = 2 THEN NULL ELSE type END AS type,
+    CASE WHEN id % 5 = 0 THEN 'abc' ELSE CAST(size AS VARCHAR) END AS size FROM accounts)
+SELECT id, user_id, trim(name) AS name,
+  CASE WHEN type IN ('live', 'prop') THEN type ELSE 'live' END AS type,
+  COALESCE(TRY_CAST(size AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4))) AS size
+FROM d WHERE trim(name) <> ''""")
+
+oracle("default_accounts")("""
+, e AS (SELECT id, user_id, CASE WHEN id % 13 = 0 THEN NULL ELSE account_ids END AS account_ids FROM trades)
+SELECT id, CAST(unnest(account_ids) AS INT) AS account_id FROM e WHERE account_ids IS NOT NULL
+UNION ALL
+SELECT e.id, a.id AS account_id FROM e JOIN accounts a ON a.user_id = e.user_id WHERE e.account_ids IS NULL""")
+
+oracle("new_users")("""
+, c AS (SELECT 'NATION_' || CAST(c_custkey % 40 AS VARCHAR) AS username, c_custkey AS seq FROM customer)
+SELECT username, MIN(seq) AS seq FROM c WHERE username NOT IN (SELECT username FROM users) GROUP BY username""")
+
+QUERIES["stream_ingest"] = QUERIES["pnl_only_entries"]
+
+oracle("stream_daily_summary")("""
+SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count,
+  CAST(SUM(ROUND(pnl_input, 2)) AS DECIMAL(18,4)) AS daily_pnl
+FROM trade_changes WHERE op = 'I' GROUP BY user_id, date""")
+
+QUERIES["stream_ledger"] = QUERIES["live_ledger"]
