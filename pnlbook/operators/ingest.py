@@ -57,11 +57,12 @@ def with_pnl(df: DataFrame) -> DataFrame:
 def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
     """Add ``reasons`` (comma list, '' when clean) and ``pnl``.
 
-    The users side is one row per id and is broadcast only under a checked
-    row bound; otherwise this is a shuffle join on user_id.
+    ``users.id`` is the users' primary key (one row per id). The users side
+    is broadcast only under a checked row bound; otherwise this is a
+    shuffle join on user_id.
     """
     known = bounded_broadcast(users.select(F.col("id").alias("user_id"),
-                                           F.lit(True).alias("_known")).dropDuplicates(["user_id"]))
+                                           F.lit(True).alias("_known")))
     df = with_pnl(raw).join(known, "user_id", "left")
     side_ok = F.col("type").isin(*SIDES)
     checks = [

@@ -11,10 +11,9 @@ fields, empty account lists) exercise every check of the ingest step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pnlbook.functions.money import dec
 from pnlbook.schemas import MONEY
 from pnlbook.sources.tables import read_table
 
@@ -30,13 +29,6 @@ ACCOUNTS_PER_USER = 3
 ACCOUNT_UNIT_SIZE = 25000
 
 
-def _case_map(c: Column, mapping: dict, default) -> Column:
-    out = None
-    for k, v in mapping.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out.otherwise(F.lit(default))
-
-
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     return n.select(F.col("n_nationkey").cast("int").alias("id"),
@@ -56,40 +48,42 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order = one trade entry, before any check."""
+    """One order = one trade entry, before any check.
+
+    The derivation is a single projection of SQL expressions over the
+    join, so the plan is built with a handful of calls.
+    """
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice",
                    "o_orderdate", "o_orderpriority")
     c = (read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
          .filter(F.col("c_nationkey") != NO_TRADE_USER))
     b = o.join(c, o["o_custkey"] == c["c_custkey"])
-    key = F.col("o_orderkey")
-    base_price = (F.lit(100) + F.col("o_custkey") % 50).cast(MONEY)
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    exit_move = (cents % 201 - 100).cast("decimal(10,4)") * dec("0.25")
-    user_id = F.when(key % 97 == 0, F.lit(UNKNOWN_USER)).otherwise(F.col("c_nationkey")).cast("int")
-    prio = F.col("o_orderpriority")
-    mask = (key % 8).cast("int")
-    acct = [F.when((mask.bitwiseAND(1 << k)) != 0, user_id * ACCOUNTS_PER_USER + k)
-            for k in range(ACCOUNTS_PER_USER)]
-    return b.select(
-        key.alias("id"),
-        user_id.alias("user_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.when(key % 89 == 0, F.lit("FLAT"))
-         .when(prio.isin(LONG_PRIORITIES), F.lit("LONG")).otherwise(F.lit("SHORT")).alias("type"),
-        F.when(key % 83 == 0, F.lit(None).cast(MONEY)).otherwise(base_price).alias("entry_price"),
-        (base_price + exit_move).cast(MONEY).alias("exit_price"),
-        F.when(key % 11 == 0, F.lit(None).cast(MONEY))
-         .otherwise(((key % 5).cast("decimal(10,4)") * dec("0.5")).cast(MONEY)).alias("position_size"),
-        _case_map(prio, PRIORITY_GRADE, "").alias("grade"),
-        _case_map(F.col("c_mktsegment"), SEGMENT_MOOD, OTHER_MOOD).alias("mental"),
-        F.when(key % 4 == 0, F.lit(None).cast(MONEY))
-         .otherwise((key % 30).cast(MONEY)).alias("initial_risk"),
-        F.when(key % 3 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit('  note "'), prio, F.lit('", seg '), F.col("c_mktsegment"),
-                             F.lit(" "))).alias("notes"),
-        F.filter(F.array(*acct), lambda x: x.isNotNull()).alias("account_ids"),
-        F.col("o_orderdate").alias("created_at"),
+    grade = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY_GRADE.items())
+    mood = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_MOOD.items())
+    longs = ", ".join(f"'{p}'" for p in LONG_PRIORITIES)
+    price = "CAST(100 + o_custkey % 50 AS DECIMAL(18,4))"
+    user = f"CAST(CASE WHEN o_orderkey % 97 = 0 THEN {UNKNOWN_USER} ELSE c_nationkey END AS INT)"
+    acct = ", ".join(f"CASE WHEN (o_orderkey % 8) & {1 << k} <> 0 THEN {user} * "
+                     f"{ACCOUNTS_PER_USER} + {k} END" for k in range(ACCOUNTS_PER_USER))
+    return b.selectExpr(
+        "o_orderkey AS id",
+        f"{user} AS user_id",
+        "CAST(o_orderdate AS DATE) AS date",
+        f"CASE WHEN o_orderkey % 89 = 0 THEN 'FLAT' WHEN o_orderpriority IN ({longs}) THEN 'LONG' "
+        "ELSE 'SHORT' END AS type",
+        f"CASE WHEN o_orderkey % 83 = 0 THEN NULL ELSE {price} END AS entry_price",
+        f"CAST({price} + CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) % 201 - 100 AS DECIMAL(10,4))"
+        " * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(18,4)) AS exit_price",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_orderkey % 5 AS DECIMAL(10,4)) "
+        "* CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(18,4)) END AS position_size",
+        f"CASE o_orderpriority {grade} ELSE '' END AS grade",
+        f"CASE c_mktsegment {mood} ELSE '{OTHER_MOOD}' END AS mental",
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 30 AS DECIMAL(18,4)) END "
+        "AS initial_risk",
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('  note \"', o_orderpriority, "
+        "'\", seg ', c_mktsegment, ' ') END AS notes",
+        f"filter(array({acct}), x -> x IS NOT NULL) AS account_ids",
+        "o_orderdate AS created_at",
     )
 
 
@@ -100,17 +94,10 @@ def trade_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes_from_events(ev: DataFrame) -> DataFrame:
     """events -> trade change feed; seq = event_id is the arrival order."""
-    et = F.col("event_type")
-    return ev.select(
-        F.col("event_id").alias("seq"),
-        F.col("ts"),
-        F.when(et == "signup", F.lit("I")).when(et == "error", F.lit("D"))
-         .otherwise(F.lit("U")).alias("op"),
-        F.col("user_id"),
-        (F.col("user_id") * 10 + F.col("event_id") % 10).alias("id"),
-        F.col("ts").cast("date").alias("date"),
-        F.when(et.isin("click", "signup"), F.lit("LONG")).otherwise(F.lit("SHORT")).alias("type"),
-        F.when(F.col("event_id") % 2 == 0, F.col("value"))
-         .otherwise(-F.col("value")).cast(MONEY).alias("pnl_input"),
-        F.col("props"),
-    )
+    return ev.selectExpr(
+        "event_id AS seq", "ts",
+        "CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op",
+        "user_id", "user_id * 10 + event_id % 10 AS id", "CAST(ts AS DATE) AS date",
+        "CASE WHEN event_type IN ('click', 'signup') THEN 'LONG' ELSE 'SHORT' END AS type",
+        "CAST(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS DECIMAL(18,4)) AS pnl_input",
+        "props")
