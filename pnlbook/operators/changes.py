@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pnlbook.operators.ingest import normalise_accounts, pnl_only_entries
+from pnlbook.plans.joins import bounded_broadcast
 from pnlbook.schemas import MONEY
 
 KEY = ["user_id", "id"]
@@ -172,5 +173,6 @@ def account_changes_from_events(ev: DataFrame) -> DataFrame:
 # ---- users (I6) --------------------------------------------------------------
 
 def purge_users(trades: DataFrame, purged: DataFrame) -> DataFrame:
-    """Removing a user removes their trades (``purged`` has user_id)."""
-    return trades.join(purged.select("user_id").dropDuplicates(), "user_id", "left_anti")
+    """Removing a user removes their trades (``purged`` has user_id).
+    The purge list is broadcast under a checked bound."""
+    return trades.join(bounded_broadcast(purged.select("user_id")), "user_id", "left_anti")

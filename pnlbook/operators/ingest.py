@@ -137,9 +137,10 @@ def default_account_pairs(entries: DataFrame, accounts: DataFrame,
     goes to the active account, or else to every account of its user; an
     entry with a list goes to each listed account (an empty list to none).
 
-    Filling "all accounts" is a join on user_id, not a collected list, so a
-    user with very many accounts or entries is spread by the shuffle (and
-    AQE's skew split) instead of being gathered into one array.
+    Filling "all accounts" is a join on user_id, not a collected list: the
+    accounts side is broadcast when a count bounds it, otherwise a shuffle
+    join whose hot users AQE splits; no user's entries are gathered into
+    one array or one task.
     """
     keep = [c for c in entries.columns if c != "account_ids"]
     listed = (entries.filter(F.col("account_ids").isNotNull())
@@ -149,7 +150,7 @@ def default_account_pairs(entries: DataFrame, accounts: DataFrame,
         filled = missing.withColumn("account_id", F.lit(active_account).cast("int"))
     else:
         acct = accounts.select("user_id", F.col("id").cast("int").alias("account_id"))
-        filled = missing.join(acct, "user_id")
+        filled = missing.join(bounded_broadcast(acct), "user_id")
     return listed.unionByName(filled)
 
 
