@@ -21,6 +21,33 @@ DEFAULT_CONF = {
 }
 
 
+# Target bytes per shuffle / scan partition on a cluster: large enough to keep
+# task overhead low, small enough that a partition's aggregation buffers and
+# sort runs fit an executor core's share of memory without heavy spilling.
+PARTITION_BYTES = 256 * 1024 ** 2
+
+
+def cluster_conf(input_bytes: int, cores: int) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of parquet.
+
+    The initial shuffle partition count is sized for the largest shuffle
+    (at most the whole projected input) at PARTITION_BYTES each, and at
+    least 3 waves of the cores; AQE then coalesces small partitions to the
+    advisory size and splits skewed ones (a partition 3x the median and over
+    1 GiB). Scan splits are 512 MiB of compressed parquet.
+    """
+    parts = max(3 * cores, -(-input_bytes // PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(2 * PARTITION_BYTES),
+        "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "pnlbook", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
