@@ -53,9 +53,16 @@ def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, ch
 
 def daily_entries(changes: DataFrame) -> DataFrame:
     """New trades (insert rows) of the feed, priced, with an event-time
-    column of type TIMESTAMP (watermarks refuse TIMESTAMP_NTZ)."""
+    column of type TIMESTAMP (watermarks refuse TIMESTAMP_NTZ).
+
+    The wall-clock ``ts`` is read as UTC whatever the session time zone, so
+    1-day windows line up with the calendar date of ``ts``.
+    """
     new = changes.filter((F.col("op") == "I") & trade_change_valid())
-    return pnl_only_entries(new).withColumn("event_time", F.col("ts").cast("timestamp"))
+    ts = F.col("ts")
+    secs = (F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+    return pnl_only_entries(new).withColumn("event_time", F.timestamp_seconds(secs))
 
 
 def run_daily_summary(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
@@ -66,10 +73,11 @@ def run_daily_summary(spark: SparkSession, source_dir: str, sink: str, checkpoin
     entries = daily_entries(change_stream(spark, source_dir))
     agg = (entries.withWatermark("event_time", watermark)
            .groupBy(F.window("event_time", "1 day").alias("day"), "user_id")
-           .agg(F.count(F.lit(1)).alias("trade_count"), F.sum("pnl").alias("daily_pnl")))
+           .agg(F.min("date").alias("date"), F.count(F.lit(1)).alias("trade_count"),
+                F.sum("pnl").alias("daily_pnl")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select("user_id", F.col("day.start").cast("date").alias("date"), "trade_count",
+        (batch.select("user_id", "date", "trade_count",
                       F.col("daily_pnl").cast(MONEY).alias("daily_pnl"))
          .write.mode("overwrite").parquet(_batch_dir(sink, batch_id)))
 

@@ -61,3 +61,18 @@ def test_stream_ingest_writes_rejects(spark, tmp_dir):
     # a second run with nothing new leaves the sinks as they are
     jobs.run_ingest(spark, src, sink, rej, ck).awaitTermination()
     assert spark.read.parquet(sink).count() == 1
+
+
+def test_daily_windows_follow_ts_date_in_any_session_zone(spark, tmp_dir):
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    late_evening = dt.datetime(2024, 3, 10, 23, 30)
+    rows = [(0, late_evening, 1, "signup", 5.0, None), (2, late_evening + dt.timedelta(hours=1), 1, "signup", 1.0, None)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(src)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        jobs.run_daily_summary(spark, src, sink, ck).awaitTermination()
+        got = {r.date: r.trade_count for r in jobs.latest_per_key(spark, sink, ["user_id", "date"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {dt.date(2024, 3, 10): 1, dt.date(2024, 3, 11): 1}
