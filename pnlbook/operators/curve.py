@@ -19,12 +19,17 @@ def daily_pnl(trades: DataFrame) -> DataFrame:
             .agg(F.sum("pnl").cast(MONEY).alias("daily_pnl")))
 
 
-def equity_curve(trades: DataFrame) -> DataFrame:
-    """user_id, date, daily_pnl, cum_pnl; days without trades make no point."""
+def curve_from_daily(daily: DataFrame) -> DataFrame:
+    """F1 over daily sums (user_id, date, daily_pnl)."""
     w = (Window.partitionBy("user_id").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = daily_pnl(trades.select("user_id", "date", "pnl"))
-    return d.withColumn("cum_pnl", F.round(F.sum("daily_pnl").over(w), 2).cast(MONEY))
+    return (daily.select("user_id", "date", "daily_pnl")
+            .withColumn("cum_pnl", F.round(F.sum("daily_pnl").over(w), 2).cast(MONEY)))
+
+
+def equity_curve(trades: DataFrame) -> DataFrame:
+    """user_id, date, daily_pnl, cum_pnl; days without trades make no point."""
+    return curve_from_daily(daily_pnl(trades.select("user_id", "date", "pnl")))
 
 
 def equity_curve_range(trades: DataFrame, as_of, days: int | None) -> DataFrame:

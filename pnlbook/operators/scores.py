@@ -25,7 +25,12 @@ def consistency(trades: DataFrame, users: DataFrame, as_of=None, days: int | Non
     band on the unrounded ratio: good < 30, poor > 50, else fair; 'none'
     when net <= 0. Built from daily sums: one row per user and day."""
     t = trailing_days(trades.select("user_id", "date", "pnl"), as_of, days)
-    per_user = (daily_pnl(t).groupBy("user_id")
+    return consistency_from_daily(daily_pnl(t), users)
+
+
+def consistency_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
+    """G1 + G2 over daily sums (user_id, date, daily_pnl)."""
+    per_user = (daily.groupBy("user_id")
                 .agg(F.sum("daily_pnl").alias("net"), F.max("daily_pnl").alias("_max")))
     ids = users.select(F.col("id").alias("user_id"))
     df = ids.join(per_user, "user_id", "left").select(

@@ -142,7 +142,11 @@ def month_stats(trades: DataFrame) -> DataFrame:
 
 def best_day(trades: DataFrame, users: DataFrame) -> DataFrame:
     """Greatest daily PnL, not below 0 (0 with no trades)."""
-    daily = daily_summary(trades.select("user_id", "date", "pnl", "type"))
+    return best_day_from_daily(daily_summary(trades.select("user_id", "date", "pnl", "type")), users)
+
+
+def best_day_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
+    """E7 over daily sums (user_id, date, daily_pnl)."""
     best = daily.groupBy("user_id").agg(F.max("daily_pnl").alias("_best"))
     ids = users.select(F.col("id").alias("user_id"))
     return (ids.join(best, "user_id", "left")

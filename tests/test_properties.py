@@ -62,3 +62,23 @@ def test_month_stats_agree_with_monthly_summary(spark):
         (F.col("total") != F.col("trade_count")) | (a["net_pnl"] != b["net_pnl"])
         | (F.col("win_rate") != F.col("win_rate_pct")))
     assert bad.count() == 0
+
+
+def test_dashboard_equals_single_results(spark):
+    from pnlbook.operators import scores
+    from pnlbook.plans.dashboard import dashboard, release
+    j = _j(spark)
+    as_of = "2001-08-01 12:00:00"
+    d = dashboard(j.trades, j.users, as_of, 90)
+    try:
+        pairs = [
+            (d["card"], stats.stat_card(j.trades, j.users)),
+            (d["curve"], curve.equity_curve_range(j.trades, as_of, 90)),
+            (d["best_day"], stats.best_day(j.trades, j.users)),
+            (d["consistency"], scores.consistency(j.trades, j.users)),
+            (d["labels"], scores.card_labels(stats.stat_card(j.trades, j.users))),
+        ]
+        for a, b in pairs:
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    finally:
+        release(d)
