@@ -32,9 +32,9 @@ OUTCOMES = ("created", "duplicate", "updated", "deleted", "not_found", "rejected
 
 
 def _prior_max(df: DataFrame, key: list[str], chunk_span: int) -> DataFrame:
-    """Add prior_i / prior_d: greatest seq of an I / D of the same key
-    strictly before each row."""
-    is_i = F.when(F.col("op") == "I", F.col("seq"))
+    """Add prior_i / prior_d: greatest seq of an accepted I / a D of the
+    same key strictly before each row (``_ok`` marks accepted rows)."""
+    is_i = F.when((F.col("op") == "I") & F.col("_ok"), F.col("seq"))
     is_d = F.when(F.col("op") == "D", F.col("seq"))
     rows = df.withColumn("_chunk", (F.col("seq") / F.lit(chunk_span)).cast("long"))
     ck = key + ["_chunk"]
@@ -55,19 +55,18 @@ def fold_outcomes(changes: DataFrame, valid: F.Column | None = None, key: list[s
                   chunk_span: int = CHUNK_SPAN) -> DataFrame:
     """I4: the outcome of every change. Rows where ``valid`` is false are
     'rejected' and take no part in the fold (an I or U with a payload the
-    checks refuse). Keeps all input columns, adds ``outcome``."""
+    checks refuse); they still go through the same single pass, so the feed
+    is read once. Keeps all input columns, adds ``outcome``."""
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     marked = changes.withColumn("_ok", (F.col("op") == "D") | ok)
-    folded = _prior_max(marked.filter(F.col("_ok")), key, chunk_span)
+    folded = _prior_max(marked, key, chunk_span)
     live = F.coalesce(F.col("prior_i"), F.lit(-1)) > F.coalesce(F.col("prior_d"), F.lit(-1))
     op = F.col("op")
-    outcome = (F.when(op == "I", F.when(live, "duplicate").otherwise("created"))
+    outcome = (F.when(~F.col("_ok"), "rejected")
+               .when(op == "I", F.when(live, "duplicate").otherwise("created"))
                .when(op == "U", F.when(live, "updated").otherwise("not_found"))
                .otherwise(F.when(live, "deleted").otherwise("not_found")))
-    done = folded.withColumn("outcome", outcome).drop("prior_i", "prior_d", "_ok")
-    refused = (marked.filter(~F.col("_ok")).drop("_ok")
-               .withColumn("outcome", F.lit("rejected")))
-    return done.unionByName(refused)
+    return folded.withColumn("outcome", outcome).drop("prior_i", "prior_d", "_ok")
 
 
 def live_state(outcomes: DataFrame, payload: list[str], key: list[str] = KEY) -> DataFrame:
