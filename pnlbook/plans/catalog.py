@@ -32,19 +32,6 @@ def query(name: str):
     return reg
 
 
-@query("ingest_trades")
-def q_ingest_trades(spark, sf_dir):
-    j = Journal(spark, sf_dir)
-    return j.trades.drop("account_ids", "created_at").select(
-        "id", "user_id", "date", "type", "entry_price", "exit_price", "position_size", "pnl",
-        "grade", "mental", "notes", "initial_risk")
-
-
-@query("monthly_summary")
-def q_monthly_summary(spark, sf_dir):
-    return summaries.monthly_summary(Journal(spark, sf_dir).trades)
-
-
 # ---- parameters of the catalogue (same literals as the SQL oracles) ---------
 USER = 7
 ACCOUNT = 22
@@ -59,6 +46,18 @@ def _j(spark, sf_dir) -> Journal:
     return Journal(spark, sf_dir)
 
 
+@query("ingest_trades")
+def q_ingest_trades(spark, sf_dir):
+    return _j(spark, sf_dir).trades.select(
+        "id", "user_id", "date", "type", "entry_price", "exit_price", "position_size", "pnl",
+        "grade", "mental", "notes", "initial_risk")
+
+
+@query("monthly_summary")
+def q_monthly_summary(spark, sf_dir):
+    return summaries.monthly_summary(_j(spark, sf_dir).trades)
+
+
 @query("ingest_rejects")
 def q_ingest_rejects(spark, sf_dir):
     j = _j(spark, sf_dir)

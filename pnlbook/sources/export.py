@@ -32,11 +32,9 @@ def csv_lines(trades: DataFrame) -> DataFrame:
     return trades.select(F.col("id"), F.to_csv(F.struct(*cols), CSV_OPTIONS).alias("line"))
 
 
-def write_csv(trades: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write the export. Stays partitioned (one file per task) unless one
-    file is asked for; then the rows go through one task."""
+def write_csv(trades: DataFrame, path: str) -> None:
+    """Write the export as part files, one per task (each with its header
+    line); the rows are never funnelled through a single task."""
     out = trades.select(*_text_columns(trades))
-    if single_file:
-        out = out.coalesce(1)
     (out.write.mode("overwrite").options(**CSV_OPTIONS).option("header", "true")
      .csv(path))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pnlbook.functions.text import month_key
 from pnlbook.operators.filters import _date
 from pnlbook.schemas import MONEY, RAW_TRADES_JSON, TRADES
-from pnlbook.sources.tables import read_table  # noqa: F401  (re-export for callers)
 
 LEDGER_SCHEMA = TRADES.add("month", "string")
 
