@@ -349,14 +349,7 @@ def q_stream_daily_summary(spark, sf_dir):
 
 @query("stream_ledger")
 def q_stream_ledger(spark, sf_dir):
-    last = {}
-
-    def start(src, r, ck):
-        q = jobs.run_ledger(spark, src, f"{r}/ledger", ck)
-        last["q"] = q
-        return q
-
-    root = _staged_stream(spark, sf_dir, "s3", start)
-    version = last["q"].lastProgress["batchId"]
-    snap = spark.read.parquet(jobs.snapshot_path(f"{root}/ledger", version))
-    return snap.select("user_id", "id", "date", "type", "pnl", "born", "seq")
+    root = _staged_stream(spark, sf_dir, "s3", lambda src, r, ck: jobs.run_ledger(
+        spark, src, f"{r}/ledger", ck))
+    return (jobs.read_ledger_state(spark, f"{root}/ledger")
+            .select("user_id", "id", "date", "type", "pnl", "born", "seq"))

@@ -94,19 +94,64 @@ def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
             .select(*key, "_v.*"))
 
 
-def snapshot_path(root: str, version: int) -> str:
-    return f"{root}/v={version}"
+# Key buckets of the live-ledger state. A micro-batch reads and rewrites only
+# the buckets its keys fall in, so a small batch costs a small share of the
+# state, not all of it.
+STATE_BUCKETS = 256
+LEDGER_STATE_SCHEMA = ("user_id BIGINT, id BIGINT, date DATE, type STRING, pnl_input DECIMAL(18,4), "
+                       "pnl DECIMAL(18,4), born BIGINT, seq BIGINT, created_at TIMESTAMP_NTZ, "
+                       "bucket INT")
 
 
-def run_ledger(spark: SparkSession, source_dir: str, root: str, checkpoint: str):
-    """S3: the live ledger, one snapshot per batch. Batch n folds snapshot
-    n-1 (its live rows fed back as inserts) with its own changes and writes
-    snapshot n; a repeated batch rewrites the same snapshot."""
+def key_bucket(buckets: int = STATE_BUCKETS):
+    return F.pmod(F.xxhash64("user_id", "id"), F.lit(buckets)).cast("int")
+
+
+def read_ledger_state(spark: SparkSession, root: str) -> DataFrame:
+    """The live rows of the stream ledger (bucket marker rows dropped)."""
+    return (spark.read.schema(LEDGER_STATE_SCHEMA).parquet(root)
+            .filter(F.col("id").isNotNull()).drop("bucket"))
+
+
+def fold_into_state(spark: SparkSession, batch: DataFrame, root: str, first: bool,
+                    buckets: int = STATE_BUCKETS) -> None:
+    """Fold one batch of changes into the bucketed state under ``root``.
+
+    Only the touched buckets are read (partition pruning on ``bucket``) and
+    written back (dynamic partition overwrite); each touched bucket also
+    gets one marker row, so a bucket whose keys were all deleted is still
+    replaced. The touched bucket ids (at most ``buckets`` small ints) are the
+    only thing brought to the driver. Running the same batch twice gives the
+    same state: the fold is idempotent (an insert of a live key is a
+    duplicate, an update writes the same payload, deletes and re-inserts
+    end the same way).
+    """
+    b = batch.withColumn("bucket", key_bucket(buckets)).persist()
+    try:
+        touched = [r[0] for r in b.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        state = None
+        if not first:
+            state = read_ledger_state(spark, root).filter(key_bucket(buckets).isin(touched))
+        new = fold_batch(state, b.drop("bucket")).withColumn("bucket", key_bucket(buckets))
+        markers = b.select("bucket").distinct()
+        (new.unionByName(markers, allowMissingColumns=True)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(root))
+    finally:
+        b.unpersist()
+
+
+def run_ledger(spark: SparkSession, source_dir: str, root: str, checkpoint: str,
+               buckets: int = STATE_BUCKETS):
+    """S3: the live ledger as bucketed state under ``root``, updated per
+    micro-batch by folding the touched buckets' live rows (fed back as
+    inserts) with the batch's changes."""
     changes = change_stream(spark, source_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state = (spark.read.parquet(snapshot_path(root, batch_id - 1)) if batch_id > 0 else None)
-        fold_batch(state, batch).write.mode("overwrite").parquet(snapshot_path(root, batch_id))
+        fold_into_state(spark, batch, root, first=batch_id == 0, buckets=buckets)
 
     return (changes.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
