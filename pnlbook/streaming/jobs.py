@@ -95,9 +95,10 @@ def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
 
 
 # Key buckets of the live-ledger state. A micro-batch reads and rewrites only
-# the buckets its keys fall in, so a small batch costs a small share of the
-# state, not all of it.
-STATE_BUCKETS = 256
+# the buckets its keys fall in, so a batch with few keys costs a small share
+# of the state. Size it to about state bytes / 256 MiB: every touched bucket
+# costs one file commit per batch.
+STATE_BUCKETS = 32
 LEDGER_STATE_SCHEMA = ("user_id BIGINT, id BIGINT, date DATE, type STRING, pnl_input DECIMAL(18,4), "
                        "pnl DECIMAL(18,4), born BIGINT, seq BIGINT, created_at TIMESTAMP_NTZ, "
                        "bucket INT")
@@ -136,7 +137,9 @@ def fold_into_state(spark: SparkSession, batch: DataFrame, root: str, first: boo
             state = read_ledger_state(spark, root).filter(key_bucket(buckets).isin(touched))
         new = fold_batch(state, b.drop("bucket")).withColumn("bucket", key_bucket(buckets))
         markers = b.select("bucket").distinct()
-        (new.unionByName(markers, allowMissingColumns=True)
+        # state is one row per key, so clustering by bucket has no hot key;
+        # it gives one file per touched bucket.
+        (new.unionByName(markers, allowMissingColumns=True).repartition("bucket")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(root))
     finally:
