@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-One warm-up and three timed runs per query; the result is forced with a
+One warm-up run of every query first, then three timed runs per query; the result is forced with a
 ``noop`` write (every row computed, nothing collected). Prints one JSON
 line: {"metric", "value" (sum of medians), "unit", "queries", "sf"}.
 """
@@ -31,16 +31,16 @@ def main() -> None:
     only = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8,
                       extra={"spark.driver.memory": "8g"})
+    def once(name: str) -> float:
+        t0 = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    for name in only:            # warm-up: every query once, before any timing
+        once(name)
     times = {}
     for name in only:
-        fn = QUERIES[name]
-        runs = []
-        for i in range(RUNS + 1):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
-                runs.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(runs), 3)
+        times[name] = round(statistics.median(once(name) for _ in range(RUNS)), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)

@@ -98,7 +98,7 @@ def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
 # the buckets its keys fall in, so a batch with few keys costs a small share
 # of the state. Size it to about state bytes / 256 MiB: every touched bucket
 # costs one file commit per batch.
-STATE_BUCKETS = 32
+STATE_BUCKETS = 16
 LEDGER_STATE_SCHEMA = ("user_id BIGINT, id BIGINT, date DATE, type STRING, pnl_input DECIMAL(18,4), "
                        "pnl DECIMAL(18,4), born BIGINT, seq BIGINT, created_at TIMESTAMP_NTZ, "
                        "bucket INT")
