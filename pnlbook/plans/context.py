@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pnlbook.operators.ingest import ingest
 from pnlbook.sources import fixtures
+from pnlbook.sources.ledger import read_ledger
 
 
 class Journal:
@@ -18,9 +19,10 @@ class Journal:
     exchange when the same subtree appears twice).
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, ledger_path: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.ledger_path = ledger_path
 
     @cached_property
     def users(self) -> DataFrame:
@@ -36,6 +38,10 @@ class Journal:
 
     @cached_property
     def trades(self) -> DataFrame:
+        """The clean ledger: read from ``ledger_path`` when one was written
+        (ingest once, query many times), else checked from raw entries."""
+        if self.ledger_path:
+            return read_ledger(self.spark, self.ledger_path).drop("month")
         return ingest(self.raw_trades, self.users)
 
     @cached_property

@@ -52,3 +52,14 @@ def test_ingest_job_writes_both_sinks(spark, tmp_dir):
     assert ledger.read_ledger(spark, out).count() == j.trades.count() == 1394
     r = spark.read.parquet(rej)
     assert r.count() == 50 and r.filter(F.col("reasons").contains("unknown_user")).count() == 16
+
+
+def test_journal_over_written_ledger(spark, tmp_dir):
+    from pnlbook.operators import summaries
+    j = Journal(spark, SF_SMALL)
+    out, rej = os.path.join(tmp_dir, "ledger"), os.path.join(tmp_dir, "rejects")
+    ingest_to_ledger(j.raw_trades, j.users, out, rej)
+    k = Journal(spark, SF_SMALL, ledger_path=out)
+    a = summaries.monthly_summary(j.trades).collect()
+    b = summaries.monthly_summary(k.trades).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
