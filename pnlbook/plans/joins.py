@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension side is broadcast only when a count proves it at most this
-# many rows; above that the join is left to a shuffle join (and AQE).
+# many rows; above that the join is left to a shuffle join (and AQE). A
+# session can change the bound with the conf key below.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS_CONF = "pnlbook.broadcast.maxRows"
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(small)`` if a count shows it holds <= max_rows rows.
 
     The count runs on the small side only (a dimension table). Beyond the
     bound the frame is returned unchanged and Spark plans a shuffle join.
     """
+    if max_rows is None:
+        conf = small.sparkSession.conf.get(BROADCAST_MAX_ROWS_CONF, None)
+        max_rows = int(conf) if conf else BROADCAST_MAX_ROWS
     n = small.limit(max_rows + 1).count()
     return F.broadcast(small) if n <= max_rows else small

@@ -63,3 +63,37 @@ def test_journal_over_written_ledger(spark, tmp_dir):
     a = summaries.monthly_summary(j.trades).collect()
     b = summaries.monthly_summary(k.trades).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_bounded_broadcast_respects_bound(spark):
+    from pnlbook.plans.joins import BROADCAST_MAX_ROWS_CONF, bounded_broadcast
+    big = spark.range(10).withColumnRenamed("id", "k")
+    small = spark.range(3).withColumnRenamed("id", "k")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "BroadcastHashJoin" in plan(big.join(bounded_broadcast(small), "k"))
+        spark.conf.set(BROADCAST_MAX_ROWS_CONF, "2")
+        assert "BroadcastHashJoin" not in plan(big.join(bounded_broadcast(small), "k"))
+    finally:
+        spark.conf.unset(BROADCAST_MAX_ROWS_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_month_edges_and_open_ranges(spark):
+    from pnlbook.operators import calendar_grid, stats
+    assert filters.month_bounds("2024-12") == (dt.date(2024, 12, 1), dt.date(2024, 12, 31))
+    assert filters.month_bounds("2024-02") == (dt.date(2024, 2, 1), dt.date(2024, 2, 29))
+    t = spark.createDataFrame([(1, 1, dt.date(2024, 12, 31), "LONG", D("5")),
+                               (2, 1, dt.date(2025, 1, 1), "SHORT", D("-2"))],
+                              "id LONG, user_id INT, date DATE, type STRING, pnl DECIMAL(18,4)")
+    users = spark.createDataFrame([(1, "a")], "id INT, username STRING")
+    g = calendar_grid.calendar_grid(t, users, ["2024-12", "2025-01"])
+    cells = {r.date: r for r in g.collect() if r.date is not None}
+    assert len(cells) == 62 and cells[dt.date(2024, 12, 31)].day_class == "profit"
+    assert cells[dt.date(2025, 1, 1)].pnl_sign == "neg"
+    only_from = stats.api_stats(t, users, date_from="2025-01-01").collect()[0]
+    assert (only_from.total, only_from.net_pnl, only_from.shorts) == (1, D("-2.0000"), 1)
+    assert filters.trailing_days(t, "2025-01-01 00:00:00", None).count() == 2
