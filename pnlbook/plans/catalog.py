@@ -43,7 +43,7 @@ AS_OF = "2001-08-01 12:00:00"
 
 
 def _j(spark, sf_dir) -> Journal:
-    return Journal(spark, sf_dir)
+    return Journal.of(spark, sf_dir)
 
 
 @query("ingest_trades")

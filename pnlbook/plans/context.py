@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,18 @@ class Journal:
     exchange when the same subtree appears twice).
     """
 
+    _open: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Journal":
+        """The session's Journal for ``sf_dir``, built once and then reused,
+        so the ingest plan and its broadcast check are not redone for every
+        result asked of the same (read-only) folder."""
+        per_session = cls._open.setdefault(spark, {})
+        if sf_dir not in per_session:
+            per_session[sf_dir] = cls(spark, sf_dir)
+        return per_session[sf_dir]
+
     def __init__(self, spark: SparkSession, sf_dir: str, ledger_path: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
