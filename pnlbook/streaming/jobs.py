@@ -1,9 +1,10 @@
 """Stream forms of ingest (S1), the daily summary (S2) and the ledger (S3).
 
 All three read a change feed of files (schema of ``events``) with
-``readStream``; every sink is written per micro-batch into a folder named
-by the batch id with mode overwrite, so a batch that is run again after a
-failure replaces its own output instead of adding to it.
+``readStream``. The S1 and S2 sinks are written per micro-batch into a
+folder named by the batch id with mode overwrite, so a batch that is run
+again after a failure replaces its own output instead of adding to it; the
+S3 state is replaced bucket by bucket, and its fold is idempotent.
 """
 
 from __future__ import annotations
@@ -36,15 +37,18 @@ def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, ch
     def write(batch: DataFrame, batch_id: int) -> None:
         ok = trade_change_valid()
         checked = batch.withColumn("_ok", F.coalesce(ok, F.lit(False))).persist()
-        good = pnl_only_entries(checked.filter("_ok")).select(*ENTRY_COLUMNS)
-        good.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
-        bad = checked.filter(~F.col("_ok")).select(
-            "seq", F.concat_ws(",", F.when(F.col("date").isNull(), F.lit("missing_date")),
-                               F.when(~F.col("type").isin("LONG", "SHORT"), F.lit("bad_type")),
-                               F.when(F.col("pnl_input").isNull(), F.lit("missing_pnl")))
-            .alias("reasons"))
-        bad.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
-        checked.unpersist()
+        try:
+            good = pnl_only_entries(checked.filter("_ok")).select(*ENTRY_COLUMNS)
+            good.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
+            side_ok = F.coalesce(F.col("type").isin("LONG", "SHORT"), F.lit(False))
+            bad = checked.filter(~F.col("_ok")).select(
+                "seq", F.concat_ws(",", F.when(F.col("date").isNull(), F.lit("missing_date")),
+                                   F.when(~side_ok, F.lit("bad_type")),
+                                   F.when(F.col("pnl_input").isNull(), F.lit("missing_pnl")))
+                .alias("reasons"))
+            bad.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
+        finally:
+            checked.unpersist()
 
     return (changes.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
