@@ -65,12 +65,13 @@ def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
                                            F.lit(True).alias("_known")))
     df = with_pnl(raw).join(known, "user_id", "left")
     side_ok = F.col("type").isin(*SIDES)
+    no_side = F.col("type").isNull() | (F.col("type") == "")     # '' counts as missing
     checks = [
         (F.col("date").isNull(), "missing_date"),
-        (F.col("type").isNull(), "missing_type"),
+        (no_side, "missing_type"),
         (F.col("entry_price").isNull(), "missing_entry_price"),
         (F.col("exit_price").isNull(), "missing_exit_price"),
-        (F.col("type").isNotNull() & ~side_ok, "bad_type"),
+        (~no_side & ~side_ok, "bad_type"),
         (F.length(F.col("grade")) > MAX_GRADE_LEN, "bad_grade"),
         (side_ok & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull()
          & F.col("pnl").isNull(), "out_of_range"),
@@ -117,17 +118,29 @@ def pnl_only_entries(entries: DataFrame) -> DataFrame:
     return with_pnl(out)
 
 
+# Leading number of a text, as a number parser that stops at the first
+# character that cannot continue it ('12.5abc' -> 12.5, 'abc' -> none).
+NUMBER_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def leading_number(text: Column) -> Column:
+    """The numeric prefix of a text (after leading spaces) as DECIMAL(18,4),
+    NULL when there is none."""
+    return F.regexp_extract(F.ltrim(text), NUMBER_PREFIX, 0).try_cast(MONEY)
+
+
 def normalise_accounts(df: DataFrame) -> DataFrame:
-    """Name trimmed and required; type live/prop else live; size a
-    number else 0. Adds ``valid`` (false when the name is missing)."""
-    name = F.trim(F.col("name"))
-    size = F.coalesce(F.col("size").cast("string").try_cast(MONEY), dec(0).cast(MONEY))
+    """A name is required (NULL or '' refuses the row; the check is on
+    the name as sent, then it is stored trimmed); type live/prop else live;
+    size the leading number of the text, else 0. Adds ``valid``."""
+    raw_name = F.col("name")
+    size = F.coalesce(leading_number(F.col("size").cast("string")), dec(0).cast(MONEY))
     return df.withColumns({
-        "name": name,
+        "name": F.trim(raw_name),
         "type": F.when(F.col("type").isin(*ACCOUNT_TYPES), F.col("type"))
                  .otherwise(F.lit(DEFAULT_ACCOUNT_TYPE)),
         "size": size,
-        "valid": F.coalesce(name != "", F.lit(False)),
+        "valid": F.coalesce(raw_name != "", F.lit(False)),
     })
 
 
@@ -165,15 +178,17 @@ def load_projection(df: DataFrame) -> DataFrame:
 
 
 def new_users(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Names not taken yet; of repeats in the batch the first (by
-    ``seq``) wins. ``existing`` has ``username``.
+    """Names not taken yet (a missing or empty name is refused); of
+    repeats in the batch the first (by ``seq``) wins. ``existing`` has
+    ``username``.
 
     The first row per name is a ``min_by`` aggregate, so a name repeated
     very often is reduced map-side before the shuffle.
     """
     taken = existing.select("username").dropDuplicates()
     rest = [c for c in candidates.columns if c != "username"]
-    first = (candidates.join(taken, "username", "left_anti")
+    named = candidates.filter(F.col("username").isNotNull() & (F.col("username") != ""))
+    first = (named.join(taken, "username", "left_anti")
              .groupBy("username")
              .agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_first")))
     return first.select("username", "_first.*")

@@ -164,10 +164,10 @@ oracle("ingest_rejects")("""
   FROM raw_trades r),
 x AS (SELECT id, concat_ws(',',
     CASE WHEN date IS NULL THEN 'missing_date' END,
-    CASE WHEN type IS NULL THEN 'missing_type' END,
+    CASE WHEN type IS NULL OR type = '' THEN 'missing_type' END,
     CASE WHEN entry_price IS NULL THEN 'missing_entry_price' END,
     CASE WHEN exit_price IS NULL THEN 'missing_exit_price' END,
-    CASE WHEN type IS NOT NULL AND type NOT IN ('LONG','SHORT') THEN 'bad_type' END,
+    CASE WHEN type <> '' AND type NOT IN ('LONG','SHORT') THEN 'bad_type' END,
     CASE WHEN length(grade) > 3 THEN 'bad_grade' END,
     CASE WHEN type IN ('LONG','SHORT') AND entry_price IS NOT NULL AND exit_price IS NOT NULL
          AND abs(p) >= 100000000000000 THEN 'out_of_range' END,
@@ -361,14 +361,16 @@ SELECT user_id, id, date, type, CAST(ROUND(pnl_input, 2) AS DECIMAL(18,4)) AS pn
 oracle("account_changes")("""
 , f AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
     user_id, user_id*3 + event_id % 3 AS id,
-    trim(CASE WHEN event_id % 13 = 0 THEN NULL
-         ELSE '  ' || event_type || '-' || CAST(event_id % 7 AS VARCHAR) || ' ' END) AS name,
+    CASE WHEN event_id % 13 = 0 THEN NULL
+         ELSE '  ' || event_type || '-' || CAST(event_id % 7 AS VARCHAR) || ' ' END AS raw_name,
+    trim(raw_name) AS name,
     CASE event_type WHEN 'purchase' THEN 'prop' WHEN 'click' THEN 'live' ELSE 'live' END AS type,
-    COALESCE(TRY_CAST(CASE WHEN event_type = 'view' THEN 'n/a'
-        ELSE CAST(CAST(ROUND(value * 1000, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS DECIMAL(18,4)),
+    COALESCE(TRY_CAST(regexp_extract(CASE WHEN event_type = 'view' THEN 'n/a'
+        ELSE CAST(CAST(ROUND(value * 1000, 2) AS DECIMAL(18,2)) AS VARCHAR) END,
+        '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0) AS DECIMAL(18,4)),
       CAST(0 AS DECIMAL(18,4))) AS size
   FROM events),
-acc AS (SELECT * FROM f WHERE op = 'D' OR COALESCE(name <> '', false))""" + _LIVE.format(src="acc") + """
+acc AS (SELECT * FROM f WHERE op = 'D' OR COALESCE(raw_name <> '', false))""" + _LIVE.format(src="acc") + """
 SELECT user_id, id, name, type, size FROM r WHERE rn = 1""")
 
 oracle("user_purge")("""
@@ -400,8 +402,9 @@ oracle("accounts_normalised")("""
     CASE WHEN id % 5 = 0 THEN 'abc' ELSE CAST(size AS VARCHAR) END AS size FROM accounts)
 SELECT id, user_id, trim(name) AS name,
   CASE WHEN type IN ('live', 'prop') THEN type ELSE 'live' END AS type,
-  COALESCE(TRY_CAST(size AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4))) AS size
-FROM d WHERE trim(name) <> ''""")
+  COALESCE(TRY_CAST(regexp_extract(ltrim(size), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0)
+    AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4))) AS size
+FROM d WHERE name <> ''""")
 
 oracle("default_accounts")("""
 , e AS (SELECT id, user_id, CASE WHEN id % 13 = 0 THEN NULL ELSE account_ids END AS account_ids FROM trades)
@@ -411,7 +414,8 @@ SELECT e.id, a.id AS account_id FROM e JOIN accounts a ON a.user_id = e.user_id
 
 oracle("new_users")("""
 , c AS (SELECT 'NATION_' || CAST(c_custkey % 40 AS VARCHAR) AS username, c_custkey AS seq FROM customer)
-SELECT username, MIN(seq) AS seq FROM c WHERE username NOT IN (SELECT username FROM users) GROUP BY username""")
+SELECT username, MIN(seq) AS seq FROM c
+WHERE username <> '' AND username NOT IN (SELECT username FROM users) GROUP BY username""")
 
 QUERIES["stream_ingest"] = QUERIES["pnl_only_entries"]
 

@@ -55,13 +55,13 @@ def test_pnl_sign_size_default_and_half_cent(spark):
 
 def test_rejects_and_reasons(spark):
     rows = raw(spark, [(1, "FLAT", "100", "101", "1"), (2, "LONG", None, "101", "1"),
-                       (3, None, "100", "101", "1")])
+                       (3, None, "100", "101", "1"), (5, "", "100", "101", "1")])
     rows = rows.unionByName(raw(spark, [(4, "LONG", "100", "101", "1")])
                             .withColumn("user_id", F.lit(99)))
     r = by_id(ingest.rejects(rows, users(spark)))
     assert r[1].reasons == "bad_type"
     assert r[2].reasons == "missing_entry_price"
-    assert r[3].reasons == "missing_type"
+    assert r[3].reasons == "missing_type" and r[5].reasons == "missing_type"
     assert r[4].reasons == "unknown_user"
 
 

@@ -37,12 +37,16 @@ def test_load_projection_text_fields(spark):
 
 
 def test_normalise_accounts(spark):
-    df = spark.createDataFrame([(1, " main ", "prop", "12.5"), (2, "", "x", None), (3, None, "live", "zz")],
+    df = spark.createDataFrame([(1, " main ", "prop", "12.5"), (2, "", "x", None), (3, None, "live", "zz"),
+                                (4, "   ", "live", " 7.25usd"), (5, "b", "prop", "-.5")],
                                "id INT, name STRING, type STRING, size STRING")
     r = {x.id: x for x in ingest.normalise_accounts(df).collect()}
     assert (r[1].name, r[1].type, r[1].size, r[1].valid) == ("main", "prop", D("12.5000"), True)
     assert (r[2].type, r[2].size, r[2].valid) == ("live", D("0.0000"), False)
-    assert not r[3].valid
+    assert not r[3].valid and r[3].size == D("0.0000")
+    # a name of spaces passes the check and is stored trimmed (empty)
+    assert (r[4].name, r[4].size, r[4].valid) == ("", D("7.2500"), True)
+    assert r[5].size == D("-0.5000")
 
 
 def test_ingest_job_writes_both_sinks(spark, tmp_dir):
