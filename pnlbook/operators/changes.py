@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pnlbook.operators.ingest import normalise_accounts, pnl_only_entries
+from pnlbook.operators.ingest import normalise_accounts, number_in, pnl_only_entries
 from pnlbook.plans.joins import bounded_broadcast
-from pnlbook.schemas import MONEY
 
 KEY = ["user_id", "id"]
 # Width of a seq chunk of the two-level scan; bounds a window partition.
@@ -96,15 +95,15 @@ def live_state(outcomes: DataFrame, payload: list[str], key: list[str] = KEY) ->
 TRADE_PAYLOAD = ["date", "type", "pnl_input"]
 
 
-def trade_change_valid() -> F.Column:
-    """B3/B4 for PnL-only changes: date, side and a number."""
+def trade_change_valid(changes: DataFrame) -> F.Column:
+    """B3/B4 for PnL-only changes of ``changes``: date, side and a number."""
     return (F.col("date").isNotNull() & F.col("type").isin("LONG", "SHORT")
-            & F.col("pnl_input").try_cast(MONEY).isNotNull())
+            & number_in(changes, "pnl_input").isNotNull())
 
 
 def change_outcomes(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
     """I4 over a trade change feed."""
-    return fold_outcomes(changes, trade_change_valid(), KEY, chunk_span)
+    return fold_outcomes(changes, trade_change_valid(changes), KEY, chunk_span)
 
 
 def live_ledger(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
@@ -130,7 +129,7 @@ def fold_batch(state: DataFrame | None, batch: DataFrame, chunk_span: int = CHUN
     cols = ["seq", "op", *KEY, "date", "type", "pnl_input", "ts"]
     new = batch.select(*cols).withColumns({"last_seq": F.col("seq"), "born_ts": F.col("ts")})
     feed = new if state is None else state_as_changes(state).unionByName(new)
-    st = live_state(fold_outcomes(feed, trade_change_valid(), KEY, chunk_span), TRADE_PAYLOAD)
+    st = live_state(fold_outcomes(feed, trade_change_valid(feed), KEY, chunk_span), TRADE_PAYLOAD)
     return (pnl_only_entries(st)
             .select(*KEY, "date", "type", "pnl_input", "pnl", "born", "seq", "created_at"))
 

@@ -97,6 +97,25 @@ def orphans(raw: DataFrame, users: DataFrame) -> DataFrame:
     return raw.join(ids, "user_id", "left_anti")
 
 
+# Leading number of a text, as a number parser that stops at the first
+# character that cannot continue it ('12.5abc' -> 12.5, 'abc' -> none).
+NUMBER_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def leading_number(text: Column) -> Column:
+    """The numeric prefix of a text (after leading spaces) as DECIMAL(18,4),
+    NULL when there is none."""
+    return F.regexp_extract(F.ltrim(text), NUMBER_PREFIX, 0).try_cast(MONEY)
+
+
+def number_in(df: DataFrame, name: str) -> Column:
+    """Column ``name`` of ``df`` as DECIMAL(18,4): text by its leading
+    number (as a form's number parser reads it), numbers by a plain cast."""
+    if dict(df.dtypes).get(name) == "string":
+        return leading_number(F.col(name))
+    return F.col(name).try_cast(MONEY)
+
+
 def pnl_only_entries(entries: DataFrame) -> DataFrame:
     """B6 + B7: entries that carry only a PnL (``pnl_input``).
 
@@ -104,7 +123,7 @@ def pnl_only_entries(entries: DataFrame) -> DataFrame:
     notes are trimmed; entry 100, exit 100 + pnl (LONG) or 100 - pnl,
     size 1; then the usual PnL rule.
     """
-    pnl_in = F.col("pnl_input").try_cast(MONEY)
+    pnl_in = number_in(entries, "pnl_input")
     base = dec(PNL_ONLY_ENTRY_PRICE).cast(MONEY)
     out = (entries.filter(F.col("date").isNotNull() & pnl_in.isNotNull())
            .withColumns({
@@ -118,17 +137,6 @@ def pnl_only_entries(entries: DataFrame) -> DataFrame:
     return with_pnl(out)
 
 
-# Leading number of a text, as a number parser that stops at the first
-# character that cannot continue it ('12.5abc' -> 12.5, 'abc' -> none).
-NUMBER_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
-
-
-def leading_number(text: Column) -> Column:
-    """The numeric prefix of a text (after leading spaces) as DECIMAL(18,4),
-    NULL when there is none."""
-    return F.regexp_extract(F.ltrim(text), NUMBER_PREFIX, 0).try_cast(MONEY)
-
-
 def normalise_accounts(df: DataFrame) -> DataFrame:
     """A name is required (NULL or '' refuses the row; the check is on
     the name as sent, then it is stored trimmed); type live/prop else live;

@@ -35,7 +35,7 @@ def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, ch
     changes = change_stream(spark, source_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ok = trade_change_valid()
+        ok = trade_change_valid(batch)
         checked = batch.withColumn("_ok", F.coalesce(ok, F.lit(False))).persist()
         try:
             good = pnl_only_entries(checked.filter("_ok")).select(*ENTRY_COLUMNS)
@@ -62,7 +62,7 @@ def daily_entries(changes: DataFrame) -> DataFrame:
     The wall-clock ``ts`` is read as UTC whatever the session time zone, so
     1-day windows line up with the calendar date of ``ts``.
     """
-    new = changes.filter((F.col("op") == "I") & trade_change_valid())
+    new = changes.filter((F.col("op") == "I") & trade_change_valid(changes))
     ts = F.col("ts")
     secs = (F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))

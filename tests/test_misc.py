@@ -101,3 +101,13 @@ def test_month_edges_and_open_ranges(spark):
     only_from = stats.api_stats(t, users, date_from="2025-01-01").collect()[0]
     assert (only_from.total, only_from.net_pnl, only_from.shorts) == (1, D("-2.0000"), 1)
     assert filters.trailing_days(t, "2025-01-01 00:00:00", None).count() == 2
+
+
+def test_pnl_only_entries_from_text(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 2), "LONG", "12.5abc", " x "), (2, dt.date(2024, 1, 2), "SHORT", "-3", None),
+                                (3, dt.date(2024, 1, 2), "LONG", "abc", None), (4, None, "LONG", "1", None)],
+                               "seq LONG, date DATE, type STRING, pnl_input STRING, notes STRING")
+    r = {x.seq: x for x in ingest.pnl_only_entries(df).collect()}
+    assert sorted(r) == [1, 2]
+    assert (r[1].exit_price, r[1].pnl, r[1].notes) == (D("112.5000"), D("12.5000"), "x")
+    assert (r[2].exit_price, r[2].pnl) == (D("103.0000"), D("-3.0000"))
