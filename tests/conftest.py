@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pnlbook.session import get_spark  # noqa: E402
+from pnlbook.session import checkpoint_root, get_spark  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
@@ -15,7 +15,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark("local[*]", 8)
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pnlbook-test-ckpt-"))
+    checkpoint_root(s)          # the configured shared folder; a temp one only if unset
     yield s
     s.stop()
 
