@@ -140,7 +140,7 @@ def fold_into_state(spark: SparkSession, batch: DataFrame, root: str, first: boo
         if not first:
             state = read_ledger_state(spark, root).filter(key_bucket(buckets).isin(touched))
         new = fold_batch(state, b.drop("bucket")).withColumn("bucket", key_bucket(buckets))
-        markers = b.select("bucket").distinct()
+        markers = spark.createDataFrame([(t,) for t in touched], "bucket INT")
         # state is one row per key, so clustering by bucket has no hot key;
         # it gives one file per touched bucket.
         (new.unionByName(markers, allowMissingColumns=True).repartition("bucket")
