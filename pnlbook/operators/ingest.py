@@ -8,6 +8,8 @@ write both sinks from a single scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,9 @@ def with_pnl(df: DataFrame) -> DataFrame:
 
 
 def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
-    """Add ``reasons`` (comma list, '' when clean) and ``pnl``.
+    """Add ``pnl``, ``valid`` and ``reasons`` (comma list of the
+    failed checks; NULL for a valid row). The clean path filters on the
+    boolean, so no text is built for the rows that pass.
 
     ``users.id`` is the users' primary key (one row per id). The users side
     is broadcast only under a checked row bound; otherwise this is a
@@ -77,18 +81,22 @@ def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
          & F.col("pnl").isNull(), "out_of_range"),
         (F.col("_known").isNull(), "unknown_user"),
     ]
+    valid = ~F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, _ in checks]),
+                        F.lit(False))
     reasons = F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in checks])
-    return df.withColumn("reasons", reasons).drop("_known")
+    return (df.withColumn("valid", valid)
+            .withColumn("reasons", F.when(~F.col("valid"), reasons))
+            .drop("_known"))
 
 
 def ingest(raw: DataFrame, users: DataFrame) -> DataFrame:
     """raw entries -> clean ledger rows (the trades table)."""
-    ok = check_entries(raw, users).filter(F.col("reasons") == "")
+    ok = check_entries(raw, users).filter(F.col("valid"))
     return with_defaults(ok).select(*TRADE_COLUMNS)
 
 
 def rejects(raw: DataFrame, users: DataFrame) -> DataFrame:
-    return check_entries(raw, users).filter(F.col("reasons") != "").select("id", "reasons")
+    return check_entries(raw, users).filter(~F.col("valid")).select("id", "reasons")
 
 
 def orphans(raw: DataFrame, users: DataFrame) -> DataFrame:

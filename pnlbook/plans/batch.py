@@ -20,9 +20,9 @@ def ingest_to_ledger(raw: DataFrame, users: DataFrame, ledger_path: str, rejects
     """
     checked = check_entries(raw, users).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ok = with_defaults(checked.filter(F.col("reasons") == "")).select(*TRADE_COLUMNS)
+        ok = with_defaults(checked.filter(F.col("valid"))).select(*TRADE_COLUMNS)
         write_ledger(ok, ledger_path)
-        (checked.filter(F.col("reasons") != "").select("id", "user_id", "reasons")
+        (checked.filter(~F.col("valid")).select("id", "user_id", "reasons")
          .write.mode("overwrite").parquet(rejects_path))
     finally:
         checked.unpersist()
