@@ -1,9 +1,10 @@
 """Ingest of trade entries: checks, defaults, PnL.
 
-``check_entries`` adds a ``reasons`` column to every entry (empty when it
-passes); ``ingest`` keeps the clean rows as the ledger, ``rejects`` the
-others. Both come from one plan, so persisting the checked frame lets a job
-write both sinks from a single scan.
+``check_entries`` adds ``valid`` and ``reasons`` (the failed checks, NULL
+when the entry passes) to every entry; ``ingest`` keeps the valid rows as
+the ledger, ``rejects`` the others. Both come from one plan, so persisting
+the checked frame lets a job write both sinks from a single scan
+(``plans.batch.ingest_to_ledger``).
 """
 
 from __future__ import annotations
