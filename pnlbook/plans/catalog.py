@@ -342,8 +342,9 @@ def q_stream_ingest(spark, sf_dir):
 
 @query("stream_daily_summary")
 def q_stream_daily_summary(spark, sf_dir):
+    parts = spark.sparkContext.defaultParallelism
     root = _staged_stream(spark, sf_dir, "s2", lambda src, r, ck: jobs.run_daily_summary(
-        spark, src, f"{r}/sink", ck))
+        spark, src, f"{r}/sink", ck, state_partitions=parts))
     return jobs.latest_per_key(spark, f"{root}/sink", ["user_id", "date"])
 
 

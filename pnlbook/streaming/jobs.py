@@ -70,10 +70,16 @@ def daily_entries(changes: DataFrame) -> DataFrame:
 
 
 def run_daily_summary(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
-                      watermark: str = "1 day"):
+                      watermark: str = "1 day", state_partitions: int | None = None):
     """Trade count and PnL per user and UTC day as trades arrive.
     Update mode: each batch writes the groups it changed; rows older than
-    the watermark are dropped and their day's state is closed."""
+    the watermark are dropped and their day's state is closed.
+
+    ``state_partitions`` fixes the number of state-store partitions (AQE does
+    not coalesce stateful streams); it is taken when the query first starts
+    and then kept in the checkpoint. Size it to the state within the
+    watermark, not to the whole input.
+    """
     entries = daily_entries(change_stream(spark, source_dir))
     agg = (entries.withWatermark("event_time", watermark)
            .groupBy(F.window("event_time", "1 day").alias("day"), "user_id")
@@ -85,9 +91,20 @@ def run_daily_summary(spark: SparkSession, source_dir: str, sink: str, checkpoin
                       F.col("daily_pnl").cast(MONEY).alias("daily_pnl"))
          .write.mode("overwrite").parquet(_batch_dir(sink, batch_id)))
 
-    return (agg.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    writer = (agg.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    if state_partitions is None:
+        return writer.start()
+    # The stream runs on a copy of the session made at start(), so the
+    # setting is restored for the caller right away.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:

@@ -64,9 +64,11 @@ def test_daily_summary_drops_rows_past_watermark(spark, tmp_dir):
     first = [(0, t, 1, "signup", 5.0, None), (1, t + dt.timedelta(days=3), 1, "signup", 7.0, None)]
     late = [(2, t - dt.timedelta(days=1), 1, "signup", 11.0, None),      # behind the watermark
             (3, t + dt.timedelta(days=3, hours=1), 1, "signup", 2.0, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     for batch in (first, late):
         spark.createDataFrame(batch, EVENTS).write.mode("append").parquet(src)
-        jobs.run_daily_summary(spark, src, sink, ck).awaitTermination()
+        jobs.run_daily_summary(spark, src, sink, ck, state_partitions=3).awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
     got = jobs.latest_per_key(spark, sink, ["user_id", "date"])
     rows = {r.date: (r.trade_count, float(r.daily_pnl)) for r in got.collect()}
     # seq 1 is odd -> pnl -7, seq 3 odd -> -2; the late row (day 9) never shows up.
