@@ -257,6 +257,19 @@ def q_json_ingest(spark, sf_dir):
                     "pnl", "grade", "mental", "notes", "initial_risk")
 
 
+@query("json_file_ingest")
+def q_json_file_ingest(spark, sf_dir):
+    """A3 from files: the entries written as JSON lines into the shared
+    scratch folder, read back PERMISSIVE with an explicit schema, checked."""
+    j = _j(spark, sf_dir)
+    path = scratch_dir(spark, "entries-json")
+    j.raw_trades.write.json(path)
+    parsed = ledger.read_entries(spark, path)
+    t = ing.ingest(parsed.filter(~F.col("corrupt")).drop("corrupt"), j.users)
+    return t.select("id", "user_id", "date", "type", "entry_price", "exit_price", "position_size",
+                    "pnl", "grade", "mental", "notes", "initial_risk")
+
+
 @query("ledger_roundtrip")
 def q_ledger_roundtrip(spark, sf_dir):
     """A4 then A1: write the ledger by month into the shared scratch folder

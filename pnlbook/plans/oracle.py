@@ -377,6 +377,7 @@ oracle("user_purge")("""
 SELECT id, user_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id AND u.id % 5 = 0)""")
 
 QUERIES["json_ingest"] = QUERIES["ingest_trades"]
+QUERIES["json_file_ingest"] = QUERIES["ingest_trades"]
 
 oracle("ledger_roundtrip")("""
 SELECT user_id, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS trade_count
