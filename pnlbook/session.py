@@ -41,6 +41,8 @@ def cluster_conf(input_bytes: int, cores: int) -> dict:
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        # honour the advisory size instead of maximising task count
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * PARTITION_BYTES),
         "spark.sql.files.maxPartitionBytes": str(2 * PARTITION_BYTES),
