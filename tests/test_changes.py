@@ -5,7 +5,6 @@ import random
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from pnlbook.operators import changes
 from pnlbook.schemas import TRADE_CHANGES

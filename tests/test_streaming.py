@@ -4,7 +4,6 @@ end equal to the batch result; late rows past the watermark are dropped."""
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from pnlbook.operators import changes
 from pnlbook.plans.context import Journal
