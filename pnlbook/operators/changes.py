@@ -95,6 +95,33 @@ def live_state(outcomes: DataFrame, payload: list[str], key: list[str] = KEY) ->
 TRADE_PAYLOAD = ["date", "type", "pnl_input"]
 
 
+def live_trade_state(outcomes: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """``live_state`` for the trade payload, with fixed-width aggregate
+    buffers only: the side is carried as a boolean and the PnL as a decimal,
+    each field by its own ``max_by``. Spark then runs a (code-generated)
+    hash aggregate instead of the sort-based one a string or struct buffer
+    needs. Accepted trade changes have side LONG or SHORT, so the boolean
+    loses nothing."""
+    accepted = F.col("outcome") != "rejected"
+    changed = F.when(F.col("outcome").isin("created", "updated"), F.col("seq"))
+    created = F.when(F.col("outcome") == "created", F.col("seq"))
+    last_seq = F.col("last_seq") if "last_seq" in outcomes.columns else F.col("seq")
+    born_ts = F.col("born_ts") if "born_ts" in outcomes.columns else F.col("ts")
+    agg = outcomes.groupBy(*key).agg(
+        F.max(F.when(accepted & (F.col("op") == "I"), F.col("seq"))).alias("_last_i"),
+        F.max(F.when(F.col("op") == "D", F.col("seq"))).alias("_last_d"),
+        F.max(created).alias("born"),
+        F.max_by(born_ts, created).alias("created_at"),
+        F.max_by(F.col("date"), changed).alias("date"),
+        F.max_by(F.col("type") == "LONG", changed).alias("_long"),
+        F.max_by(F.col("pnl_input"), changed).alias("pnl_input"),
+        F.max_by(last_seq, changed).alias("seq"))
+    live = F.coalesce(F.col("_last_i"), F.lit(-1)) > F.coalesce(F.col("_last_d"), F.lit(-1))
+    return agg.filter(live).select(
+        *key, "date", F.when(F.col("_long"), F.lit("LONG")).otherwise(F.lit("SHORT")).alias("type"),
+        "pnl_input", "seq", "born", "created_at")
+
+
 def trade_change_valid(changes: DataFrame) -> F.Column:
     """B3/B4 for PnL-only changes of ``changes``: date, side and a number."""
     return (F.col("date").isNotNull() & F.col("type").isin("LONG", "SHORT")
@@ -102,14 +129,15 @@ def trade_change_valid(changes: DataFrame) -> F.Column:
 
 
 def change_outcomes(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
-    """I4 over a trade change feed."""
-    return fold_outcomes(changes, trade_change_valid(changes), KEY, chunk_span)
+    """I4 over a trade change feed (PnL text read as a number first)."""
+    numeric = changes.withColumn("pnl_input", number_in(changes, "pnl_input"))
+    return fold_outcomes(numeric, trade_change_valid(numeric), KEY, chunk_span)
 
 
 def live_ledger(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
     """The ledger after the feed: user_id, id, date, type, pnl,
     born, seq, created_at. PnL follows the PnL-only entry rule (B6)."""
-    state = live_state(change_outcomes(changes, chunk_span), TRADE_PAYLOAD)
+    state = live_trade_state(change_outcomes(changes, chunk_span))
     return (pnl_only_entries(state)
             .select(*KEY, "date", "type", "pnl_input", "pnl", "born", "seq", "created_at"))
 
@@ -126,10 +154,11 @@ def state_as_changes(ledger: DataFrame) -> DataFrame:
 
 def fold_batch(state: DataFrame | None, batch: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
     """One step of the piecewise fold: previous ledger + new changes."""
-    cols = ["seq", "op", *KEY, "date", "type", "pnl_input", "ts"]
-    new = batch.select(*cols).withColumns({"last_seq": F.col("seq"), "born_ts": F.col("ts")})
+    cols = ["seq", "op", *KEY, "date", "type", "ts"]
+    new = batch.select(*cols, number_in(batch, "pnl_input").alias("pnl_input")).withColumns(
+        {"last_seq": F.col("seq"), "born_ts": F.col("ts")})
     feed = new if state is None else state_as_changes(state).unionByName(new)
-    st = live_state(fold_outcomes(feed, trade_change_valid(feed), KEY, chunk_span), TRADE_PAYLOAD)
+    st = live_trade_state(fold_outcomes(feed, trade_change_valid(feed), KEY, chunk_span))
     return (pnl_only_entries(st)
             .select(*KEY, "date", "type", "pnl_input", "pnl", "born", "seq", "created_at"))
 
