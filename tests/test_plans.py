@@ -40,3 +40,11 @@ def test_no_python_udf_in_catalogue(spark):
             continue
         p = plan(fn(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_no_cartesian_or_nested_loop_join(spark):
+    for name, fn in E.queries().items():
+        if name.startswith("stream_") or name in ("ledger_roundtrip", "json_file_ingest"):
+            continue
+        p = plan(fn(spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
