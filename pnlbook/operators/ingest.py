@@ -199,13 +199,15 @@ def new_users(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     repeats in the batch the first (by ``seq``) wins. ``existing`` has
     ``username``.
 
-    The first row per name is a ``min_by`` aggregate, so a name repeated
-    very often is reduced map-side before the shuffle.
+    The first row per name is ``min(seq)`` plus one ``min_by`` per other
+    column, so a name repeated very often is reduced map-side before the
+    shuffle (a hash aggregate when those columns are fixed-width).
     """
     taken = existing.select("username").dropDuplicates()
     rest = [c for c in candidates.columns if c != "username"]
     named = candidates.filter(F.col("username").isNotNull() & (F.col("username") != ""))
-    first = (named.join(taken, "username", "left_anti")
-             .groupBy("username")
-             .agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_first")))
-    return first.select("username", "_first.*")
+    firsts = [F.min("seq").alias("seq")] + [F.min_by(F.col(c), F.col("seq")).alias(c)
+                                             for c in rest if c != "seq"]
+    return (named.join(taken, "username", "left_anti")
+            .groupBy("username").agg(*firsts)
+            .select("username", *rest))
