@@ -111,8 +111,7 @@ def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
     """Read an update-mode sink: the value of the last batch per key."""
     df = spark.read.parquet(sink)
     rest = [c for c in df.columns if c not in key and c != "batch_id"]
-    return (df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_v"))
-            .select(*key, "_v.*"))
+    return df.groupBy(*key).agg(*[F.max_by(F.col(c), F.col("batch_id")).alias(c) for c in rest])
 
 
 # Key buckets of the live-ledger state. A micro-batch reads and rewrites only
