@@ -48,3 +48,8 @@ def test_no_cartesian_or_nested_loop_join(spark):
             continue
         p = plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_trade_fold_uses_hash_aggregates(spark):
+    p = plan(E.queries()["live_ledger"](spark, SF_SMALL))
+    assert "SortAggregate" not in p and "HashAggregate" in p
