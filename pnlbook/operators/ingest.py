@@ -174,7 +174,7 @@ def default_account_pairs(entries: DataFrame, accounts: DataFrame,
     """
     keep = [c for c in entries.columns if c != "account_ids"]
     listed = (entries.filter(F.col("account_ids").isNotNull())
-              .select(*keep, F.explode("account_ids").alias("account_id")))
+              .select(*keep, F.explode(F.array_distinct("account_ids")).alias("account_id")))
     missing = entries.filter(F.col("account_ids").isNull()).drop("account_ids")
     if active_account is not None:
         filled = missing.withColumn("account_id", F.lit(active_account).cast("int"))

@@ -120,7 +120,8 @@ def account_stats(trades: DataFrame, accounts: DataFrame, users: DataFrame) -> D
     account_id) feeds both kinds of rows; the shuffle is shared by the two
     joins that follow.
     """
-    every = F.concat(F.col("account_ids"), F.array(F.lit(None).cast("int")))
+    # each account once per trade (membership, as `= ANY(list)`), plus "all"
+    every = F.concat(F.array_distinct(F.col("account_ids")), F.array(F.lit(None).cast("int")))
     pairs = trades.select("user_id", "type", "pnl", F.explode(every).alias("account_id"))
     agg = pairs.groupBy("user_id", "account_id").agg(*base_aggs())
     keys = (accounts.select("user_id", F.col("id").cast("int").alias("account_id"))

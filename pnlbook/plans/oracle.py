@@ -219,7 +219,7 @@ SELECT user_id, total, wins, losses, win_rate,
 oracle("stat_card")(_stat_card())
 
 oracle("account_stats")(f"""
-, pairs AS (SELECT user_id, type, pnl, unnest(account_ids) AS account_id FROM trades),
+, pairs AS (SELECT user_id, type, pnl, unnest(list_distinct(account_ids)) AS account_id FROM trades),
 pa AS ({_base('pairs', 'user_id, account_id')}),
 ja AS (SELECT a.user_id, a.id AS account_id, pa.* EXCLUDE (user_id, account_id)
   FROM accounts a LEFT JOIN pa ON pa.user_id = a.user_id AND pa.account_id = a.id),
@@ -409,7 +409,7 @@ FROM d WHERE name <> ''""")
 
 oracle("default_accounts")("""
 , e AS (SELECT id, user_id, CASE WHEN id % 13 = 0 THEN NULL ELSE account_ids END AS account_ids FROM trades)
-SELECT id, CAST(unnest(account_ids) AS INT) AS account_id FROM e WHERE account_ids IS NOT NULL
+SELECT id, CAST(unnest(list_distinct(account_ids)) AS INT) AS account_id FROM e WHERE account_ids IS NOT NULL
 UNION ALL
 SELECT e.id, a.id AS account_id FROM e JOIN accounts a ON a.user_id = e.user_id WHERE e.account_ids IS NULL""")
 

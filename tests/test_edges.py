@@ -193,3 +193,13 @@ def test_csv_field_reads_back(spark, tmp_dir):
     export.write_csv(t, tmp_dir + "/csv")
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(tmp_dir + "/csv")
     assert back.first().notes == note
+
+
+def test_repeated_account_id_counts_once(spark):
+    t = spark.createDataFrame([(1, 1, DAY, "LONG", D("5"), [3, 3]), (2, 1, DAY, "LONG", D("-1"), [3])],
+                              "id LONG, user_id INT, date DATE, type STRING, pnl DECIMAL(18,4), account_ids ARRAY<INT>")
+    acc = spark.createDataFrame([(3, 1, "a", "live", D("0"))], "id INT, user_id INT, name STRING, type STRING, size DECIMAL(18,4)")
+    r = {x.account_id: x for x in stats.account_stats(t, acc, users(spark, [1])).collect()}
+    assert (r[3].total, r[3].net_pnl) == (2, D("4.0000"))
+    pairs = ingest.default_account_pairs(t.select("id", "user_id", "account_ids"), acc).collect()
+    assert sorted((p.id, p.account_id) for p in pairs) == [(1, 3), (2, 3)]
