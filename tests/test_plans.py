@@ -53,3 +53,9 @@ def test_no_cartesian_or_nested_loop_join(spark):
 def test_trade_fold_uses_hash_aggregates(spark):
     p = plan(E.queries()["live_ledger"](spark, SF_SMALL))
     assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_ingest_path_builds_no_reason_text(spark):
+    p = plan(E.queries()["ingest_trades"](spark, SF_SMALL))
+    assert "concat_ws" not in p
+    assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(o_orderdate\)", p)
