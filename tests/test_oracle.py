@@ -1,9 +1,11 @@
 """Every catalogue query against its DuckDB oracle."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.oracle_util import duck, same
 
 SQL = E.oracle_sql()
@@ -25,6 +27,12 @@ def test_query_matches_oracle(spark, con, name):
     same(df, con, SQL[name])
 
 
+@pytest.mark.skipif(not os.environ.get("PNLBOOK_ORACLE_MID"), reason="set PNLBOOK_ORACLE_MID=1 for sf0.01")
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle_mid(spark, name):
+    same(E.queries()[name](spark, SF_MID), duck(SF_MID), SQL[name])
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
