@@ -1,7 +1,7 @@
 """Ingest of trade entries: checks, defaults, PnL.
 
 ``check_entries`` adds ``valid`` and ``reasons`` (the failed checks, NULL
-when the entry passes) to every entry; ``ingest`` keeps the valid rows as
+when the entry passes; built from one integer of fault bits) to every entry; ``ingest`` keeps the valid rows as
 the ledger, ``rejects`` the others. Both come from one plan, so persisting
 the checked frame lets a job write both sinks from a single scan
 (``plans.batch.ingest_to_ledger``).
@@ -82,12 +82,17 @@ def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
          & F.col("pnl").isNull(), "out_of_range"),
         (F.col("_known").isNull(), "unknown_user"),
     ]
-    valid = ~F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c, _ in checks]),
-                        F.lit(False))
-    reasons = F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in checks])
-    return (df.withColumn("valid", valid)
+    # One integer of fault bits. It is a single expression over both join
+    # sides, so Catalyst keeps it above the join instead of splitting it and
+    # pushing copies of the PnL arithmetic below; valid rows build no text.
+    faults = reduce(lambda a, b: a + b,
+                    [F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)) for i, (cond, _) in enumerate(checks)])
+    reasons = F.concat_ws(",", *[F.when(F.col("_faults").bitwiseAND(1 << i) != 0, F.lit(code))
+                                 for i, (_, code) in enumerate(checks)])
+    return (df.withColumn("_faults", faults)
+            .withColumn("valid", F.col("_faults") == 0)
             .withColumn("reasons", F.when(~F.col("valid"), reasons))
-            .drop("_known"))
+            .drop("_known", "_faults"))
 
 
 def ingest(raw: DataFrame, users: DataFrame) -> DataFrame:
