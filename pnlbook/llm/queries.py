@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import rules, sharding
+from . import packing, pieces, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,20 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("kept", rules.passes(rules.BASE_POLICY) & rules.passes(rules.POLICY)))
 
 
+def op9_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents and their decoding, as digests."""
+    return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; the ids of each piece as a checksum."""
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op5_rule_ledger": op5_rule_ledger,
+    "op9_chunk_pieces": op9_chunk_pieces,
+    "op10_tier_packing": op10_tier_packing,
 }
