@@ -34,3 +34,62 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fa
 """
 
 SQL: dict[str, str] = {"op5_rule_ledger": OP5}
+
+
+def _entities(sql: str) -> str:
+    """Nested replace() calls for the entities, the ampersand last."""
+    pairs = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"),
+             ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
+    for a, b in pairs:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+_URN = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
+_CRLF = "chr(13) || chr(10)"
+OP2 = rf"""
+WITH source AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages),
+response AS (
+  SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '') || '|sha256:' || d) AS u,
+    regexp_replace(h, '(?is)<!--.*?(?:-->|\z)|<script(?:[ \t\r\n\f/][^>]*)?>.*?(?:</script[ \t\r\n\f]*>|\z)|<style(?:[ \t\r\n\f/][^>]*)?>.*?(?:</style[ \t\r\n\f]*>|\z)', '', 'g') AS seen,
+    trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<title(?:[ \t\r\n\f][^>]*)?>(.*?)</title', 1), '</?[A-Za-z!?][^>]*>', '', 'g'), '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title,
+    lower(regexp_extract(h, '(?i)<html[^>]*[ \t\r\n\f]lang=["'']?([A-Za-z0-9-]+)', 1)) AS lang,
+    lower(regexp_extract(h, '(?i)<meta[^>]*charset=["'']?([A-Za-z0-9_-]+)', 1)) AS charset
+  FROM source),
+bare AS (
+  SELECT *, regexp_replace(regexp_replace(seen, '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)(?:[ \t\r\n\f/][^>]*)?>', chr(10), 'g'), '</?[A-Za-z!?][^>]*>', '', 'g') AS b
+  FROM response),
+both_kinds AS (
+  SELECT page_id, target_uri, {_URN.format('u')} AS refers_to, 'sha256:' || d AS payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'title: ' || title || {_CRLF} || 'language: ' || lang || {_CRLF} || 'charset: ' || charset || {_CRLF} || 'source-status: HTTP/1.1 200 OK' || {_CRLF}
+      || 'source-content-type: text/html; charset=utf-8' || {_CRLF} || 'source-payload-length: ' || strlen(h)::VARCHAR || {_CRLF}
+      || 'source-payload-digest: sha256:' || d || {_CRLF} AS block FROM bare
+  UNION ALL
+  SELECT page_id, target_uri, {_URN.format('u')}, 'sha256:' || d, 'conversion', 'text/plain; charset=utf-8',
+    regexp_replace(regexp_replace(regexp_replace({_entities('b')}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g') FROM bare),
+named AS (
+  SELECT *, md5(warc_type || '|' || refers_to) AS m, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length,
+    '2024-01-01T00:00:00Z' AS date FROM both_kinds),
+ids AS (SELECT * EXCLUDE (m), {_URN.format('m')} AS record_id FROM named)
+SELECT *, 'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF}
+  || CASE WHEN target_uri IS NULL THEN '' ELSE 'WARC-Target-URI: ' || target_uri || {_CRLF} END || 'WARC-Date: ' || date || {_CRLF}
+  || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF}
+  || 'Content-Length: ' || content_length::VARCHAR || {_CRLF} || {_CRLF} AS header
+FROM ids
+"""
+
+OP7 = """
+WITH ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+one AS (SELECT vec_id, min(v) AS v FROM ok GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM one q JOIN one c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL |= {"op2_warc_derivatives": OP2, "op7_block_neighbours": OP7}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import packing, pieces, rules, sharding
+from . import neighbours, packing, pieces, rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *sharding.RESULT)
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality ledger of all documents, stored once, and the current policy's verdicts."""
     path = scratch_dir(spark, "ledger")
@@ -32,6 +37,11 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("kept", rules.passes(rules.BASE_POLICY) & rules.passes(rules.POLICY)))
 
 
+def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of all documents and their decoding, as digests."""
     return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
@@ -45,7 +55,9 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op5_rule_ledger": op5_rule_ledger,
+    "op7_block_neighbours": op7_block_neighbours,
     "op9_chunk_pieces": op9_chunk_pieces,
     "op10_tier_packing": op10_tier_packing,
 }
