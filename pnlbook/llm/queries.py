@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import neighbours, packing, pieces, rules, sharding, warc
+from . import cover, neighbours, packing, pieces, rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op4_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word windows that an earlier document has."""
+    return cover.digests(cover.dedup(table(spark, sf_dir, "documents")))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality ledger of all documents, stored once, and the current policy's verdicts."""
     path = scratch_dir(spark, "ledger")
@@ -56,6 +61,7 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op2_warc_derivatives": op2_warc_derivatives,
+    "op4_cover_dedup": op4_cover_dedup,
     "op5_rule_ledger": op5_rule_ledger,
     "op7_block_neighbours": op7_block_neighbours,
     "op9_chunk_pieces": op9_chunk_pieces,
