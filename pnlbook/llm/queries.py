@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import cover, neighbours, packing, pieces, rules, sharding, warc
+from . import cover, neighbours, packing, partenum, pieces, rules, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under four-word shingle similarity of 0.85."""
+    return partenum.components_of(table(spark, sf_dir, "documents"), gram=4, percent=85)
+
+
 def op4_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-word windows that an earlier document has."""
     return cover.digests(cover.dedup(table(spark, sf_dir, "documents")))
@@ -42,6 +47,11 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("kept", rules.passes(rules.BASE_POLICY) & rules.passes(rules.POLICY)))
 
 
+def op6_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that occur twice."""
+    return suffixes.digests(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -61,8 +71,10 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op2_warc_derivatives": op2_warc_derivatives,
+    "op3_partenum_join": op3_partenum_join,
     "op4_cover_dedup": op4_cover_dedup,
     "op5_rule_ledger": op5_rule_ledger,
+    "op6_suffix_levels": op6_suffix_levels,
     "op7_block_neighbours": op7_block_neighbours,
     "op9_chunk_pieces": op9_chunk_pieces,
     "op10_tier_packing": op10_tier_packing,
