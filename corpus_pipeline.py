@@ -7,10 +7,11 @@ reads again as the next stage's input.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pnlbook.llm import rules
+from pnlbook.llm import packing, partenum, pii, rules, suffixes
 from pnlbook.session import scratch_dir
 
 
@@ -23,8 +24,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return book.where(rules.passes(rules.POLICY)).select("doc_id.*")
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each component of similar ones
+    (five-word shingles, similarity 0.8 or more)."""
+    return partenum.representatives(docs, gram=5, percent=80)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without the 200-byte strings that occur twice in them."""
+    return suffixes.without_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts with personal data replaced by its kind."""
+    return pii.mask(docs, pii.fit(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' ids, packed into sequences of several context sizes."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("personal_data", personal_data),
+    ("packing", packing_stage),
 ]
 ORACLE_SQL = None       # near-duplicate, suffix, model and tokenizer stages are beyond SQL
 

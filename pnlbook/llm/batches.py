@@ -39,9 +39,9 @@ def slices(batch: pa.RecordBatch, column: str | None = None, most: int = SLICE_B
         k = end
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` where ``fn`` yields dicts of columns (arrays or Arrow arrays)."""
-    kind = _parse_datatype_string(schema)
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 

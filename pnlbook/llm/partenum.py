@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_arrow, slices
 from .components import components
-from .repeats import identified, lone, signed, stored
+from .repeats import identified, identify, lone, signed, stored
 from .textarrays import BASES, Prefix, Texts, mix, texts_of, word_prints, words_of
 
 SPLIT, SLACK = 2, 1
@@ -218,9 +218,8 @@ def open_pairs(groups: DataFrame, pivots: int, percent: int) -> DataFrame:
     return p.join(numbered, "sign").where((F.col("i") > F.col("ia")) & (F.col("c") != F.col("ca")) & fits).select("a", F.col("u").alias("b")).distinct()
 
 
-def components_of(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the component's smallest doc_id."""
-    base = identified(docs)
+def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(u, copies, doc_id, size, c): ``c`` is the first text of the component."""
     rows = map_arrow(base.select("u", "t"), signature_rows(gram, percent), "key long, u long, sign long, leader long, size long, digest binary")
     by = Window.partitionBy("key")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("u").over(by))
@@ -258,10 +257,25 @@ def components_of(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFram
         if pivots >= most:
             break
         pivots *= 8
-    named = base.select("u", "d", "copies", "doc_id")
     comp_of = comp.select(F.col("vertex").alias("rep"), "component")
-    out = named.join(sets, "u").join(comp_of, "rep", "left")
-    out = out.withColumn("c", F.when(F.col("size") == 0, F.col("d")).otherwise(F.coalesce("component", "rep")))
-    ids = named.select(F.col("u").alias("c"), F.col("doc_id").alias("component_id"))
-    return (out.join(ids, "c").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    first = F.when(F.col("size") == 0, F.col("u")).otherwise(F.coalesce("component", "rep"))
+    return (base.select("u", "copies", "doc_id").join(sets, "u").join(comp_of, "rep", "left")
+            .select("u", "copies", "doc_id", "size", first.alias("c")))
+
+
+def components_of(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the component's smallest doc_id, for every row."""
+    base = identified(docs)
+    ids = base.select(F.col("u").alias("c"), F.col("doc_id").alias("component_id"))
+    return (_components(base, gram, percent).join(ids, "c")
+            .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
             .select("doc_id", F.col("size").alias("n_shingles"), "component_id"))
+
+
+def representatives(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component does: the smallest
+    doc_id's (of equal rows, one). Texts without words all stay."""
+    known = identify(docs)
+    first = _components(known.texts, gram, percent).where(F.col("u") == F.col("c")).select("u")
+    kept = known.rows.join(first, "u", "left_semi")
+    return (kept if known.unique else kept.dropDuplicates(["u"])).select("row.*")

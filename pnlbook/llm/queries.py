@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import cover, neighbours, packing, partenum, pieces, rules, sharding, suffixes, warc
+from . import cover, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op8_span_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: the rules' spans, and the model's added."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
 def op9_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of all documents and their decoding, as digests."""
     return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rule_ledger": op5_rule_ledger,
     "op6_suffix_levels": op6_suffix_levels,
     "op7_block_neighbours": op7_block_neighbours,
+    "op8_span_crf": op8_span_crf,
     "op9_chunk_pieces": op9_chunk_pieces,
     "op10_tier_packing": op10_tier_packing,
 }

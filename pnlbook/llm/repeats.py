@@ -13,6 +13,8 @@ without nulls and repeats, else a number in the order of ``doc_id``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,27 +34,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(u, d, copies, doc_id, t): one row for each distinct (doc_id, text).
+@dataclass
+class Identified:
+    """``texts``: (u, d, copies, doc_id, t), one row for each distinct (doc_id, text);
+    ``u`` is unique and rises with ``doc_id`` (nulls last), ``d`` is the first ``u``
+    of the same ``doc_id``, ``copies`` counts equal rows, ``t`` is the text, null as
+    empty. ``rows``: (u, row), every input row. ``unique``: no row is repeated."""
+    texts: DataFrame
+    rows: DataFrame
+    unique: bool
 
-    ``u`` is unique and rises with ``doc_id`` (nulls last); ``d`` is the first
-    ``u`` of the same ``doc_id``; ``copies`` counts equal rows; ``t`` is the
-    text, null as empty.
-    """
-    df = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
+
+def identify(docs: DataFrame) -> Identified:
+    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    df = docs.select("doc_id", t.alias("t"), F.struct(*docs.columns).alias("row"))
     if isinstance(df.schema["doc_id"].dataType, (LongType, IntegerType, ShortType)):
-        n, some, distinct = df.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+        n, some, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
         if n == some == distinct:
             u = F.col("doc_id").cast("long")
-            return df.select(u.alias("u"), u.alias("d"), F.lit(1).cast("long").alias("copies"), "doc_id", "t")
+            return Identified(df.select(u.alias("u"), u.alias("d"), F.lit(1).cast("long").alias("copies"), "doc_id", "t"), df.select(u.alias("u"), "row"), True)
     keyed = df.withColumn("h", F.sha2(F.encode("t", "UTF-8"), 256))
     ids = (keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
            .orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("u", F.monotonically_increasing_id()))
-    ids = stored(ids, "ids")
-    ids = ids.withColumn("d", F.min("u").over(Window.partitionBy("doc_id")))
-    texts = keyed.groupBy("doc_id", "h").agg(F.first("t").alias("t"))
-    same = ids["doc_id"].eqNullSafe(texts["doc_id"]) & (ids["h"] == texts["h"])
-    return stored(ids.join(texts, same).select("u", "d", "copies", ids["doc_id"], "t"), "texts")
+    ids = stored(ids, "ids")                # in the order of ids, and fixed from here on
+    ids = ids.withColumn("d", F.min("u").over(Window.partitionBy("doc_id"))).withColumnsRenamed({"doc_id": "id_", "h": "h_"})
+    rows = keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["id_"]) & (F.col("h") == F.col("h_")))
+    texts = rows.dropDuplicates(["u"]).select("u", "d", "copies", "doc_id", "t")
+    return Identified(stored(texts, "texts"), rows.select("u", "row"), False)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The distinct texts of ``docs`` (see ``Identified``)."""
+    return identify(docs).texts
 
 
 def lone(u: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -93,4 +106,4 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("u").over(by)).withColumn("n", F.count(F.lit(1)).over(by))
 
 
-__all__ = ["combine", "identified", "lone", "settle", "signed", "stored"]
+__all__ = ["Identified", "combine", "identified", "identify", "lone", "settle", "signed", "stored"]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pnlbook.session import scratch_dir
 
 from .batches import lists, map_arrow, slices
-from .repeats import combine, identified, lone, settle, signed, stored
+from .repeats import combine, identified, identify, lone, settle, signed, stored
 from .textarrays import BASES, Prefix, Texts, mix, spans_cover, texts_of
 
 MATCH = 200
@@ -270,12 +270,9 @@ def cut_rows(it):
                    "span_ends": lists((closes - t.at[of]).astype(np.int32), at, pa.int32())}
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, span_starts, span_ends, kept, digest): the
-    removed spans in bytes and, of texts that lose some but not all of them, the
-    bytes that are left; ``digest`` is the whole text's sha256."""
-    spark = docs.sparkSession
-    base = identified(docs)
+def _dedup(base: DataFrame, batches: int) -> DataFrame:
+    """One row for each distinct text; see ``dedup``."""
+    spark = base.sparkSession
     kind = base.schema["doc_id"].dataType.simpleString()
     seen = stored(map_arrow(base, digest_rows, f"u long, d long, copies long, doc_id {kind}, n_bytes long, digest binary")
                   .withColumn("rep", F.min("u").over(Window.partitionBy("digest")))
@@ -297,12 +294,55 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     whole = (F.col("members") > 1) & (F.col("n_bytes") >= MATCH)
     none, n = F.array().cast("array<int>"), F.col("n_bytes").cast("int")
     pick = lambda name, all_, no: F.when(whole, all_).otherwise(F.coalesce(F.col(name), no)).alias(name)
-    return (out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-            .select("doc_id", "n_bytes", pick("n_removed", F.col("n_bytes"), F.lit(0).cast("long")),
+    return (out.select("u", "copies", "doc_id", "n_bytes", pick("n_removed", F.col("n_bytes"), F.lit(0).cast("long")),
                     pick("span_starts", F.array(F.lit(0)), none), pick("span_ends", F.array(n), none),
                     F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.lower(F.hex("digest")).alias("digest")))
 
 
+def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, span_starts, span_ends, kept, digest): the
+    removed spans in bytes and, of texts that lose any of them, the bytes that are
+    left; ``digest`` is the whole text's sha256. One row for every row of ``docs``."""
+    return (_dedup(identified(docs), batches)
+            .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("u", "copies", "copy"))
+
+
+def _whole_characters(buf: bytes, starts: list[int], ends: list[int]) -> str:
+    """The text without the spans, each shrunk to whole characters."""
+    out, at = [], 0
+    for a, b in zip(starts, ends, strict=True):
+        while a < b and buf[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(buf) and buf[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(buf[at:a])
+        at = b
+    return b"".join([*out, buf[at:]]).decode()
+
+
+def text_rows(it):
+    for batch in it:
+        for part in slices(batch, "t"):
+            t = texts_of(part.column("t"))
+            buf, at = t.buf.tobytes(), t.at.tolist()
+            left = [_whole_characters(buf[a:b], s, e) for a, b, s, e in
+                    zip(at[:-1], at[1:], part.column("span_starts").to_pylist(), part.column("span_ends").to_pylist(), strict=True)]
+            yield {"u": part.column("u"), "left": pa.array(left, pa.string())}
+
+
+def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with the repeated strings cut out of the texts, at whole characters
+    (a character cut in two by a span's end stays). All rows stay, a text that is
+    repeated as a whole is empty; ``n_chars``, if there, follows the text."""
+    known = identify(docs)
+    spans = _dedup(known.texts, batches).where("n_removed > 0").select("u", "span_starts", "span_ends")
+    cut = map_arrow(known.texts.select("u", "t").join(spans, "u"), text_rows, "u long, left string")
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    changed = F.col("left").isNotNull()
+    return known.rows.join(cut, "u", "left").select(
+        *((F.when(changed, new[c]).otherwise(F.col(f"row.{c}")) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def digests(out: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the kept bytes."""
     return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"),

@@ -1,0 +1,108 @@
+"""Rules against plain regular expressions, the model against enumeration and held-out texts."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from pnlbook.llm import pii
+
+PLAIN = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+         "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def plain_spans(text):
+    out = []
+    for kind, p in PLAIN.items():
+        for m in p.finditer(text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                odd = digits[::-1]
+                total = sum(odd[::2]) + sum(sum(divmod(2 * x, 10)) for x in odd[1::2])
+                if not 12 <= len(digits) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], list(PLAIN).index(s[0])))
+
+
+def test_rules_equal_plain_expressions():
+    rnd = random.Random(1)
+    bits = ["a@b.c", "@", ".", "x", "é", " ", "-", "+1", "(555)", "555-1234", "4111111111111111", "4111 1111 1111 1111", "10.0.0.1", "256.1.1.1", "1.2.3.4.5", "0", "9", "a.b@c-d.e.f", "%", "\n", "0010.2.3.4"]
+    for _ in range(4000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 14)))
+        assert pii.rule_spans(t) == plain_spans(t), repr(t)
+
+
+def test_long_runs_are_linear():
+    for t in ("1" * 200_000, "a" * 200_000, "@" * 100_000, "1." * 100_000, "+1" * 100_000, "a@" * 50_000, "1 " * 3000, "a b " * 50_000):
+        pii.rule_spans(t)
+    pii.found("1 " * 3000 + "7" * 5000, pii.Model(np.zeros((len(pii.KINDS), pii.SIZE))))
+
+
+def cuts(n, segments, at=0):
+    if at == n:
+        yield ()
+        return
+    yield from cuts(n, segments, at + 1)
+    for k, (i, j) in enumerate(segments):
+        if i == at:
+            for c in range(len(pii.KINDS)):
+                for rest in cuts(n, segments, j):
+                    yield ((k, c), *rest)
+
+
+def test_programme_equals_enumeration(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    model = pii.Model(rng.normal(size=(len(pii.KINDS), pii.SIZE)) * 0.4)
+    for text in ("x 1 2", "a@b 3", "k=12-3", "1.2 +4"):
+        p = pii.Passage(text, 0, len(text))
+        segments, features = p.candidates(0, 99)
+        s = model.scores(features)
+        every = {c: sum(s[k, y] for k, y in c) for c in cuts(len(p.tokens), segments)}
+        log_z, prob = model.forward_backward(len(p.tokens), segments, s)
+        weights = np.exp(np.array(list(every.values())) - log_z)
+        assert abs(weights.sum() - 1) < 1e-9
+        for k in range(len(segments)):
+            for y in range(len(pii.KINDS)):
+                assert abs(prob[k, y] - sum(w for c, w in zip(every, weights, strict=True) if (k, y) in c)) < 1e-9
+        best = max(every, key=every.get)
+        assert sorted(model.best(p)) == sorted((*segments[k], pii.KINDS[y]) for k, y in best)
+
+
+def test_held_out_spans(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]'").orderBy("doc_id").collect()
+    model = pii.train([r["text"] for r in rows[:500]])
+    want = got = both = 0
+    for r in rows[500:900]:
+        g, q = set(pii.gold(r["text"])), set(pii.model_spans(r["text"], model))
+        want, got, both = want + len(g), got + len(q), both + len(g & q)
+    assert both / want > 0.95 and both / got > 0.93
+
+
+def test_table(spark):
+    rows = [(1, "mail a.b@c.org, call +1 (988) 555-2485 now", "clash"), (2, None, ""), (3, "", ""), (None, "é 10.0.0.1", ""), (3, "", ""), (4, "none here", ""),
+            (5, "token = \"b7db7aa4a5fcc78305ffee\" x", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(real)
+    got = {(r["doc_id"], r["spans"]): r for r in pii.digests(pii.find(df, model)).collect()}
+    assert len(got) == 6
+    for i, t, _ in rows:
+        base = plain_spans(t or "")
+        r = next(r for (d, _), r in got.items() if d == i)
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in base) for k in PLAIN]
+        assert {x for x in text.split(",") if x} <= set(r["spans"].split(","))
+    assert any("secret:9:31" in s for _, s in got)
+    assert pii.digests(pii.find(df.limit(0), pii.fit(df.limit(0)))).count() == 0
+
+
+def test_masked():
+    assert pii.masked("a 1 b 2", [("ip", 2, 3), ("card", 2, 5), ("phone", 6, 7)]) == "a [IP] [PHONE]"
