@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pnlbook.llm import packing, partenum, pii, rules, suffixes
 from pnlbook.session import scratch_dir
@@ -17,11 +16,8 @@ from pnlbook.session import scratch_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps, as they came.
-
-    The verdict is computed beside each row, so equal or null ids do no harm.
     """
-    book = rules.ledger(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
-    return book.where(rules.passes(rules.POLICY)).select("doc_id.*")
+    return rules.kept_rows(docs, rules.POLICY)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

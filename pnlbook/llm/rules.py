@@ -101,6 +101,17 @@ def passes(version: int) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(version)).cast("long")) == 0
 
 
+def kept_rows(docs: DataFrame, version: int = POLICY) -> DataFrame:
+    """The rows of ``docs`` that pass a policy version, as they came.
+
+    The verdict is made beside each row, so equal or null ids do no harm. It goes
+    through ``explode``, past which the optimiser moves no filter: moved below the
+    measurements, the filter would repeat them inside their own lambdas.
+    """
+    book = ledger(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
+    return book.withColumn("kept", F.explode(F.array(passes(version)))).where("kept").select("doc_id.*")
+
+
 def ablations(book: DataFrame) -> DataFrame:
     """For each policy version and each of its rules: documents that fail the
     rule, that fail it alone (they come back without it), and all rejected.

@@ -100,8 +100,8 @@ def test_packing(stages):
     assert got == want
 
 
-def test_empty_and_nulls(spark, stages):
-    docs = spark.createDataFrame(stages[0][1].head(3)[COLUMNS].astype(object).values.tolist(), "doc_id long, text string, lang string, source string, n_chars long")
+def test_empty_and_nulls(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(3)
     for frame in (docs.limit(0), docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars", "1 as u", "'x' as t", "2 as row").unionAll(
             docs.selectExpr("doc_id", "cast(null as string)", "lang", "source", "cast(null as long)", "1", "'x'", "2"))):
         for name, stage in corpus_pipeline.STAGES:
