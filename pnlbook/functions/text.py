@@ -36,11 +36,9 @@ def currency(n: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A decimal as a plain number would print: trailing zeros dropped
-    ('1.50' -> '1.5', '2.00' -> '2')."""
-    s = x.cast("string")
-    s = F.regexp_replace(s, r"(\.[0-9]*[1-9])0+$", "$1")
-    return F.regexp_replace(s, r"\.0+$", "")
+    """A decimal with places as a plain number would print: trailing zeros
+    dropped ('1.50' -> '1.5', '2.00' -> '2')."""
+    return F.rtrim(F.rtrim(x.cast("string"), F.lit("0")), F.lit("."))
 
 
 def trade_count_text(n: Column) -> Column:

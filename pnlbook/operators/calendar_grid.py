@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pnlbook.functions.text import month_key, month_label, pnl_sign, trade_count_text
 from pnlbook.operators.filters import date_range, month_bounds
 from pnlbook.operators.summaries import daily_summary
-from pnlbook.schemas import MONEY
+from pnlbook.schemas import TOTAL
 
 
 def month_cells(users: DataFrame, months: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def calendar_grid(trades: DataFrame, users: DataFrame, months: list[str]) -> Dat
     return g.select(
         "user_id", "month", "week_index", "dow", "date",
         n.alias("trade_count"),
-        pnl.cast(MONEY).alias("pnl"),
+        pnl.cast(TOTAL).alias("pnl"),
         F.when(n == 0, F.lit("empty")).when(pnl > 0, F.lit("profit")).otherwise(F.lit("loss"))
          .alias("day_class"),
         F.when(n > 0, pnl_sign(pnl)).alias("pnl_sign"),
@@ -67,5 +67,5 @@ def calendar_weeks(grid: DataFrame) -> DataFrame:
     """one total per calendar row (days of the month only), 0 when the
     row has no trades, and its sign."""
     return (grid.groupBy("user_id", "month", "week_index")
-            .agg(F.coalesce(F.sum("pnl"), F.lit(0)).cast(MONEY).alias("week_pnl"))
+            .agg(F.coalesce(F.sum("pnl"), F.lit(0)).cast(TOTAL).alias("week_pnl"))
             .withColumn("week_sign", pnl_sign(F.col("week_pnl"))))

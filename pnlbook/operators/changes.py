@@ -20,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pnlbook.operators.ingest import normalise_accounts, number_in, pnl_only_entries
+from pnlbook.functions.money import dec
+from pnlbook.operators.ingest import (PNL_ONLY_ENTRY_PRICE, check_entries, normalise_accounts, number_in,
+                                      with_defaults)
 from pnlbook.plans.joins import bounded_broadcast
+from pnlbook.schemas import MONEY, TRADE_CHANGES
 
 KEY = ["user_id", "id"]
 # Width of a seq chunk of the two-level scan; bounds a window partition.
@@ -54,8 +57,7 @@ def fold_outcomes(changes: DataFrame, valid: F.Column | None = None, key: list[s
                   chunk_span: int = CHUNK_SPAN) -> DataFrame:
     """I4: the outcome of every change. Rows where ``valid`` is false are
     'rejected' and take no part in the fold (an I or U with a payload the
-    checks refuse); they still go through the same single pass, so the feed
-    is read once. Keeps all input columns, adds ``outcome``."""
+    checks refuse). Keeps all input columns, adds ``outcome``."""
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     marked = changes.withColumn("_ok", (F.col("op") == "D") | ok)
     folded = _prior_max(marked, key, chunk_span)
@@ -79,88 +81,73 @@ def live_state(outcomes: DataFrame, payload: list[str], key: list[str] = KEY) ->
     """
     accepted = F.col("outcome") != "rejected"
     changed = F.col("outcome").isin("created", "updated")
-    last_seq = F.col("last_seq") if "last_seq" in outcomes.columns else F.col("seq")
-    born_ts = F.col("born_ts") if "born_ts" in outcomes.columns else F.col("ts")
     agg = (outcomes.groupBy(*key).agg(
         F.max(F.when(accepted & (F.col("op") == "I"), F.col("seq"))).alias("_last_i"),
         F.max(F.when(F.col("op") == "D", F.col("seq"))).alias("_last_d"),
-        F.max_by(F.struct(F.col("seq").alias("born"), born_ts.alias("created_at")),
+        F.max_by(F.struct(F.col("seq").alias("born"), F.col("ts").alias("created_at")),
                  F.when(F.col("outcome") == "created", F.col("seq"))).alias("_born"),
-        F.max_by(F.struct(*[F.col(c) for c in payload], last_seq.alias("seq")),
+        F.max_by(F.struct(*[F.col(c) for c in payload], F.col("seq")),
                  F.when(changed, F.col("seq"))).alias("_row")))
     live = F.coalesce(F.col("_last_i"), F.lit(-1)) > F.coalesce(F.col("_last_d"), F.lit(-1))
     return agg.filter(live).select(*key, "_row.*", "_born.born", "_born.created_at")
 
 
-TRADE_PAYLOAD = ["date", "type", "pnl_input"]
-
-
-def live_trade_state(outcomes: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """``live_state`` for the trade payload, with fixed-width aggregate
-    buffers only: the side is carried as a boolean and the PnL as a decimal,
-    each field by its own ``max_by``. Spark then runs a (code-generated)
-    hash aggregate instead of the sort-based one a string or struct buffer
-    needs. Accepted trade changes have side LONG or SHORT, so the boolean
-    loses nothing."""
-    accepted = F.col("outcome") != "rejected"
-    changed = F.when(F.col("outcome").isin("created", "updated"), F.col("seq"))
-    created = F.when(F.col("outcome") == "created", F.col("seq"))
-    last_seq = F.col("last_seq") if "last_seq" in outcomes.columns else F.col("seq")
-    born_ts = F.col("born_ts") if "born_ts" in outcomes.columns else F.col("ts")
-    agg = outcomes.groupBy(*key).agg(
-        F.max(F.when(accepted & (F.col("op") == "I"), F.col("seq"))).alias("_last_i"),
-        F.max(F.when(F.col("op") == "D", F.col("seq"))).alias("_last_d"),
-        F.max(created).alias("born"),
-        F.max_by(born_ts, created).alias("created_at"),
-        F.max_by(F.col("date"), changed).alias("date"),
-        F.max_by(F.col("type") == "LONG", changed).alias("_long"),
-        F.max_by(F.col("pnl_input"), changed).alias("pnl_input"),
-        F.max_by(last_seq, changed).alias("seq"))
-    live = F.coalesce(F.col("_last_i"), F.lit(-1)) > F.coalesce(F.col("_last_d"), F.lit(-1))
-    return agg.filter(live).select(
-        *key, "date", F.when(F.col("_long"), F.lit("LONG")).otherwise(F.lit("SHORT")).alias("type"),
-        "pnl_input", "seq", "born", "created_at")
-
-
-def trade_change_valid(changes: DataFrame) -> F.Column:
-    """B3/B4 for PnL-only changes of ``changes``: date, side and a number."""
-    return (F.col("date").isNotNull() & F.col("type").isin("LONG", "SHORT")
-            & number_in(changes, "pnl_input").isNotNull())
-
-
-def change_outcomes(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
-    """I4 over a trade change feed (PnL text read as a number first)."""
-    numeric = changes.withColumn("pnl_input", number_in(changes, "pnl_input"))
-    return fold_outcomes(numeric, trade_change_valid(numeric), KEY, chunk_span)
-
-
-def live_ledger(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
-    """The ledger after the feed: user_id, id, date, type, pnl,
-    born, seq, created_at. PnL follows the PnL-only entry rule (B6)."""
-    state = live_trade_state(change_outcomes(changes, chunk_span))
-    return (pnl_only_entries(state)
-            .select(*KEY, "date", "type", "pnl_input", "pnl", "born", "seq", "created_at"))
-
-
-def state_as_changes(ledger: DataFrame) -> DataFrame:
-    """Feed a ledger back as I rows at seq = born (with the seq of its last
-    change and its created_at beside), so that the fold can go on piecewise:
-    fold(state + next batch) = fold(all changes so far)."""
-    return ledger.select(
-        F.col("born").alias("seq"), F.lit("I").alias("op"), *KEY, "date", "type", "pnl_input",
-        F.col("created_at").alias("ts"), F.col("seq").alias("last_seq"),
-        F.col("created_at").alias("born_ts"))
-
-
-def fold_batch(state: DataFrame | None, batch: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
-    """One step of the piecewise fold: previous ledger + new changes."""
-    cols = ["seq", "op", *KEY, "date", "type", "ts"]
-    new = batch.select(*cols, number_in(batch, "pnl_input").alias("pnl_input")).withColumns(
-        {"last_seq": F.col("seq"), "born_ts": F.col("ts")})
-    feed = new if state is None else state_as_changes(state).unionByName(new)
-    st = live_trade_state(fold_outcomes(feed, trade_change_valid(feed), KEY, chunk_span))
-    return (pnl_only_entries(st)
-            .select(*KEY, "date", "type", "pnl_input", "pnl", "born", "seq", "created_at"))
+# What a trade change carries besides its key, seq and op.
+TRADE_PAYLOAD = ["date", "type", "entry_price", "exit_price", "position_size", "pnl", "grade", "notes", "mental",
+                 "initial_risk", "account_ids"]
+LEDGER_COLUMNS = [*KEY, *TRADE_PAYLOAD, "born", "seq", "created_at"]
+
+
+def checked_changes(changes: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The feed with whole trades: B6 for changes that send only a PnL (entry
+    100, exit 100 +- PnL, size 1), then the same checks, defaults and PnL as
+    batch ingest (B1-B5). Adds ``ok`` (a delete needs no payload) and
+    ``reasons``. Columns that the feed lacks count as not sent."""
+    df = changes
+    for f in TRADE_CHANGES:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    only = F.col("entry_price").isNull() & F.col("exit_price").isNull()
+    pnl = number_in(changes, "pnl_input") if "pnl_input" in changes.columns else F.col("pnl_input")
+    base = dec(PNL_ONLY_ENTRY_PRICE).cast(MONEY)
+    moved = F.when(F.col("type") == "LONG", base + pnl).otherwise(base - pnl).cast(MONEY)
+    df = df.withColumns({
+        "entry_price": F.when(only & pnl.isNotNull(), base).otherwise(F.col("entry_price")),
+        "exit_price": F.when(only, moved).otherwise(F.col("exit_price")),
+        "position_size": F.when(only, dec(1).cast(MONEY)).otherwise(F.col("position_size")),
+    })
+    checked = with_defaults(check_entries(df, users))
+    return checked.withColumn("ok", (F.col("op") == "D") | F.col("valid")).select(
+        "seq", "op", *KEY, "ts", *TRADE_PAYLOAD, "ok", "reasons")
+
+
+def change_outcomes(changes: DataFrame, users: DataFrame | None = None, chunk_span: int = CHUNK_SPAN) -> DataFrame:
+    """I4 over a trade change feed."""
+    checked = checked_changes(changes, users)
+    return fold_outcomes(checked, F.col("ok"), KEY, chunk_span)
+
+
+def live_rows(checked: DataFrame) -> DataFrame:
+    """The ledger after the checked changes, in whatever order they came.
+
+    By seq, a key is live from the first accepted insert after its last delete
+    (``born``; its ts is ``created_at``); its row is the latest accepted update
+    after that, or the insert itself. Two grouped aggregates on the key, both
+    with partial aggregation; no outcomes and no per-key sort are needed."""
+    rows = checked.filter("ok")
+    last_d = rows.filter("op = 'D'").groupBy(*KEY).agg(F.max("seq").alias("last_d"))
+    after = rows.filter("op <> 'D'").join(last_d, KEY, "left").filter(F.col("last_d").isNull() | (F.col("seq") > F.col("last_d")))
+    payload = F.struct("seq", *TRADE_PAYLOAD)
+    ins, upd = F.when(F.col("op") == "I", F.col("seq")), F.when(F.col("op") == "U", F.col("seq"))
+    agg = after.groupBy(*KEY).agg(F.min(ins).alias("born"), F.min_by("ts", ins).alias("created_at"),
+                                  F.min_by(payload, ins).alias("first"), F.max_by(payload, upd).alias("last"))
+    row = F.when(F.col("last.seq") > F.col("born"), F.col("last")).otherwise(F.col("first"))
+    return agg.filter(F.col("born").isNotNull()).withColumn("row", row).select(*KEY, "row.*", "born", "created_at").select(*LEDGER_COLUMNS)
+
+
+def live_ledger(changes: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """I1-I3 over a feed: every ledger column, with born and seq."""
+    return live_rows(checked_changes(changes, users))
 
 
 # ---- accounts (I5) ---------------------------------------------------------

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pnlbook.operators.filters import trailing_days
-from pnlbook.schemas import MONEY
+from pnlbook.schemas import TOTAL
 
 
 def daily_pnl(trades: DataFrame) -> DataFrame:
     return (trades.groupBy("user_id", "date")
-            .agg(F.sum("pnl").cast(MONEY).alias("daily_pnl")))
+            .agg(F.sum("pnl").cast(TOTAL).alias("daily_pnl")))
 
 
 def curve_from_daily(daily: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def curve_from_daily(daily: DataFrame) -> DataFrame:
     w = (Window.partitionBy("user_id").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (daily.select("user_id", "date", "daily_pnl")
-            .withColumn("cum_pnl", F.round(F.sum("daily_pnl").over(w), 2).cast(MONEY)))
+            .withColumn("cum_pnl", F.round(F.sum("daily_pnl").over(w), 2).cast(TOTAL)))
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
@@ -41,6 +41,6 @@ def curve_end(trades: DataFrame, as_of, days: int | None) -> DataFrame:
     """last cumulative value per user (= the sum over the range) and
     the line's trend. Users with no trade in range have no curve."""
     t = trailing_days(trades.select("user_id", "date", "pnl"), as_of, days)
-    return (t.groupBy("user_id").agg(F.sum("pnl").cast(MONEY).alias("final_pnl"))
+    return (t.groupBy("user_id").agg(F.sum("pnl").cast(TOTAL).alias("final_pnl"))
             .withColumn("trend", F.when(F.col("final_pnl") >= 0, F.lit("up"))
                         .otherwise(F.lit("down"))))

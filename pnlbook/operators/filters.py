@@ -9,8 +9,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAILING_RANGES = (7, 30, 90, 365)   # the chart's range buttons; None = all
-
 
 def _date(v) -> dt.date:
     return v if isinstance(v, dt.date) else dt.date.fromisoformat(str(v)[:10])
@@ -26,11 +24,17 @@ def by_user(df: DataFrame, user_id: int) -> DataFrame:
 
 
 def date_range(df: DataFrame, date_from=None, date_to=None) -> DataFrame:
-    """From <= date <= to, each end optional."""
+    """From <= date <= to, each end optional. On a written ledger
+    (with its ``month`` column) the bounds also go to the month folders."""
+    by_month = "month" in df.columns
     if date_from is not None:
-        df = df.filter(F.col("date") >= F.lit(_date(date_from)))
+        d = _date(date_from)
+        df = df.filter(F.col("date") >= F.lit(d))
+        df = df.filter(F.col("month") >= d.strftime("%Y-%m")) if by_month else df
     if date_to is not None:
-        df = df.filter(F.col("date") <= F.lit(_date(date_to)))
+        d = _date(date_to)
+        df = df.filter(F.col("date") <= F.lit(d))
+        df = df.filter(F.col("month") <= d.strftime("%Y-%m")) if by_month else df
     return df
 
 
@@ -65,12 +69,12 @@ def trailing_days(df: DataFrame, as_of, days: int | None) -> DataFrame:
     ``as_of`` stay in, as in the chart."""
     if days is None:
         return df
-    return df.filter(F.col("date") >= F.lit(trailing_cutoff(as_of, days)))
+    return date_range(df, trailing_cutoff(as_of, days))
 
 
 def one_day(df: DataFrame, day) -> DataFrame:
     """C6."""
-    return df.filter(F.col("date") == F.lit(_date(day)))
+    return date_range(df, day, day)
 
 
 def by_id(df: DataFrame, trade_id: int, user_id: int) -> DataFrame:

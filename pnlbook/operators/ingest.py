@@ -26,7 +26,7 @@ PNL_ONLY_ENTRY_PRICE = 100   # the form stores entry 100, exit 100 +- pnl, size
 
 # Reason codes, in the order they are listed.
 REASONS = ("missing_date", "missing_type", "missing_entry_price", "missing_exit_price",
-           "bad_type", "bad_grade", "out_of_range", "unknown_user")
+           "bad_type", "bad_grade", "out_of_range", "unknown_user", "bad_json", "bad_date", "bad_number")
 
 TRADE_COLUMNS = ("id", "user_id", "date", "type", "entry_price", "exit_price",
                  "position_size", "pnl", "grade", "notes", "mental", "initial_risk",
@@ -57,31 +57,43 @@ def with_pnl(df: DataFrame) -> DataFrame:
                                        F.col("exit_price"), size_or_one(F.col("position_size"))))
 
 
-def check_entries(raw: DataFrame, users: DataFrame) -> DataFrame:
+def check_entries(raw: DataFrame, users: DataFrame | None) -> DataFrame:
     """Add ``pnl``, ``valid`` and ``reasons`` (comma list of the
     failed checks; NULL for a valid row). The clean path filters on the
     boolean, so no text is built for the rows that pass.
 
-    ``users.id`` is the users' primary key (one row per id). The users side
-    is broadcast only under a checked row bound; otherwise this is a
-    shuffle join on user_id.
+    An id listed twice in ``users`` counts once. The users side is broadcast
+    only under a checked size; otherwise this is a shuffle join on user_id.
+
+    Entries read from JSON bring ``problems`` (bits of what could not be read,
+    see ``sources.ledger``): a value that was sent but cannot be read refuses
+    the entry instead of becoming a default, and a line that is not JSON is
+    refused as ``bad_json`` alone.
     """
-    known = bounded_broadcast(users.select(F.col("id").alias("user_id"),
-                                           F.lit(True).alias("_known")))
-    df = with_pnl(raw).join(known, "user_id", "left")
+    if users is None:               # no user list: all users count as known
+        df = with_pnl(raw).withColumn("_known", F.lit(True))
+    else:
+        known = bounded_broadcast(users.select(F.col("id").alias("user_id")).distinct()
+                                  .withColumn("_known", F.lit(True)))
+        df = with_pnl(raw).join(known, "user_id", "left")
+    from_json = "problems" in raw.columns
+    problem = lambda bit: (F.col("problems").bitwiseAND(bit) != 0) if from_json else F.lit(False)
     side_ok = F.col("type").isin(*SIDES)
     no_side = F.col("type").isNull() | (F.col("type") == "")     # '' counts as missing
     checks = [
-        (F.col("date").isNull(), "missing_date"),
+        (F.col("date").isNull() & ~problem(2), "missing_date"),
         (no_side, "missing_type"),
         (F.col("entry_price").isNull(), "missing_entry_price"),
         (F.col("exit_price").isNull(), "missing_exit_price"),
         (~no_side & ~side_ok, "bad_type"),
         (F.length(F.col("grade")) > MAX_GRADE_LEN, "bad_grade"),
         (side_ok & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull()
-         & F.col("pnl").isNull(), "out_of_range"),
+         & F.col("pnl").isNull() | problem(8), "out_of_range"),
         (F.col("_known").isNull(), "unknown_user"),
     ]
+    if from_json:
+        checks = [(~problem(1) & cond, code) for cond, code in checks]
+        checks += [(problem(1), "bad_json"), (~problem(1) & problem(2), "bad_date"), (~problem(1) & problem(4), "bad_number")]
     # One integer of fault bits. It is a single expression over both join
     # sides, so Catalyst keeps it above the join instead of splitting it and
     # pushing copies of the PnL arithmetic below; valid rows build no text.
@@ -102,7 +114,11 @@ def ingest(raw: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def rejects(raw: DataFrame, users: DataFrame) -> DataFrame:
-    return check_entries(raw, users).filter(~F.col("valid")).select("id", "reasons")
+    """The refused entries with their reasons; of lines that are not JSON, their text."""
+    bad = check_entries(raw, users).filter(~F.col("valid"))
+    if "problems" not in raw.columns:
+        return bad.select("id", "reasons")
+    return bad.select("id", "reasons", F.when(F.col("problems").bitwiseAND(1) != 0, F.col("raw")).alias("raw"))
 
 
 def orphans(raw: DataFrame, users: DataFrame) -> DataFrame:
@@ -193,7 +209,7 @@ def load_projection(df: DataFrame) -> DataFrame:
     """Text dates cut to 10 characters, PnL text to a decimal."""
     out = df
     if dict(df.dtypes).get("date") == "string":
-        out = out.withColumn("date", F.to_date(F.substring(F.col("date"), 1, 10)))
+        out = out.withColumn("date", F.try_to_date(F.substring(F.col("date"), 1, 10)))
     if dict(df.dtypes).get("pnl") == "string":
         out = out.withColumn("pnl", F.col("pnl").try_cast(MONEY))
     return out

@@ -10,7 +10,7 @@ from pnlbook.functions.text import (currency, factor_text, number_text,
                                     positive_money_text, rr_text)
 from pnlbook.operators.curve import daily_pnl
 from pnlbook.operators.filters import trailing_days
-from pnlbook.schemas import MONEY, RATE, SCORE
+from pnlbook.schemas import SCORE, SHARE, TOTAL
 
 # Fixed thresholds of the scores.
 GOOD_BELOW = 30          # consistency percent below this is 'good'
@@ -35,11 +35,11 @@ def consistency_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
     ids = users.select(F.col("id").alias("user_id"))
     df = ids.join(per_user, "user_id", "left").select(
         "user_id",
-        F.coalesce(F.col("net"), dec(0)).cast(MONEY).alias("net"),
-        F.greatest(F.coalesce(F.col("_max"), dec(0)), dec(0)).cast(MONEY).alias("best_day"))
+        F.coalesce(F.col("net"), dec(0)).cast(TOTAL).alias("net"),
+        F.greatest(F.coalesce(F.col("_max"), dec(0)), dec(0)).cast(TOTAL).alias("best_day"))
     net, best = F.col("net"), F.col("best_day")
     return df.withColumns({
-        "consistency_pct": F.when(net > 0, ratio_half_up(best * 100, net, 1, RATE.simpleString())),
+        "consistency_pct": F.when(net > 0, ratio_half_up(best * 100, net, 1, SHARE.simpleString())),
         "band": F.when(net <= 0, F.lit("none"))
                  .when(best * 100 < net * GOOD_BELOW, F.lit("good"))
                  .when(best * 100 > net * POOR_ABOVE, F.lit("poor"))
@@ -49,8 +49,8 @@ def consistency_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
 
 def _score(x):
     """min(100, x / 3 x 100) to 4 places."""
-    return F.least(ratio_half_up(x * 100, F.lit(FULL_SCORE_AT), 4, SCORE.simpleString()),
-                   dec(100).cast(SCORE))
+    return (F.when(x >= FULL_SCORE_AT, dec(100).cast(SCORE))
+            .when(x.isNotNull(), ratio_half_up(F.least(x, F.lit(FULL_SCORE_AT)) * 100, F.lit(FULL_SCORE_AT), 4, SCORE.simpleString())))
 
 
 def edge_scores(card: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pnlbook.functions.money import dec, ratio_half_up
 from pnlbook.functions.text import month_key
 from pnlbook.operators.summaries import daily_summary
-from pnlbook.schemas import FACTOR, MONEY, RATE
+from pnlbook.schemas import FACTOR, RATE, TOTAL
 
 COUNTS = ("total", "wins", "losses", "longs", "shorts")
 SUMS = ("net_pnl", "gross_win", "gross_loss")
@@ -44,7 +44,7 @@ def base_aggs() -> list[Column]:
 def zero_filled(df: DataFrame) -> DataFrame:
     """Counts and sums NULL (no trades) -> 0."""
     fills = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in COUNTS}
-    fills.update({c: F.coalesce(F.col(c), dec(0)).cast(MONEY) for c in SUMS})
+    fills.update({c: F.coalesce(F.col(c), dec(0)).cast(TOTAL) for c in SUMS})
     return df.withColumns(fills)
 
 
@@ -136,9 +136,10 @@ def account_stats(trades: DataFrame, accounts: DataFrame, users: DataFrame) -> D
 
 def month_stats(trades: DataFrame) -> DataFrame:
     """The card per (user, month) with trades."""
-    agg = (trades.select("user_id", "pnl", "type", month_key(F.col("date")).alias("month"))
-           .groupBy("user_id", "month").agg(*base_aggs()))
-    return card_figures(zero_filled(agg)).select("user_id", "month", *CARD_COLUMNS)
+    agg = (trades.select("user_id", "pnl", "type", F.trunc("date", "month").alias("first"))
+           .groupBy("user_id", "first").agg(*base_aggs()))
+    named = card_figures(zero_filled(agg)).withColumn("month", month_key(F.col("first")))
+    return named.select("user_id", "month", *CARD_COLUMNS)
 
 
 def best_day(trades: DataFrame, users: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def best_day_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
     ids = users.select(F.col("id").alias("user_id"))
     return (ids.join(best, "user_id", "left")
             .select("user_id", F.greatest(F.coalesce(F.col("_best"), dec(0)), dec(0))
-                    .cast(MONEY).alias("best_day")))
+                    .cast(TOTAL).alias("best_day")))
 
 
 def side_split(trades: DataFrame, users: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.functions.money import ratio_half_up
 from pnlbook.functions.text import month_key
-from pnlbook.schemas import FACTOR, MONEY, RATE
+from pnlbook.schemas import FACTOR, RATE, TOTAL
 
 
 def _win(c="pnl"):
@@ -22,7 +22,7 @@ def daily_summary(trades: DataFrame) -> DataFrame:
     """Per (user, date): trade_count, daily_pnl, wins, losses, longs, shorts."""
     return (trades.groupBy("user_id", "date")
             .agg(F.count(F.lit(1)).alias("trade_count"),
-                 F.sum("pnl").cast(MONEY).alias("daily_pnl"),
+                 F.sum("pnl").cast(TOTAL).alias("daily_pnl"),
                  F.count_if(_win()).alias("wins"),
                  F.count_if(_loss()).alias("losses"),
                  F.count_if(F.col("type") == "LONG").alias("longs"),
@@ -32,7 +32,7 @@ def daily_summary(trades: DataFrame) -> DataFrame:
 def monthly_summary(trades: DataFrame) -> DataFrame:
     """Per (user, yyyy-MM). win_rate_pct to 1 place; profit_factor =
     gross win / |gross loss| to 2 places, NULL with no loss, 0 with no win."""
-    agg = (trades.groupBy("user_id", month_key(F.col("date")).alias("month"))
+    agg = (trades.groupBy("user_id", F.trunc("date", "month").alias("first"))
            .agg(F.count(F.lit(1)).alias("trade_count"),
                 F.sum("pnl").alias("net_pnl"),
                 F.count_if(_win()).alias("wins"),
@@ -40,8 +40,8 @@ def monthly_summary(trades: DataFrame) -> DataFrame:
                 F.sum(F.when(_win(), F.col("pnl")).otherwise(0)).alias("gross_win"),
                 F.sum(F.when(_loss(), -F.col("pnl")).otherwise(0)).alias("gross_loss")))
     return agg.select(
-        "user_id", "month", "trade_count",
-        F.col("net_pnl").cast(MONEY).alias("net_pnl"),
+        "user_id", month_key(F.col("first")).alias("month"), "trade_count",
+        F.col("net_pnl").cast(TOTAL).alias("net_pnl"),
         "wins", "losses",
         ratio_half_up(F.col("wins") * 100, F.col("trade_count"), 1, RATE.simpleString())
         .alias("win_rate_pct"),

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pnlbook.functions import text
 from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scores, stats, summaries
 from pnlbook.operators import ingest as ing
+from pnlbook.plans import batch
 from pnlbook.plans.context import Journal
+from pnlbook.schemas import TOTAL
 from pnlbook.session import scratch_dir
-from pnlbook.sources import export, ledger
+from pnlbook.sources import export, fixtures, ledger
 from pnlbook.sources.tables import read_table
 from pnlbook.streaming import feed, jobs
 
@@ -222,13 +224,14 @@ def q_account_list(spark, sf_dir):
 
 @query("change_outcomes")
 def q_change_outcomes(spark, sf_dir):
-    return changes.change_outcomes(_j(spark, sf_dir).trade_changes).select("seq", "op", "outcome")
+    j = _j(spark, sf_dir)
+    return changes.change_outcomes(j.trade_changes, j.users).select("seq", "op", "outcome")
 
 
 @query("live_ledger")
 def q_live_ledger(spark, sf_dir):
-    return (changes.live_ledger(_j(spark, sf_dir).trade_changes)
-            .select("user_id", "id", "date", "type", "pnl", "born", "seq"))
+    j = _j(spark, sf_dir)
+    return changes.live_ledger(j.trade_changes, j.users)
 
 
 @query("account_changes")
@@ -250,9 +253,7 @@ def q_user_purge(spark, sf_dir):
 def q_json_ingest(spark, sf_dir):
     """A3 + B10: the entries travel as JSON text and are parsed back."""
     j = _j(spark, sf_dir)
-    as_json = j.raw_trades.select(F.to_json(F.struct(*j.raw_trades.columns)).alias("value"))
-    parsed = ledger.entries_from_json(as_json, "value")
-    t = ing.ingest(parsed.filter(~F.col("corrupt")).drop("corrupt"), j.users)
+    t = ing.ingest(ledger.entries_from_json(fixtures.entries_json(j.raw_trades)), j.users)
     return t.select("id", "user_id", "date", "type", "entry_price", "exit_price", "position_size",
                     "pnl", "grade", "mental", "notes", "initial_risk")
 
@@ -263,13 +264,32 @@ def q_json_file_ingest(spark, sf_dir):
     scratch folder, read back PERMISSIVE with an explicit schema, checked."""
     j = _j(spark, sf_dir)
     path = scratch_dir(spark, "entries-json")
-    j.raw_trades.write.json(path)
-    parsed = ledger.read_entries(spark, path)
-    t = ing.ingest(parsed.filter(~F.col("corrupt")).drop("corrupt"), j.users)
+    fixtures.entries_json(j.raw_trades).write.text(path)
+    t = ing.ingest(ledger.read_entries(spark, path), j.users)
     return t.select("id", "user_id", "date", "type", "entry_price", "exit_price", "position_size",
                     "pnl", "grade", "mental", "notes", "initial_risk")
 
 
+@query("json_rejects")
+def q_json_rejects(spark, sf_dir):
+    """Every refused JSON entry with its reasons, and the text
+    of the lines that are not JSON."""
+    j = _j(spark, sf_dir)
+    return ing.rejects(ledger.entries_from_json(fixtures.entries_json(j.raw_trades)), j.users)
+
+
+@query("ledger_append")
+def q_ledger_append(spark, sf_dir):
+    """A4 in two batches (the second sent twice), then A1."""
+    j = _j(spark, sf_dir)
+    path, bad = scratch_dir(spark, "ledger"), scratch_dir(spark, "ledger-rejects")
+    odd = F.col("id") % 2 == 1
+    for batch_id, part in ((0, ~odd), (1, odd), (1, odd)):
+        batch.ingest_to_ledger(j.raw_trades.filter(part), j.users, path, bad, batch_id)
+    t = ledger.read_ledger(spark, path)
+    return t.groupBy("user_id", "month").agg(F.count(F.lit(1)).alias("trade_count"), F.sum("pnl").cast(TOTAL).alias("net_pnl"))
+
+
 @query("ledger_roundtrip")
 def q_ledger_roundtrip(spark, sf_dir):
     """A4 then A1: write the ledger by month into the shared scratch folder
@@ -348,22 +368,23 @@ def _staged_stream(spark, sf_dir, name, start):
 
 @query("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
+    users = _j(spark, sf_dir).users
     root = _staged_stream(spark, sf_dir, "s1", lambda src, r, ck: jobs.run_ingest(
-        spark, src, f"{r}/sink", f"{r}/rejects", ck))
+        spark, src, users, f"{r}/sink", f"{r}/rejects", ck))
     return spark.read.parquet(f"{root}/sink").select("seq", "type", "entry_price", "exit_price", "pnl")
 
 
 @query("stream_daily_summary")
 def q_stream_daily_summary(spark, sf_dir):
-    parts = spark.sparkContext.defaultParallelism
+    users = _j(spark, sf_dir).users
     root = _staged_stream(spark, sf_dir, "s2", lambda src, r, ck: jobs.run_daily_summary(
-        spark, src, f"{r}/sink", ck, state_partitions=parts))
-    return jobs.latest_per_key(spark, f"{root}/sink", ["user_id", "date"])
+        spark, src, users, f"{r}/state", f"{r}/sink", ck))
+    return jobs.read_daily_summary(spark, f"{root}/sink")
 
 
 @query("stream_ledger")
 def q_stream_ledger(spark, sf_dir):
+    users = _j(spark, sf_dir).users
     root = _staged_stream(spark, sf_dir, "s3", lambda src, r, ck: jobs.run_ledger(
-        spark, src, f"{r}/ledger", ck))
-    return (jobs.read_ledger_state(spark, f"{root}/ledger")
-            .select("user_id", "id", "date", "type", "pnl", "born", "seq"))
+        spark, src, users, f"{r}/ledger", ck))
+    return jobs.read_ledger_state(spark, f"{root}/ledger")

@@ -52,9 +52,10 @@ class Journal:
     @cached_property
     def trades(self) -> DataFrame:
         """The clean ledger: read from ``ledger_path`` when one was written
-        (ingest once, query many times), else checked from raw entries."""
+        (ingest once, query many times; its ``month`` column lets the date
+        filters skip month folders), else checked from raw entries."""
         if self.ledger_path:
-            return read_ledger(self.spark, self.ledger_path).drop("month")
+            return read_ledger(self.spark, self.ledger_path)
         return ingest(self.raw_trades, self.users)
 
     @cached_property

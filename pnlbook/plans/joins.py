@@ -21,5 +21,5 @@ def bounded_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFram
     if max_rows is None:
         conf = small.sparkSession.conf.get(BROADCAST_MAX_ROWS_CONF, None)
         max_rows = int(conf) if conf else BROADCAST_MAX_ROWS
-    n = small.limit(max_rows + 1).count()
+    n = small.count()
     return F.broadcast(small) if n <= max_rows else small

@@ -8,13 +8,13 @@ side uses.
 
 # The journal views over the raw tables.
 PRELUDE = """
-WITH users AS (SELECT n_nationkey AS id, n_name AS username FROM nation),
+WITH users AS (SELECT n_nationkey AS id, n_name AS username FROM nation UNION ALL SELECT 25, 'NO_TRADES'),
 accounts AS (
-  SELECT CAST(n_nationkey*3+k AS INT) AS id, n_nationkey AS user_id,
-         concat(n_name,'-',CAST(k AS VARCHAR)) AS name,
+  SELECT CAST(u.id*3+k AS INT) AS id, u.id AS user_id,
+         concat(username,'-',CAST(k AS VARCHAR)) AS name,
          CASE WHEN k = 2 THEN 'prop' ELSE 'live' END AS type,
          CAST(25000*(k+1) AS DECIMAL(18,4)) AS size
-  FROM nation CROSS JOIN (VALUES (0),(1),(2)) v(k)),
+  FROM users u CROSS JOIN (VALUES (0),(1),(2)) v(k)),
 rb AS (
   SELECT o_orderkey AS id,
     CASE WHEN o_orderkey % 97 = 0 THEN 99 ELSE c_nationkey END AS user_id,
@@ -35,8 +35,7 @@ rb AS (
          ELSE concat('  note "', o_orderpriority, '", seg ', c_mktsegment, ' ') END AS notes,
     CAST(o_orderkey % 8 AS INT) AS acct_mask,
     o_orderdate AS created_at
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE c_nationkey <> 24),
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 raw_trades AS (
   SELECT id, CAST(user_id AS INT) AS user_id, date, type, entry_price,
     CAST(exit_raw AS DECIMAL(18,4)) AS exit_price, position_size, grade, mental, initial_risk, notes,
@@ -58,10 +57,33 @@ trades AS (
 trade_changes AS (
   SELECT event_id AS seq, ts,
     CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
-    user_id, user_id*10 + event_id % 10 AS id, CAST(ts AS DATE) AS date,
-    CASE WHEN event_type IN ('click','signup') THEN 'LONG' ELSE 'SHORT' END AS type,
-    CAST(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS DECIMAL(18,4)) AS pnl_input, props
-  FROM events)
+    CAST(user_id % 27 AS INT) AS user_id, user_id*10 + event_id % 10 AS id, CAST(ts AS DATE) AS date,
+    CASE WHEN event_id % 41 = 0 THEN 'FLAT' WHEN event_type IN ('click','signup') THEN 'LONG' ELSE 'SHORT' END AS type,
+    CASE WHEN event_id % 3 = 0 THEN CAST(100 + user_id % 50 AS DECIMAL(18,4)) END AS entry_price,
+    CASE WHEN event_id % 3 = 0 THEN CAST(100 + user_id % 50 + CAST(value AS DECIMAL(12,4)) AS DECIMAL(18,4)) END AS exit_price,
+    CASE WHEN event_id % 3 = 0 THEN CAST((event_id % 4) * 0.5 AS DECIMAL(18,4)) END AS position_size,
+    CASE WHEN event_id % 3 <> 0 AND event_id % 53 <> 0
+         THEN CAST(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS DECIMAL(18,4)) END AS pnl_input,
+    CASE WHEN event_id % 59 = 0 THEN 'AAAA' WHEN event_id % 5 = 0 THEN '' ELSE 'A' END AS grade,
+    CASE WHEN event_id % 6 = 0 THEN 'happy' END AS mental,
+    CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 30 AS DECIMAL(18,4)) END AS initial_risk,
+    CASE WHEN event_id % 2 = 0 THEN ' n' || CAST(event_id AS VARCHAR) END AS notes,
+    CASE WHEN event_id % 5 <> 0 THEN [CAST(user_id % 27 AS INT) * 3] ELSE CAST([] AS INT[]) END AS account_ids
+  FROM events),
+priced AS (
+  SELECT * EXCLUDE (entry_price, exit_price, position_size),
+    CASE WHEN pnl_input IS NOT NULL THEN CAST(100 AS DECIMAL(18,4)) ELSE entry_price END AS entry_price,
+    CASE WHEN pnl_input IS NULL THEN exit_price WHEN type = 'LONG' THEN CAST(100 + pnl_input AS DECIMAL(18,4))
+         ELSE CAST(100 - pnl_input AS DECIMAL(18,4)) END AS exit_price,
+    CASE WHEN entry_price IS NULL OR position_size = 0 THEN CAST(1 AS DECIMAL(18,4)) ELSE position_size END AS position_size
+  FROM trade_changes),
+checked AS (
+  SELECT * EXCLUDE (grade, notes, initial_risk, pnl_input),
+    CAST(ROUND((CASE type WHEN 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END) * position_size, 2) AS DECIMAL(18,4)) AS pnl,
+    NULLIF(grade, '') AS grade, COALESCE(notes, '') AS notes, NULLIF(initial_risk, 0) AS initial_risk,
+    op = 'D' OR (type IN ('LONG','SHORT') AND entry_price IS NOT NULL AND exit_price IS NOT NULL AND date IS NOT NULL
+                 AND length(grade) <= 3 AND EXISTS (SELECT 1 FROM users u WHERE u.id = user_id)) AS ok
+  FROM priced)
 """
 
 QUERIES: dict[str, str] = {}
@@ -91,13 +113,13 @@ oracle("monthly_summary")(f"""
     CAST(SUM(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) * 10000 AS HUGEINT) AS gw,
     CAST(-SUM(CASE WHEN pnl < 0 THEN pnl ELSE 0 END) * 10000 AS HUGEINT) AS gl
   FROM trades GROUP BY user_id, strftime(date, '%Y-%m'))
-SELECT user_id, month, CAST(trade_count AS BIGINT) AS trade_count, CAST(net_pnl AS DECIMAL(18,4)) AS net_pnl,
+SELECT user_id, month, CAST(trade_count AS BIGINT) AS trade_count, CAST(net_pnl AS DECIMAL(28,4)) AS net_pnl,
   CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses,
   {hu('wins*100', 'trade_count', 1, 'DECIMAL(6,1)')} AS win_rate_pct,
-  {hu('gw', 'gl', 2, 'DECIMAL(18,2)')} AS profit_factor
+  {hu('gw', 'gl', 2, 'DECIMAL(30,2)')} AS profit_factor
 FROM m""")
 
-_MONEY = "DECIMAL(18,4)"
+_MONEY, _TOTAL = "DECIMAL(18,4)", "DECIMAL(28,4)"
 
 
 def _money_text(x: str) -> str:
@@ -129,21 +151,21 @@ def _base(src: str, keys: str) -> str:
 def _card(b: str, keys: str, nested: bool = False) -> str:
     lead = "WITH" if nested else "\n,"
     return f"""{lead} z AS (SELECT {keys}, CAST(COALESCE(total,0) AS BIGINT) AS total, CAST(COALESCE(wins,0) AS BIGINT) AS wins,
-    CAST(COALESCE(losses,0) AS BIGINT) AS losses, CAST(COALESCE(net,0) AS {_MONEY}) AS net,
+    CAST(COALESCE(losses,0) AS BIGINT) AS losses, CAST(COALESCE(net,0) AS {_TOTAL}) AS net,
     COALESCE(gw,0) AS gw, COALESCE(gl,0) AS gl, CAST(COALESCE(longs,0) AS BIGINT) AS longs,
     CAST(COALESCE(shorts,0) AS BIGINT) AS shorts FROM {b}),
 ca AS (SELECT *, CASE WHEN wins > 0 THEN (2*gw + 100*wins) // (200*wins) ELSE 0 END AS aw_c,
     CASE WHEN losses > 0 THEN (2*gl + 100*losses) // (200*losses) ELSE 0 END AS al_c FROM z)
 SELECT {keys}, total, wins, losses, net AS net_pnl,
-  CAST(CAST(gw AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_MONEY}) AS gross_win,
-  CAST(CAST(gl AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_MONEY}) AS gross_loss,
+  CAST(CAST(gw AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_TOTAL}) AS gross_win,
+  CAST(CAST(gl AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_TOTAL}) AS gross_loss,
   COALESCE({hu('wins*100', 'total', 1, 'DECIMAL(6,1)')}, CAST(0 AS DECIMAL(6,1))) AS win_rate,
-  CASE WHEN gl > 0 THEN {hu('gw', 'gl', 2, 'DECIMAL(18,2)')}
-       WHEN gw > 0 THEN NULL ELSE CAST(0 AS DECIMAL(18,2)) END AS profit_factor,
+  CASE WHEN gl > 0 THEN {hu('gw', 'gl', 2, 'DECIMAL(30,2)')}
+       WHEN gw > 0 THEN NULL ELSE CAST(0 AS DECIMAL(30,2)) END AS profit_factor,
   (gl = 0 AND gw > 0) AS pf_unbounded,
-  CAST(CAST(aw_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS avg_win,
-  CAST(CAST(al_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS avg_loss,
-  CASE WHEN aw_c > 0 AND al_c > 0 THEN {hu('aw_c', 'al_c', 2, 'DECIMAL(18,2)')} END AS avg_rr,
+  CAST(CAST(aw_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(30,2)) AS avg_win,
+  CAST(CAST(al_c AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(30,2)) AS avg_loss,
+  CASE WHEN aw_c > 0 AND al_c > 0 THEN {hu('aw_c', 'al_c', 2, 'DECIMAL(30,2)')} END AS avg_rr,
   longs, shorts
 FROM ca"""
 
@@ -202,7 +224,7 @@ SELECT id, user_id, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS
 FROM trades WHERE date = DATE '1998-06-15'""")
 
 oracle("daily_summary")("""
-SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS DECIMAL(18,4)) AS daily_pnl,
+SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS DECIMAL(28,4)) AS daily_pnl,
   CAST(SUM(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
   CAST(SUM(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
   CAST(SUM(CASE WHEN type = 'LONG' THEN 1 ELSE 0 END) AS BIGINT) AS longs,
@@ -237,7 +259,7 @@ b AS ({_base('m', 'user_id, month')})
 oracle("best_day")("""
 , d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades GROUP BY user_id, date),
 m AS (SELECT user_id, MAX(s) AS mx FROM d GROUP BY user_id)
-SELECT u.id AS user_id, CAST(greatest(COALESCE(m.mx, 0), 0) AS DECIMAL(18,4)) AS best_day
+SELECT u.id AS user_id, CAST(greatest(COALESCE(m.mx, 0), 0) AS DECIMAL(28,4)) AS best_day
 FROM users u LEFT JOIN m ON m.user_id = u.id""")
 
 oracle("side_split")("""
@@ -251,17 +273,17 @@ oracle("account_counts")("""
 SELECT u.id AS user_id, CAST(COALESCE(n, 0) AS BIGINT) AS accounts FROM users u LEFT JOIN c ON c.user_id = u.id""")
 
 _CURVE = """
-, d AS (SELECT user_id, date, CAST(SUM(pnl) AS DECIMAL(18,4)) AS daily_pnl FROM trades {where} GROUP BY user_id, date)
+, d AS (SELECT user_id, date, CAST(SUM(pnl) AS DECIMAL(28,4)) AS daily_pnl FROM trades {where} GROUP BY user_id, date)
 SELECT user_id, date, daily_pnl,
   CAST(SUM(daily_pnl) OVER (PARTITION BY user_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    AS DECIMAL(18,4)) AS cum_pnl
+    AS DECIMAL(28,4)) AS cum_pnl
 FROM d"""
 
 oracle("equity_curve")(_CURVE.format(where=""))
 oracle("equity_curve_90d")(_CURVE.format(where="WHERE " + _TRAIL.format(n=90)))
 
 oracle("curve_end")(f"""
-, f AS (SELECT user_id, CAST(SUM(pnl) AS DECIMAL(18,4)) AS final_pnl FROM trades
+, f AS (SELECT user_id, CAST(SUM(pnl) AS DECIMAL(28,4)) AS final_pnl FROM trades
   WHERE {_TRAIL.format(n=365)} GROUP BY user_id)
 SELECT user_id, final_pnl, CASE WHEN final_pnl >= 0 THEN 'up' ELSE 'down' END AS trend FROM f""")
 
@@ -279,7 +301,7 @@ d AS (SELECT user_id, date, COUNT(*) AS n, SUM(pnl) AS p FROM trades
   WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-07-31' GROUP BY user_id, date),
 grid AS (
 SELECT g.user_id, g.month, g.week_index, g.dow, g.date, CAST(COALESCE(d.n, 0) AS BIGINT) AS trade_count,
-  CAST(d.p AS DECIMAL(18,4)) AS pnl,
+  CAST(d.p AS DECIMAL(28,4)) AS pnl,
   CASE WHEN COALESCE(d.n, 0) = 0 THEN 'empty' WHEN d.p > 0 THEN 'profit' ELSE 'loss' END AS day_class,
   CASE WHEN d.n > 0 THEN CASE WHEN d.p >= 0 THEN 'pos' ELSE 'neg' END END AS pnl_sign,
   g.month_label,
@@ -289,17 +311,17 @@ FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.date = g.date)"""
 oracle("calendar_grid")(_GRID + "\nSELECT * FROM grid")
 
 oracle("calendar_weeks")(_GRID + """
-SELECT user_id, month, week_index, CAST(COALESCE(SUM(pnl), 0) AS DECIMAL(18,4)) AS week_pnl,
+SELECT user_id, month, week_index, CAST(COALESCE(SUM(pnl), 0) AS DECIMAL(28,4)) AS week_pnl,
   CASE WHEN COALESCE(SUM(pnl), 0) >= 0 THEN 'pos' ELSE 'neg' END AS week_sign
 FROM grid GROUP BY user_id, month, week_index""")
 
 oracle("consistency")(f"""
 , d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades WHERE {_TRAIL.format(n=365)} GROUP BY user_id, date),
 m AS (SELECT user_id, SUM(s) AS net, MAX(s) AS mx FROM d GROUP BY user_id),
-c AS (SELECT u.id AS user_id, CAST(COALESCE(net, 0) AS DECIMAL(18,4)) AS net,
-    CAST(greatest(COALESCE(mx, 0), 0) AS DECIMAL(18,4)) AS best_day FROM users u LEFT JOIN m ON m.user_id = u.id)
+c AS (SELECT u.id AS user_id, CAST(COALESCE(net, 0) AS DECIMAL(28,4)) AS net,
+    CAST(greatest(COALESCE(mx, 0), 0) AS DECIMAL(28,4)) AS best_day FROM users u LEFT JOIN m ON m.user_id = u.id)
 SELECT user_id, net, best_day,
-  CASE WHEN net > 0 THEN {hu('CAST(best_day * 10000 AS HUGEINT) * 100', 'CAST(net * 10000 AS HUGEINT)', 1, 'DECIMAL(6,1)')} END
+  CASE WHEN net > 0 THEN {hu('CAST(best_day * 10000 AS HUGEINT) * 100', 'CAST(net * 10000 AS HUGEINT)', 1, 'DECIMAL(32,1)')} END
     AS consistency_pct,
   CASE WHEN net <= 0 THEN 'none' WHEN best_day * 100 < net * 30 THEN 'good'
        WHEN best_day * 100 > net * 50 THEN 'poor' ELSE 'fair' END AS band
@@ -311,9 +333,9 @@ k AS (SELECT user_id, win_rate, pf_unbounded, CAST(profit_factor * 100 AS HUGEIN
     CAST(avg_rr * 100 AS HUGEINT) AS rr_c FROM card)
 SELECT user_id, CAST(win_rate AS DECIMAL(10,4)) AS win_score,
   CASE WHEN pf_unbounded THEN CAST(100 AS DECIMAL(10,4))
-       ELSE COALESCE(least({hu('pf_c', '3', 4, 'DECIMAL(10,4)')}, CAST(100 AS DECIMAL(10,4))), CAST(0 AS DECIMAL(10,4))) END
+       ELSE COALESCE({hu('CASE WHEN pf_c >= 300 THEN 300 ELSE pf_c END', '3', 4, 'DECIMAL(10,4)')}, CAST(0 AS DECIMAL(10,4))) END
     AS pf_score,
-  COALESCE(least({hu('rr_c', '3', 4, 'DECIMAL(10,4)')}, CAST(100 AS DECIMAL(10,4))), CAST(0 AS DECIMAL(10,4))) AS rr_score
+  COALESCE({hu('CASE WHEN rr_c >= 300 THEN 300 ELSE rr_c END', '3', 4, 'DECIMAL(10,4)')}, CAST(0 AS DECIMAL(10,4))) AS rr_score
 FROM k""")
 
 oracle("card_labels")(f"""
@@ -339,13 +361,13 @@ SELECT user_id, id, name,
 FROM accounts""")
 
 oracle("change_outcomes")("""
-, c AS (SELECT *, MAX(CASE WHEN op='I' THEN seq END) OVER w AS li, MAX(CASE WHEN op='D' THEN seq END) OVER w AS ld
-  FROM trade_changes
+, c AS (SELECT *, MAX(CASE WHEN op='I' AND ok THEN seq END) OVER w AS li, MAX(CASE WHEN op='D' THEN seq END) OVER w AS ld
+  FROM checked
   WINDOW w AS (PARTITION BY user_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, COALESCE(li,-1) > COALESCE(ld,-1) AS present FROM c)
-SELECT seq, op, CASE op WHEN 'I' THEN CASE WHEN present THEN 'duplicate' ELSE 'created' END
+SELECT seq, op, CASE WHEN NOT ok THEN 'rejected' ELSE CASE op WHEN 'I' THEN CASE WHEN present THEN 'duplicate' ELSE 'created' END
                         WHEN 'U' THEN CASE WHEN present THEN 'updated' ELSE 'not_found' END
-                        ELSE CASE WHEN present THEN 'deleted' ELSE 'not_found' END END AS outcome
+                        ELSE CASE WHEN present THEN 'deleted' ELSE 'not_found' END END END AS outcome
 FROM o""")
 
 _LIVE = """
@@ -355,8 +377,11 @@ a AS (SELECT *, MIN(CASE WHEN op='I' THEN seq END) OVER (PARTITION BY user_id,id
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id,id ORDER BY seq DESC) AS rn FROM a
   WHERE born IS NOT NULL AND (seq = born OR (op='U' AND seq > born)))"""
 
-oracle("live_ledger")(_LIVE.format(src="trade_changes") + """
-SELECT user_id, id, date, type, CAST(ROUND(pnl_input, 2) AS DECIMAL(18,4)) AS pnl, born, seq FROM r WHERE rn = 1""")
+_LIVE_LEDGER = _LIVE.format(src="(SELECT * FROM checked WHERE ok)") + """,
+live AS (SELECT r.user_id, r.id, r.date, r.type, r.entry_price, r.exit_price, r.position_size, r.pnl, r.grade, r.notes, r.mental,
+    r.initial_risk, r.account_ids, r.born, r.seq, i.ts AS created_at
+  FROM r JOIN checked i ON i.seq = r.born WHERE rn = 1)"""
+oracle("live_ledger")(_LIVE_LEDGER + "\nSELECT * FROM live")
 
 oracle("account_changes")("""
 , f AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
@@ -376,13 +401,32 @@ SELECT user_id, id, name, type, size FROM r WHERE rn = 1""")
 oracle("user_purge")("""
 SELECT id, user_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id AND u.id % 5 = 0)""")
 
-QUERIES["json_ingest"] = QUERIES["ingest_trades"]
-QUERIES["json_file_ingest"] = QUERIES["ingest_trades"]
+# entries sent as JSON: those with a planted fault (see fixtures.entries_json) are refused
+oracle("json_ingest")("""
+SELECT id, user_id, date, type, entry_price, exit_price, position_size, pnl, grade, mental, notes, initial_risk
+FROM trades WHERE id % 101 <> 0 AND id % 103 <> 0 AND id % 107 <> 0 AND id % 109 <> 0""")
+QUERIES["json_file_ingest"] = QUERIES["json_ingest"]
+
+oracle("json_rejects")("""
+, x AS (SELECT id, id % 101 = 0 AS broken, concat_ws(',',
+    CASE WHEN entry_price IS NULL THEN 'missing_entry_price' END,
+    CASE WHEN type NOT IN ('LONG','SHORT') THEN 'bad_type' END,
+    CASE WHEN id % 109 = 0 AND id % 107 <> 0 THEN 'out_of_range' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id) THEN 'unknown_user' END,
+    CASE WHEN id % 103 = 0 THEN 'bad_date' END,
+    CASE WHEN id % 107 = 0 THEN 'bad_number' END) AS reasons FROM raw_trades r)
+SELECT CASE WHEN NOT broken THEN id END AS id, CASE WHEN broken THEN 'bad_json' ELSE reasons END AS reasons,
+  CASE WHEN broken THEN '{"id":' || CAST(id AS VARCHAR) || ',"user_id":' END AS raw
+FROM x WHERE broken OR reasons <> ''""")
 
 oracle("ledger_roundtrip")("""
 SELECT user_id, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS trade_count
 FROM trades GROUP BY user_id, strftime(date, '%Y-%m')""")
 
+oracle("ledger_append")("""
+SELECT user_id, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS DECIMAL(28,4)) AS net_pnl
+FROM trades GROUP BY user_id, strftime(date, '%Y-%m')""")
+
 
 def _q(x: str) -> str:
     return f"""'"' || replace(COALESCE({x}, ''), '"', '""') || '"'"""
@@ -418,11 +462,14 @@ oracle("new_users")("""
 SELECT username, MIN(seq) AS seq FROM c
 WHERE username <> '' AND username NOT IN (SELECT username FROM users) GROUP BY username""")
 
-QUERIES["stream_ingest"] = QUERIES["pnl_only_entries"]
+oracle("stream_ingest")("""
+SELECT seq, type, entry_price, exit_price, pnl FROM checked WHERE ok AND op <> 'D'""")
 
-oracle("stream_daily_summary")("""
-SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count,
-  CAST(SUM(ROUND(pnl_input, 2)) AS DECIMAL(18,4)) AS daily_pnl
-FROM trade_changes WHERE op = 'I' GROUP BY user_id, date""")
+# E1 over the live ledger
+oracle("stream_daily_summary")(_LIVE_LEDGER + """
+SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS DECIMAL(28,4)) AS daily_pnl,
+  CAST(SUM(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(SUM(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
+  CAST(SUM(CASE WHEN type = 'LONG' THEN 1 ELSE 0 END) AS BIGINT) AS longs, CAST(SUM(CASE WHEN type = 'SHORT' THEN 1 ELSE 0 END) AS BIGINT) AS shorts
+FROM live GROUP BY user_id, date""")
 
 QUERIES["stream_ledger"] = QUERIES["live_ledger"]

@@ -3,8 +3,10 @@
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 4)      # prices, sizes, PnL, account sizes
-RATE = T.DecimalType(6, 1)        # win rate, consistency (percent, 1 place)
-FACTOR = T.DecimalType(18, 2)     # profit factor, averages, R multiple
+TOTAL = T.DecimalType(28, 4)      # sums of money: 10 more digits than one amount
+RATE = T.DecimalType(6, 1)        # win rate (percent, 1 place)
+SHARE = T.DecimalType(32, 1)      # best day / net in percent; has no upper bound
+FACTOR = T.DecimalType(30, 2)     # profit factor, averages, R multiple
 SCORE = T.DecimalType(10, 4)      # edge scores 0..100
 
 USERS = T.StructType([
@@ -37,10 +39,11 @@ RAW_TRADES = T.StructType([
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
-# The same entry as JSON text: numbers may come as strings, dates as text.
+# The same entry as JSON text: every scalar is read as text, so one field of an
+# unexpected type does not spoil its line.
 RAW_TRADES_JSON = T.StructType([
-    T.StructField("id", T.LongType(), True),
-    T.StructField("user_id", T.IntegerType(), True),
+    T.StructField("id", T.StringType(), True),
+    T.StructField("user_id", T.StringType(), True),
     T.StructField("date", T.StringType(), True),
     T.StructField("type", T.StringType(), True),
     T.StructField("entry_price", T.StringType(), True),
@@ -50,7 +53,7 @@ RAW_TRADES_JSON = T.StructType([
     T.StructField("mental", T.StringType(), True),
     T.StructField("initial_risk", T.StringType(), True),
     T.StructField("notes", T.StringType(), True),
-    T.StructField("account_ids", T.ArrayType(T.IntegerType()), True),
+    T.StructField("account_ids", T.ArrayType(T.StringType()), True),
     T.StructField("created_at", T.StringType(), True),
     T.StructField("_corrupt_record", T.StringType(), True),
 ])
@@ -72,16 +75,24 @@ TRADES = T.StructType([
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
+# A change as a client sends it: the trade's fields, or only its PnL.
 TRADE_CHANGES = T.StructType([
     T.StructField("seq", T.LongType(), False),
     T.StructField("ts", T.TimestampNTZType(), True),
     T.StructField("op", T.StringType(), False),
-    T.StructField("user_id", T.LongType(), False),
+    T.StructField("user_id", T.IntegerType(), False),
     T.StructField("id", T.LongType(), False),
     T.StructField("date", T.DateType(), True),
     T.StructField("type", T.StringType(), True),
+    T.StructField("entry_price", MONEY, True),
+    T.StructField("exit_price", MONEY, True),
+    T.StructField("position_size", MONEY, True),
     T.StructField("pnl_input", MONEY, True),
-    T.StructField("props", T.StringType(), True),
+    T.StructField("grade", T.StringType(), True),
+    T.StructField("mental", T.StringType(), True),
+    T.StructField("initial_risk", MONEY, True),
+    T.StructField("notes", T.StringType(), True),
+    T.StructField("account_ids", T.ArrayType(T.IntegerType()), True),
 ])
 
 EVENTS = T.StructType([

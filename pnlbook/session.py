@@ -84,6 +84,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="pnlbook-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

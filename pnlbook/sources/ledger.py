@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pnlbook.functions.text import month_key
-from pnlbook.operators.filters import _date
+from pnlbook.operators.filters import date_range
+from pnlbook.operators.ingest import leading_number
 from pnlbook.schemas import MONEY, RAW_TRADES_JSON, TRADES
 
 LEDGER_SCHEMA = TRADES.add("month", "string")
@@ -29,52 +32,51 @@ def read_ledger(spark: SparkSession, path: str, date_from=None, date_to=None) ->
     """A1: scan the ledger. A date range also bounds ``month``, so whole
     month folders are skipped (partition pruning) besides the pushed-down
     date filter inside the files."""
-    df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    if date_from is not None:
-        d = _date(date_from)
-        df = df.filter((F.col("month") >= d.strftime("%Y-%m")) & (F.col("date") >= F.lit(d)))
-    if date_to is not None:
-        d = _date(date_to)
-        df = df.filter((F.col("month") <= d.strftime("%Y-%m")) & (F.col("date") <= F.lit(d)))
-    return df
+    df = spark.read.schema(LEDGER_SCHEMA).parquet(path).drop("batch_id")
+    return date_range(df, date_from, date_to)
+
+
+# Bits of ``problems``: what a JSON entry sent that cannot be read.
+BAD_JSON, BAD_DATE, BAD_NUMBER, OUT_OF_RANGE = 1, 2, 4, 8
 
 
-def _num(c: str):
-    """A JSON number or numeric text -> DECIMAL(18,4); '' or junk -> NULL."""
-    return F.nullif(F.trim(F.col(c)), F.lit("")).try_cast(MONEY)
+def _sent(c: str):
+    """The text of a field; '' counts as absent."""
+    return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
 def parse_entries(df: DataFrame) -> DataFrame:
-    """B10 on JSON-typed entries (RAW_TRADES_JSON): dates cut to 10
-    characters, numbers from text, '' -> NULL; ``corrupt`` marks lines
-    that were not JSON."""
+    """B10 on JSON entries (RAW_TRADES_JSON, ``raw`` = the line): dates cut to
+    10 characters, numbers from text, '' -> NULL, the risk by its leading
+    number. ``problems`` has a bit for each kind of value that was sent but
+    cannot be read, and for lines that are not JSON; nothing is dropped and
+    nothing raises."""
+    money = {c: _sent(c).try_cast(MONEY) for c in ("entry_price", "exit_price", "position_size")}
+    date = F.try_to_date(F.substring(_sent("date"), 1, 10))
+    unread = [(_sent(c).isNotNull() & v.isNull(), _sent(c).try_cast("double").isNotNull()) for c, v in money.items()]
+    flag = lambda cond, bit: F.when(cond, F.lit(bit)).otherwise(F.lit(0))
+    some = lambda conds: reduce(lambda a, b: a | b, conds)
+    problems = (flag(F.col("_corrupt_record").isNotNull(), BAD_JSON) + flag(_sent("date").isNotNull() & date.isNull(), BAD_DATE)
+                + flag(some([bad & ~number for bad, number in unread]), BAD_NUMBER)
+                + flag(some([bad & number for bad, number in unread]), OUT_OF_RANGE))
+    accounts = F.filter(F.transform("account_ids", lambda x: x.try_cast("int")), lambda x: x.isNotNull())
     return df.select(
-        "id", "user_id",
-        F.to_date(F.substring(F.col("date"), 1, 10)).alias("date"),
-        "type",
-        _num("entry_price").alias("entry_price"),
-        _num("exit_price").alias("exit_price"),
-        _num("position_size").alias("position_size"),
-        "grade", "mental",
-        _num("initial_risk").alias("initial_risk"),
-        "notes", "account_ids",
-        F.col("created_at").try_cast("timestamp_ntz").alias("created_at"),
-        F.col("_corrupt_record").isNotNull().alias("corrupt"),
-    )
+        _sent("id").try_cast("long").alias("id"), _sent("user_id").try_cast("int").alias("user_id"), date.alias("date"), "type",
+        *(v.alias(c) for c, v in money.items()), "grade", "mental", leading_number(F.col("initial_risk")).alias("initial_risk"),
+        "notes", accounts.alias("account_ids"), F.col("created_at").try_cast("timestamp_ntz").alias("created_at"),
+        problems.alias("problems"), "raw")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """A3: JSON-lines entries, PERMISSIVE: a bad line is kept with its
-    text in ``_corrupt_record`` instead of failing the job."""
-    raw = (spark.read.schema(RAW_TRADES_JSON)
-           .option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .json(path))
-    return parse_entries(raw)
+    """A3: files of JSON lines; blank lines are skipped."""
+    return entries_from_json(spark.read.text(path).where(F.trim("value") != ""))
 
 
 def entries_from_json(df: DataFrame, column: str = "value") -> DataFrame:
-    """A3 for a string column (a message queue payload): ``from_json``."""
-    parsed = F.from_json(F.col(column), RAW_TRADES_JSON,
+    """A3 for a string column (a line or a message): PERMISSIVE ``from_json``.
+    A null message is a bad line."""
+    parsed = F.from_json(F.coalesce(F.col(column), F.lit("null")), RAW_TRADES_JSON,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return parse_entries(df.select(parsed.alias("_e")).select("_e.*"))
+    entries = df.select(parsed.alias("_e"), F.col(column).alias("raw")).select("_e.*", "raw")
+    empty = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in entries.columns if c not in ("raw", "_corrupt_record")])
+    return parse_entries(entries.withColumn("_corrupt_record", F.when(empty, F.coalesce("raw", F.lit(""))).otherwise(F.col("_corrupt_record"))))

@@ -1,24 +1,36 @@
 """Stream forms of ingest (S1), the daily summary (S2) and the ledger (S3).
 
 All three read a change feed of files (schema of ``events``) with
-``readStream``. The S1 and S2 sinks are written per micro-batch into a
-folder named by the batch id with mode overwrite, so a batch that is run
-again after a failure replaces its own output instead of adding to it; the
-S3 state is replaced bucket by bucket, and its fold is idempotent.
+``readStream`` and check it with the same functions as batch ingest. Every
+micro-batch writes only folders named by its batch id, with mode overwrite, so
+a batch that is run again after a failure replaces its own output and can harm
+no other; a batch without rows writes nothing that readers need.
+
+The live ledger is a log of checked changes and an aggregate over it that does
+not depend on the order in which files arrive. ``compact`` folds the log into a
+new snapshot version, publishes it with a pointer row, and never changes an old
+one; it keeps each key's last delete and all that came after it, which is all
+that any later (even late) change can still need.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pnlbook.operators.changes import fold_batch, trade_change_valid
-from pnlbook.operators.ingest import pnl_only_entries
-from pnlbook.schemas import EVENTS, MONEY
+from pnlbook.operators.changes import KEY, checked_changes, live_rows
+from pnlbook.operators.summaries import daily_summary
+from pnlbook.schemas import EVENTS, TOTAL
 from pnlbook.sources.fixtures import changes_from_events
 
-ENTRY_COLUMNS = ["seq", "ts", "op", "user_id", "id", "date", "type", "entry_price",
-                 "exit_price", "position_size", "pnl"]
+LOG_SCHEMA = ("seq BIGINT, op STRING, user_id INT, id BIGINT, ts TIMESTAMP_NTZ, date DATE, type STRING, entry_price DECIMAL(18,4), "
+              "exit_price DECIMAL(18,4), position_size DECIMAL(18,4), pnl DECIMAL(18,4), grade STRING, notes STRING, mental STRING, "
+              "initial_risk DECIMAL(18,4), account_ids ARRAY<INT>, ok BOOLEAN, bucket INT")
+# Key buckets of the log. A micro-batch reads only the buckets its keys fall in;
+# size them to about log bytes / 256 MiB.
+BUCKETS = 16
+SUMMARY = ["trade_count", "daily_pnl", "wins", "losses", "longs", "shorts"]
 
 
 def change_stream(spark: SparkSession, source_dir: str) -> DataFrame:
@@ -29,153 +41,127 @@ def _batch_dir(root: str, batch_id: int) -> str:
     return f"{root}/batch_id={batch_id}"
 
 
-def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, checkpoint: str):
-    """PnL-only entries checked and priced; clean rows to ``sink``,
-    refused rows (with reasons) to ``rejects``. One read of each batch."""
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, or an empty one while nothing has been written at ``path``."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_ingest(spark: SparkSession, source_dir: str, users: DataFrame, sink: str, rejects: str, checkpoint: str):
+    """Entries of the feed (inserts and updates) checked and priced; clean
+    rows to ``sink``, refused ones with their reasons to ``rejects``."""
     changes = change_stream(spark, source_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ok = trade_change_valid(batch)
-        checked = batch.withColumn("_ok", F.coalesce(ok, F.lit(False))).persist()
+        checked = checked_changes(batch.filter("op <> 'D'"), users).persist()
         try:
-            good = pnl_only_entries(checked.filter("_ok")).select(*ENTRY_COLUMNS)
-            good.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
-            side_ok = F.coalesce(F.col("type").isin("LONG", "SHORT"), F.lit(False))
-            bad = checked.filter(~F.col("_ok")).select(
-                "seq", F.concat_ws(",", F.when(F.col("date").isNull(), F.lit("missing_date")),
-                                   F.when(~side_ok, F.lit("bad_type")),
-                                   F.when(F.col("pnl_input").isNull(), F.lit("missing_pnl")))
-                .alias("reasons"))
-            bad.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
+            checked.filter("ok").drop("ok", "reasons").write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
+            checked.filter("not ok").select("seq", "reasons").write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
         finally:
             checked.unpersist()
 
-    return (changes.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
+    return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def daily_entries(changes: DataFrame) -> DataFrame:
-    """New trades (insert rows) of the feed, priced, with an event-time
-    column of type TIMESTAMP (watermarks refuse TIMESTAMP_NTZ).
-
-    The wall-clock ``ts`` is read as UTC whatever the session time zone, so
-    1-day windows line up with the calendar date of ``ts``.
-    """
-    new = changes.filter((F.col("op") == "I") & trade_change_valid(changes))
-    ts = F.col("ts")
-    secs = (F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
-            + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
-    return pnl_only_entries(new).withColumn("event_time", F.timestamp_seconds(secs))
-
-
-def run_daily_summary(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
-                      watermark: str = "1 day", state_partitions: int | None = None):
-    """Trade count and PnL per user and UTC day as trades arrive.
-    Update mode: each batch writes the groups it changed; rows older than
-    the watermark are dropped and their day's state is closed.
-
-    ``state_partitions`` fixes the number of state-store partitions (AQE does
-    not coalesce stateful streams); it is taken when the query first starts
-    and then kept in the checkpoint. Size it to the state within the
-    watermark, not to the whole input.
-    """
-    entries = daily_entries(change_stream(spark, source_dir))
-    agg = (entries.withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", "1 day").alias("day"), "user_id")
-           .agg(F.min("date").alias("date"), F.count(F.lit(1)).alias("trade_count"),
-                F.sum("pnl").alias("daily_pnl")))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select("user_id", "date", "trade_count",
-                      F.col("daily_pnl").cast(MONEY).alias("daily_pnl"))
-         .write.mode("overwrite").parquet(_batch_dir(sink, batch_id)))
-
-    writer = (agg.writeStream.outputMode("update").foreachBatch(write)
-              .option("checkpointLocation", checkpoint)
-              .trigger(availableNow=True))
-    if state_partitions is None:
-        return writer.start()
-    # The stream runs on a copy of the session made at start(), so the
-    # setting is restored for the caller right away.
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, before)
+def key_bucket(buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(F.col("user_id").cast("bigint"), F.col("id")), F.lit(buckets)).cast("int")
 
 
-def latest_per_key(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
-    """Read an update-mode sink: the value of the last batch per key."""
-    df = spark.read.parquet(sink)
-    rest = [c for c in df.columns if c not in key and c != "batch_id"]
-    return df.groupBy(*key).agg(*[F.max_by(F.col(c), F.col("batch_id")).alias(c) for c in rest])
+def append_changes(batch: DataFrame, users: DataFrame | None, root: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """S3: one batch of changes into the log, checked, by key bucket."""
+    checked = checked_changes(batch, users).filter("ok").drop("reasons").withColumn("bucket", key_bucket(buckets))
+    (checked.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(_batch_dir(f"{root}/log", batch_id)))
 
 
-# Key buckets of the live-ledger state. A micro-batch reads and rewrites only
-# the buckets its keys fall in, so a batch with few keys costs a small share
-# of the state. Size it to about state bytes / 256 MiB: every touched bucket
-# costs one file commit per batch.
-STATE_BUCKETS = 16
-LEDGER_STATE_SCHEMA = ("user_id BIGINT, id BIGINT, date DATE, type STRING, pnl_input DECIMAL(18,4), "
-                       "pnl DECIMAL(18,4), born BIGINT, seq BIGINT, created_at TIMESTAMP_NTZ, "
-                       "bucket INT")
+def _version(spark: SparkSession, root: str) -> int:
+    """The last published snapshot (it holds all batches up to that id), or -1."""
+    last = _read(spark, f"{root}/pointers", "version BIGINT").agg(F.max("version")).first()[0]
+    return -1 if last is None else last
 
 
-def key_bucket(buckets: int = STATE_BUCKETS):
-    return F.pmod(F.xxhash64("user_id", "id"), F.lit(buckets)).cast("int")
+def read_log(spark: SparkSession, root: str, before: int | None = None, touched: list[int] | None = None) -> DataFrame:
+    """The checked changes that count: the last snapshot and the batches after
+    it, if wanted only those before a batch id or of some buckets."""
+    version = _version(spark, root)
+    log = _read(spark, f"{root}/log", LOG_SCHEMA + ", batch_id BIGINT").filter(F.col("batch_id") > version)
+    if before is not None:
+        log = log.filter(F.col("batch_id") < before)
+    log = log.drop("batch_id")
+    if version >= 0:
+        log = log.unionByName(_read(spark, f"{root}/snapshots/version={version}", LOG_SCHEMA))
+    return log.filter(F.col("bucket").isin(touched)) if touched is not None else log
 
 
 def read_ledger_state(spark: SparkSession, root: str) -> DataFrame:
-    """The live rows of the stream ledger (bucket marker rows dropped)."""
-    return (spark.read.schema(LEDGER_STATE_SCHEMA).parquet(root)
-            .filter(F.col("id").isNotNull()).drop("bucket"))
-
-
-def fold_into_state(spark: SparkSession, batch: DataFrame, root: str, first: bool,
-                    buckets: int = STATE_BUCKETS) -> None:
-    """Fold one batch of changes into the bucketed state under ``root``.
-
-    Only the touched buckets are read (partition pruning on ``bucket``) and
-    written back (dynamic partition overwrite); each touched bucket also
-    gets one marker row, so a bucket whose keys were all deleted is still
-    replaced. The touched bucket ids (at most ``buckets`` small ints) are the
-    only thing brought to the driver. Running the same batch twice gives the
-    same state: the fold is idempotent (an insert of a live key is a
-    duplicate, an update writes the same payload, deletes and re-inserts
-    end the same way).
-    """
-    b = batch.withColumn("bucket", key_bucket(buckets)).persist()
-    try:
-        touched = [r[0] for r in b.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        state = None
-        if not first:
-            state = read_ledger_state(spark, root).filter(key_bucket(buckets).isin(touched))
-        new = fold_batch(state, b.drop("bucket")).withColumn("bucket", key_bucket(buckets))
-        markers = spark.createDataFrame([(t,) for t in touched], "bucket INT")
-        # state is one row per key, so clustering by bucket has no hot key;
-        # it gives one file per touched bucket.
-        (new.unionByName(markers, allowMissingColumns=True).repartition("bucket")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(root))
-    finally:
-        b.unpersist()
-
-
-def run_ledger(spark: SparkSession, source_dir: str, root: str, checkpoint: str,
-               buckets: int = STATE_BUCKETS):
-    """S3: the live ledger as bucketed state under ``root``, updated per
-    micro-batch by folding the touched buckets' live rows (fed back as
-    inserts) with the batch's changes."""
+    """The live rows of the stream ledger."""
+    return live_rows(read_log(spark, root))
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Folds snapshot and log into a new snapshot and publishes it; returns its
+    version. A crash before the pointer is written leaves the old one in force."""
+    ids = _read(spark, f"{root}/log", LOG_SCHEMA + ", batch_id BIGINT").agg(F.max("batch_id")).first()[0]
+    if ids is None or ids <= _version(spark, root):
+        return _version(spark, root)
+    rows = read_log(spark, root, before=ids + 1)
+    last_d = rows.filter("op = 'D'").groupBy(*KEY).agg(F.max("seq").alias("last_d"))
+    kept = rows.join(last_d, KEY, "left").filter(F.col("last_d").isNull() | (F.col("seq") >= F.col("last_d"))).drop("last_d")
+    (kept.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/snapshots/version={ids}"))
+    spark.createDataFrame([(ids,)], "version BIGINT").write.mode("append").parquet(f"{root}/pointers")
+    return ids
+
+
+def run_ledger(spark: SparkSession, source_dir: str, users: DataFrame | None, root: str, checkpoint: str, buckets: int = BUCKETS):
+    """S3: the live ledger as a log under ``root``; read it with ``read_ledger_state``."""
+    changes = change_stream(spark, source_dir)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_changes(batch, users, root, batch_id, buckets)
+
+    return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def daily_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed in E1 between two states of the same keys: sums to add per (user, date)."""
+    sides = [daily_summary(t.select("user_id", "date", "pnl", "type")).withColumns({c: F.col(c) * sign for c in SUMMARY})
+             for t, sign in ((after, 1), (before, -1))]
+    both = sides[0].unionByName(sides[1]).groupBy("user_id", "date").agg(*(F.sum(c).alias(c) for c in SUMMARY))
+    both = both.filter(" or ".join(f"{c} <> 0" for c in SUMMARY))
+    return both.select("user_id", "date", *(F.col(c).cast(TOTAL if c == "daily_pnl" else "bigint").alias(c) for c in SUMMARY))
+
+
+DELTA_SCHEMA = "user_id INT, date DATE, " + ", ".join(f"{c} {'DECIMAL(28,4)' if c == 'daily_pnl' else 'BIGINT'}" for c in SUMMARY)
+
+
+def run_daily_summary(spark: SparkSession, source_dir: str, users: DataFrame | None, root: str, sink: str, checkpoint: str,
+                      buckets: int = BUCKETS):
+    """The live daily summary (E1 of the live ledger). A created, updated or
+    deleted trade adjusts its day: each batch writes the differences of the days
+    of its own keys, however late they come."""
     changes = change_stream(spark, source_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fold_into_state(spark, batch, root, first=batch_id == 0, buckets=buckets)
+        append_changes(batch, users, root, batch_id, buckets)
+        new = spark.read.schema(LOG_SCHEMA).parquet(_batch_dir(f"{root}/log", batch_id))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]        # at most ``buckets`` numbers
+        if not touched:
+            return
+        old = read_log(spark, root, batch_id, touched).join(new.select(*KEY).distinct(), KEY, "left_semi")
+        deltas = daily_deltas(live_rows(old), live_rows(old.unionByName(new)))
+        deltas.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
 
-    return (changes.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
+    return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def read_daily_summary(spark: SparkSession, sink: str) -> DataFrame:
+    """The sum of all differences: days that have trades now."""
+    sums = _read(spark, sink, DELTA_SCHEMA).groupBy("user_id", "date").agg(*(F.sum(c).alias(c) for c in SUMMARY))
+    typed = [F.col(c).cast(TOTAL if c == "daily_pnl" else "bigint").alias(c) for c in SUMMARY]
+    return sums.filter("trade_count > 0").select("user_id", "date", *typed)

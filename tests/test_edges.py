@@ -203,3 +203,18 @@ def test_repeated_account_id_counts_once(spark):
     assert (r[3].total, r[3].net_pnl) == (2, D("4.0000"))
     pairs = ingest.default_account_pairs(t.select("id", "user_id", "account_ids"), acc).collect()
     assert sorted((p.id, p.account_id) for p in pairs) == [(1, 3), (2, 3)]
+
+
+def test_extreme_but_legal_amounts_do_not_fail(spark):
+    """A tiny net, a factor without bound and sums past one amount's range."""
+    from pnlbook.operators import curve, scores, stats
+    big = D("99999999999999.0000")
+    rows = [(1, "2024-01-01", D("1000.0000")), (1, "2024-01-02", D("-999.9900")),
+            (2, "2024-01-01", D("30000.0000")), (2, "2024-01-02", D("-0.0100")), *[(3, "2024-01-0%d" % k, big) for k in (1, 1, 2, 3)]]
+    t = spark.createDataFrame([(u, dt.date.fromisoformat(d), "LONG", p) for u, d, p in rows], "user_id INT, date DATE, type STRING, pnl DECIMAL(18,4)")
+    users = spark.createDataFrame([(k,) for k in (1, 2, 3)], "id INT")
+    c = {r.user_id: r for r in scores.consistency(t, users).collect()}
+    assert c[1].consistency_pct == D("10000000.0") and c[1].band == "poor"
+    e = {r.user_id: r for r in scores.edge_scores(stats.stat_card(t, users)).collect()}
+    assert e[2].pf_score == D("100.0000") and e[2].rr_score == D("100.0000")
+    assert max(r.cum_pnl for r in curve.equity_curve(t).collect()) == 4 * big

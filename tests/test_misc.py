@@ -53,7 +53,7 @@ def test_ingest_job_writes_both_sinks(spark, tmp_dir):
     j = Journal(spark, SF_SMALL)
     out, rej = os.path.join(tmp_dir, "ledger"), os.path.join(tmp_dir, "rejects")
     ingest_to_ledger(j.raw_trades, j.users, out, rej)
-    assert ledger.read_ledger(spark, out).count() == j.trades.count() == 1394
+    assert ledger.read_ledger(spark, out).count() == j.trades.count() == 1450
     r = spark.read.parquet(rej)
     assert r.count() == 50 and r.filter(F.col("reasons").contains("unknown_user")).count() == 16
 

@@ -3,7 +3,7 @@ partition keys (SURVEY §5.6)."""
 
 import re
 
-import __spark_entry__ as E
+from pnlbook.plans.catalog import QUERIES
 from pnlbook.operators import filters
 from pnlbook.plans.context import Journal
 from tests.conftest import SF_SMALL
@@ -21,42 +21,43 @@ def test_date_filter_is_pushed_to_the_scan(spark):
 
 
 def test_scans_read_only_needed_columns(spark):
-    p = plan(E.queries()["monthly_summary"](spark, SF_SMALL))
+    p = plan(QUERIES["monthly_summary"](spark, SF_SMALL))
     orders_schema = re.search(r"ReadSchema: struct<(o_[^>]*)>", p).group(1)
     assert "o_orderstatus" not in orders_schema and "o_comment" not in orders_schema
 
 
 def test_no_window_without_partition_keys(spark):
     for name in ["equity_curve", "change_outcomes", "live_ledger", "equity_curve_90d"]:
-        p = plan(E.queries()[name](spark, SF_SMALL))
+        p = plan(QUERIES[name](spark, SF_SMALL))
         assert "SinglePartition" not in p, name
         for w in re.findall(r"Window \[[^\n]*", p):
             assert re.search(r"\], \[[^\]]+\], \[", w), w
 
 
 def test_no_python_udf_in_catalogue(spark):
-    for name, fn in E.queries().items():
-        if name.startswith("stream_") or name == "ledger_roundtrip":
+    for name, fn in QUERIES.items():
+        if name.startswith("stream_") or name.startswith("ledger_"):
             continue
         p = plan(fn(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
 
 def test_no_cartesian_or_nested_loop_join(spark):
-    for name, fn in E.queries().items():
-        if name.startswith("stream_") or name in ("ledger_roundtrip", "json_file_ingest"):
+    for name, fn in QUERIES.items():
+        if name.startswith("stream_") or name in ("ledger_roundtrip", "ledger_append", "json_file_ingest"):
             continue
         p = plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_trade_fold_uses_hash_aggregates(spark):
-    p = plan(E.queries()["live_ledger"](spark, SF_SMALL))
-    assert "SortAggregate" not in p and "HashAggregate" in p
+def test_live_ledger_needs_no_window(spark):
+    """The live state is grouped aggregates with partial aggregation; windows are for outcomes only."""
+    p = plan(QUERIES["live_ledger"](spark, SF_SMALL))
+    assert not re.search(r"Window \[", p) and "partial_min(" in p
 
 
 def test_ingest_path_builds_no_reason_text(spark):
-    p = plan(E.queries()["ingest_trades"](spark, SF_SMALL))
+    p = plan(QUERIES["ingest_trades"](spark, SF_SMALL))
     assert "concat_ws" not in p
     # the PnL arithmetic is evaluated once, not copied into a pushed filter
     assert p.count("try_cast(round(") == 1

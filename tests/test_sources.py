@@ -24,13 +24,16 @@ def test_json_entries_permissive(spark, tmp_dir):
     with open(path, "w") as f:
         f.write("\n".join(lines) + "\n")
     e = ledger.read_entries(spark, path)
-    rows = e.orderBy(F.col("id").asc_nulls_last()).collect()
+    rows = e.orderBy(F.col("id").asc_nulls_first()).collect()
+    assert len(rows) == 3
+    rows = [*rows[1:], rows[0]]
     assert rows[0].exit_price == D("101.5000") and rows[0].position_size is None
     assert str(rows[0].date) == "2024-06-03"
     assert rows[1].entry_price is None
-    assert rows[2].corrupt and not rows[0].corrupt
-    users = spark.createDataFrame([(3, "x")], "id INT, username STRING")
-    t = ingest.ingest(e.filter(~F.col("corrupt")).drop("corrupt"), users).collect()
+    bad = next(r for r in rows if r.id is None)
+    assert bad.problems & ledger.BAD_JSON and bad.raw == "{not json" and not rows[0].problems
+    users = spark.createDataFrame([(3, "x"), (3, "x")], "id INT, username STRING")
+    t = ingest.ingest(e, users).collect()
     assert [(r.id, r.pnl, r.position_size) for r in t] == [(1, D("1.5000"), D("1.0000"))]
 
 
@@ -48,6 +51,34 @@ def test_ledger_roundtrip_and_month_pruning(spark, tmp_dir):
     assert got.exceptAll(trades.filter(F.col("date").between("1998-06-01", "1998-06-30"))).count() == 0
 
 
+def test_json_faults_change_only_their_own_entry(spark):
+    ok = {"id": 1, "user_id": "3", "date": "2024-06-03", "type": "LONG", "entry_price": 1, "exit_price": 2}
+    sent = [ok, ok | {"id": 2, "date": "31/12/2024"}, ok | {"id": 3, "position_size": "abc"},
+            ok | {"id": 4, "position_size": "1e30"}, ok | {"id": 5, "initial_risk": "12.5R"}, ok | {"id": 6, "user_id": {"x": 1}},
+            ok | {"id": 7, "account_ids": ["4", 5, None, "x"]}]
+    lines = [json.dumps(x) for x in sent] + ["[]", "null", "", "{", None]
+    e = ledger.entries_from_json(spark.createDataFrame([(x,) for x in lines], "value STRING"))
+    users = spark.createDataFrame([(3, "x")], "id INT, username STRING")
+    good = {r.id: r for r in ingest.ingest(e, users).collect()}
+    assert set(good) == {1, 5, 7} and good[5].initial_risk == D("12.5000") and good[7].account_ids == [4, 5]
+    bad = {(r.id, r.reasons) for r in ingest.rejects(e, users).collect()}
+    assert bad == {(2, "bad_date"), (3, "bad_number"), (4, "out_of_range"), (6, "unknown_user"), (None, "bad_json")}
+    assert ingest.rejects(e, users).filter("id is null").count() == 5
+
+
+def test_written_ledger_prunes_months_through_filters(spark, tmp_dir):
+    from pnlbook.operators import filters
+    path = os.path.join(tmp_dir, "ledger")
+    j = Journal(spark, SF_SMALL)
+    ledger.write_ledger(j.trades, path)
+    k = Journal(spark, SF_SMALL, ledger_path=path)
+    for f in (lambda t: filters.by_month(t, "1998-06"), lambda t: filters.date_range(t, "1997-01-01", "1997-03-31"),
+              lambda t: filters.trailing_days(t, "2001-08-01 12:00:00", 90), lambda t: filters.one_day(t, "1998-06-15")):
+        df = f(k.trades)
+        assert "PartitionFilters: [isnotnull(month" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == f(j.trades).count()
+
+
 def test_default_accounts_active_account(spark):
     e = spark.createDataFrame([(1, 5, None), (2, 5, [7]), (3, 5, [])],
                               "id LONG, user_id INT, account_ids ARRAY<INT>")

@@ -1,11 +1,11 @@
-"""Streams over files cut in seq order, with restarts from the checkpoint,
-end equal to the batch result; late rows past the watermark are dropped."""
+"""Streams over files, with restarts from the checkpoint, end equal to the batch result."""
 
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
 
-from pnlbook.operators import changes
+from pnlbook.operators import changes, summaries
 from pnlbook.plans.context import Journal
 from pnlbook.schemas import EVENTS
 from pnlbook.streaming import feed, jobs
@@ -13,90 +13,69 @@ from tests.conftest import SF_SMALL
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(str(x) for x in r) for r in df.collect()))
 
 
-def test_stream_ledger_equals_batch_fold(spark, tmp_dir):
-    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    src, root, ck = (os.path.join(tmp_dir, x) for x in ("src", "ledger", "ck"))
-    last = {}
+def test_stream_ledger_and_summary_equal_batch(spark, tmp_dir):
+    """Slices in reverse order of seq: late changes count like any other."""
+    j = Journal(spark, SF_SMALL)
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("turn", -F.col("event_id"))
+    src, root, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "state", "sink", "ck"))
 
     def run(_i):
-        q = jobs.run_ledger(spark, src, root, ck, buckets=8)
-        q.awaitTermination()
-        last["v"] = q.lastProgress["batchId"]
-
-    feed.feed_in_slices(ev, "event_id", 4, src, run)
-    assert last["v"] == 3
-    got = jobs.read_ledger_state(spark, root)
-    want = changes.live_ledger(Journal(spark, SF_SMALL).trade_changes)
-    cols = ["user_id", "id", "date", "type", "pnl", "born", "seq", "created_at"]
-    assert _rows(got.select(*cols)) == _rows(want.select(*cols))
-
-
-def test_ledger_state_touches_only_batch_buckets_and_replays_safely(spark, tmp_dir):
-    root = os.path.join(tmp_dir, "state")
-    tc = Journal(spark, SF_SMALL).trade_changes
-    first, second = tc.filter("seq < 600"), tc.filter("seq >= 600")
-    jobs.fold_into_state(spark, first, root, first=True, buckets=16)
-    before = {d: os.listdir(os.path.join(root, d)) for d in os.listdir(root) if d.startswith("bucket=")}
-    small = second.filter("user_id = 3")
-    jobs.fold_into_state(spark, small, root, first=False, buckets=16)
-    touched = {r[0] for r in small.select(jobs.key_bucket(16)).distinct().collect()}
-    after = {d: os.listdir(os.path.join(root, d)) for d in os.listdir(root) if d.startswith("bucket=")}
-    for d, files in before.items():
-        if int(d.split("=")[1]) not in touched:
-            assert after[d] == files, d          # untouched buckets keep their files
-    jobs.fold_into_state(spark, small, root, first=False, buckets=16)   # replay
-    rest = second.filter("user_id <> 3")
-    jobs.fold_into_state(spark, rest, root, first=False, buckets=16)
-    cols = ["user_id", "id", "date", "type", "pnl", "born", "seq", "created_at"]
-    # user 3's changes came before the others of the second part; per key the
-    # order is still seq order, so the end state equals one fold.
-    want = changes.live_ledger(tc)
-    assert _rows(jobs.read_ledger_state(spark, root).select(*cols)) == _rows(want.select(*cols))
-
-
-def test_daily_summary_drops_rows_past_watermark(spark, tmp_dir):
-    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
-    t = dt.datetime(2024, 3, 10, 12)
-    first = [(0, t, 1, "signup", 5.0, None), (1, t + dt.timedelta(days=3), 1, "signup", 7.0, None)]
-    late = [(2, t - dt.timedelta(days=1), 1, "signup", 11.0, None),      # behind the watermark
-            (3, t + dt.timedelta(days=3, hours=1), 1, "signup", 2.0, None)]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    for batch in (first, late):
-        spark.createDataFrame(batch, EVENTS).write.mode("append").parquet(src)
-        jobs.run_daily_summary(spark, src, sink, ck, state_partitions=3).awaitTermination()
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-    got = jobs.latest_per_key(spark, sink, ["user_id", "date"])
-    rows = {r.date: (r.trade_count, float(r.daily_pnl)) for r in got.collect()}
-    # seq 1 is odd -> pnl -7, seq 3 odd -> -2; the late row (day 9) never shows up.
-    assert rows == {dt.date(2024, 3, 10): (1, 5.0), dt.date(2024, 3, 13): (2, -9.0)}
+        jobs.run_daily_summary(spark, src, j.users, root, sink, ck, buckets=4).awaitTermination()
+
+    feed.feed_in_slices(ev, "turn", 3, src, run)
+    want = changes.live_ledger(j.trade_changes, j.users)
+    assert _rows(jobs.read_ledger_state(spark, root)) == _rows(want)
+    daily = jobs.read_daily_summary(spark, sink)
+    assert _rows(daily) == _rows(summaries.daily_summary(want).select(daily.columns))
+
+
+def test_created_then_deleted_trade_leaves_no_day(spark, tmp_dir):
+    src, root, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "state", "sink", "ck"))
+    t = dt.datetime(2024, 3, 10, 23, 30)
+    first = [(10, t, 1, "signup", 5.0, None), (11, t, 1, "signup", 7.0, None)]
+    second = [(20, t + dt.timedelta(days=9), 1, "error", 0.0, None)]            # deletes key 10
+    for rows in (first, second, []):
+        spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(src)
+        jobs.run_daily_summary(spark, src, None, root, sink, ck).awaitTermination()
+    got = [(r.date, r.trade_count, float(r.daily_pnl)) for r in jobs.read_daily_summary(spark, sink).collect()]
+    assert got == [(dt.date(2024, 3, 10), 1, -7.0)]
+
+
+def test_ledger_stream_starts_with_an_empty_batch(spark, tmp_dir):
+    src, root, ck = (os.path.join(tmp_dir, x) for x in ("src", "ledger", "ck"))
+    assert jobs.read_ledger_state(spark, root).count() == 0
+    for rows in ([], [(10, dt.datetime(2024, 3, 1), 1, "signup", 5.0, None)]):
+        spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(src)
+        jobs.run_ledger(spark, src, None, root, ck).awaitTermination()
+    assert [r.id for r in jobs.read_ledger_state(spark, root).collect()] == [10]
 
 
 def test_stream_ingest_writes_rejects(spark, tmp_dir):
     src, sink, rej, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "rej", "ck"))
-    rows = [(0, dt.datetime(2024, 3, 1), 1, "click", 5.0, None), (1, None, 1, "click", 1.0, None)]
+    rows = [(1, dt.datetime(2024, 3, 1), 1, "click", 5.0, None), (2, None, 1, "click", 1.0, None), (53, dt.datetime(2024, 3, 1), 1, "click", 1.0, None),
+            (4, dt.datetime(2024, 3, 1), 26, "click", 1.0, None), (5, dt.datetime(2024, 3, 1), 1, "error", 1.0, None)]
     spark.createDataFrame(rows, EVENTS).write.parquet(src)
-    jobs.run_ingest(spark, src, sink, rej, ck).awaitTermination()
-    assert [r.seq for r in spark.read.parquet(sink).collect()] == [0]
-    r = spark.read.parquet(rej).collect()
-    assert [(x.seq, x.reasons) for x in r] == [(1, "missing_date")]
-    # a second run with nothing new leaves the sinks as they are
-    jobs.run_ingest(spark, src, sink, rej, ck).awaitTermination()
-    assert spark.read.parquet(sink).count() == 1
+    users = spark.createDataFrame([(1,)], "id INT")
+    for _ in range(2):              # a second run with nothing new leaves the sinks as they are
+        jobs.run_ingest(spark, src, users, sink, rej, ck).awaitTermination()
+        assert [r.seq for r in spark.read.parquet(sink).collect()] == [1]
+        r = sorted((x.seq, x.reasons) for x in spark.read.parquet(rej).collect())
+        assert r == [(2, "missing_date"), (4, "unknown_user"), (53, "missing_entry_price,missing_exit_price")]
 
 
-def test_daily_windows_follow_ts_date_in_any_session_zone(spark, tmp_dir):
-    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+def test_days_follow_ts_date_in_any_session_zone(spark, tmp_dir):
+    src, root, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "state", "sink", "ck"))
     late_evening = dt.datetime(2024, 3, 10, 23, 30)
-    rows = [(0, late_evening, 1, "signup", 5.0, None), (2, late_evening + dt.timedelta(hours=1), 1, "signup", 1.0, None)]
+    rows = [(10, late_evening, 1, "signup", 5.0, None), (11, late_evening + dt.timedelta(hours=1), 1, "signup", 1.0, None)]
     spark.createDataFrame(rows, EVENTS).write.parquet(src)
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
-        jobs.run_daily_summary(spark, src, sink, ck).awaitTermination()
-        got = {r.date: r.trade_count for r in jobs.latest_per_key(spark, sink, ["user_id", "date"]).collect()}
+        jobs.run_daily_summary(spark, src, None, root, sink, ck).awaitTermination()
+        got = {r.date: r.trade_count for r in jobs.read_daily_summary(spark, sink).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {dt.date(2024, 3, 10): 1, dt.date(2024, 3, 11): 1}
