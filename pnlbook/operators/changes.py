@@ -159,9 +159,13 @@ def account_state(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame
     """Account changes (seq, op, user_id, id, name, type, size) with the
     B8 rules; an I or U without a name is rejected. Deleting an account
     leaves its id in trades."""
+    return live_state(account_outcomes(changes, chunk_span), ACCOUNT_PAYLOAD).select(*KEY, "name", "type", "size")
+
+
+def account_outcomes(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
+    """The outcome of every account change, with the normalised fields."""
     norm = normalise_accounts(changes)
-    out = fold_outcomes(norm, F.col("valid"), KEY, chunk_span)
-    return live_state(out, ACCOUNT_PAYLOAD).select(*KEY, "name", "type", "size")
+    return fold_outcomes(norm, F.col("valid"), KEY, chunk_span)
 
 
 def account_changes_from_events(ev: DataFrame) -> DataFrame:

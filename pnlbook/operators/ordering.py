@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def newest_first(df: DataFrame) -> DataFrame:
-    """Date DESC, created_at DESC; id makes the order total."""
-    keys = [F.col("date").desc()]
+    """Date DESC, created_at DESC; id makes the order total. The order
+    is one user's; tables of several users come user by user."""
+    keys = [F.col("user_id")] if "user_id" in df.columns else []
+    keys.append(F.col("date").desc())
     if "created_at" in df.columns:
         keys.append(F.col("created_at").desc())
     keys.append(F.col("id").desc())

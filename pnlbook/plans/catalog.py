@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pnlbook.functions import text
-from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scores, stats, summaries
+from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scoped, scores, stats, summaries
 from pnlbook.operators import ingest as ing
 from pnlbook.plans import batch
 from pnlbook.plans.context import Journal
@@ -206,6 +206,45 @@ def q_card_labels(spark, sf_dir):
     return scores.card_labels(stats.stat_card(j.trades, j.users))
 
 
+# ---- the same figures by account ---------------------------------------------
+
+def _by_account(spark, sf_dir, figure):
+    j = _j(spark, sf_dir)
+    return scoped.per_account(j.trades, j.accounts, figure)
+
+
+@query("account_curve")
+def q_account_curve(spark, sf_dir):
+    return _by_account(spark, sf_dir, lambda t, u: curve.equity_curve(t))
+
+
+@query("account_calendar")
+def q_account_calendar(spark, sf_dir):
+    return _by_account(spark, sf_dir, lambda t, u: calendar_grid.calendar_grid(t, u, _months()))
+
+
+@query("account_consistency")
+def q_account_consistency(spark, sf_dir):
+    return _by_account(spark, sf_dir, lambda t, u: scores.consistency(t, u, AS_OF, 365))
+
+
+@query("account_edge_scores")
+def q_account_edge_scores(spark, sf_dir):
+    return _by_account(spark, sf_dir, lambda t, u: scores.edge_scores(stats.stat_card(t, u)))
+
+
+@query("account_labels")
+def q_account_labels(spark, sf_dir):
+    return _by_account(spark, sf_dir, lambda t, u: scores.card_labels(stats.stat_card(t, u)))
+
+
+@query("month_steps")
+def q_month_steps(spark, sf_dir):
+    """H8: each month that a user traded in, with the months before and after."""
+    t = _j(spark, sf_dir).trades.select("user_id", F.trunc("date", "month").alias("first")).distinct()
+    return t.select("user_id", "first", text.month_step(F.col("first"), -1).alias("before"), text.month_step(F.col("first"), 1).alias("after"))
+
+
 @query("trade_table")
 def q_trade_table(spark, sf_dir):
     t = ordering.newest_first(_j(spark, sf_dir).trades)
@@ -240,6 +279,13 @@ def q_account_changes(spark, sf_dir):
     return changes.account_state(changes.account_changes_from_events(ev))
 
 
+@query("account_outcomes")
+def q_account_outcomes(spark, sf_dir):
+    """What each account change did."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return changes.account_outcomes(changes.account_changes_from_events(ev)).select("seq", "op", "outcome")
+
+
 @query("user_purge")
 def q_user_purge(spark, sf_dir):
     j = _j(spark, sf_dir)
@@ -305,6 +351,16 @@ def q_csv_lines(spark, sf_dir):
     return export.csv_lines(_j(spark, sf_dir).trades)
 
 
+@query("csv_file")
+def q_csv_file(spark, sf_dir):
+    """A5: the export written as files and read back."""
+    path = scratch_dir(spark, "csv")
+    export.write_csv(_j(spark, sf_dir).trades, path)
+    return (spark.read.options(header="true", quote='"', escape='"', emptyValue="").csv(path, schema="id STRING, date STRING, type STRING, "
+            "entry_price STRING, exit_price STRING, position_size STRING, pnl STRING, notes STRING, created_at STRING")
+            .select("id", "date", "type", "pnl", F.coalesce("notes", F.lit("")).alias("notes")))
+
+
 def dirty_accounts(accounts: DataFrame) -> DataFrame:
     """Account edits with planted faults: padded names, blank names, type
     text in the wrong case or missing, sizes that are not numbers."""

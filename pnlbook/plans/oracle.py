@@ -351,6 +351,25 @@ SELECT user_id, {_money_text('net_pnl')} AS net_text, {_num_text('win_rate')} ||
   CASE WHEN avg_rr IS NULL THEN 'neutral' WHEN avg_rr >= 1 THEN 'green' ELSE 'red' END AS rr_class
 FROM card""")
 
+# The same figures with the account in the user's place.
+def _account(name: str) -> str:
+    sql = QUERIES[name]
+    assert sql.startswith(PRELUDE)
+    scoped = """
+, dealt AS (SELECT user_id, date, type, pnl, unnest(list_distinct(account_ids)) AS aid FROM trades),
+owned AS (SELECT a.id AS user_id, d.date, d.type, d.pnl FROM dealt d JOIN accounts a ON a.id = d.aid AND a.user_id = d.user_id)"""
+    body = sql[len(PRELUDE):].replace("FROM trades", "FROM owned").replace("FROM users u", "FROM accounts u")
+    return f"SELECT * EXCLUDE (user_id), user_id AS account_id FROM ({PRELUDE}{scoped}{body})"
+
+
+for _new, _old in (("account_curve", "equity_curve"), ("account_calendar", "calendar_grid"), ("account_consistency", "consistency"),
+                   ("account_edge_scores", "edge_scores"), ("account_labels", "card_labels")):
+    QUERIES[_new] = _account(_old)
+
+oracle("month_steps")("""
+, m AS (SELECT DISTINCT user_id, CAST(date_trunc('month', date) AS DATE) AS first FROM trades)
+SELECT user_id, first, CAST(first - INTERVAL 1 MONTH AS DATE) AS before, CAST(first + INTERVAL 1 MONTH AS DATE) AS after FROM m""")
+
 oracle("trade_table")(f"""
 SELECT id, date, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS grade, {_dash('notes')} AS notes
 FROM trades""")
@@ -383,7 +402,7 @@ live AS (SELECT r.user_id, r.id, r.date, r.type, r.entry_price, r.exit_price, r.
   FROM r JOIN checked i ON i.seq = r.born WHERE rn = 1)"""
 oracle("live_ledger")(_LIVE_LEDGER + "\nSELECT * FROM live")
 
-oracle("account_changes")("""
+_ACC = """
 , f AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
     user_id, user_id*3 + event_id % 3 AS id,
     CASE WHEN event_id % 13 = 0 THEN NULL
@@ -395,7 +414,18 @@ oracle("account_changes")("""
         '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0) AS DECIMAL(18,4)),
       CAST(0 AS DECIMAL(18,4))) AS size
   FROM events),
-acc AS (SELECT * FROM f WHERE op = 'D' OR COALESCE(raw_name <> '', false))""" + _LIVE.format(src="acc") + """
+acc AS (SELECT * FROM f WHERE op = 'D' OR COALESCE(raw_name <> '', false))"""
+
+oracle("account_outcomes")(_ACC + """,
+c AS (SELECT *, op = 'D' OR COALESCE(raw_name <> '', false) AS ok FROM f),
+w AS (SELECT *, MAX(CASE WHEN op='I' AND ok THEN seq END) OVER v AS li, MAX(CASE WHEN op='D' THEN seq END) OVER v AS ld FROM c
+  WINDOW v AS (PARTITION BY user_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, COALESCE(li,-1) > COALESCE(ld,-1) AS present FROM w)
+SELECT seq, op, CASE WHEN NOT ok THEN 'rejected' WHEN op = 'I' THEN CASE WHEN present THEN 'duplicate' ELSE 'created' END
+  WHEN op = 'U' THEN CASE WHEN present THEN 'updated' ELSE 'not_found' END
+  ELSE CASE WHEN present THEN 'deleted' ELSE 'not_found' END END AS outcome FROM o""")
+
+oracle("account_changes")(_ACC + _LIVE.format(src="acc") + """
 SELECT user_id, id, name, type, size FROM r WHERE rn = 1""")
 
 oracle("user_purge")("""
@@ -440,6 +470,9 @@ SELECT id, """ + " || ',' || ".join([
     _q("strftime(created_at, '%Y-%m-%d %H:%M:%S')")]) + """ AS line
 FROM trades""")
 
+oracle("csv_file")(f"""
+SELECT CAST(id AS VARCHAR) AS id, strftime(date, '%Y-%m-%d') AS date, type, {_num_text('pnl')} AS pnl, notes FROM trades""")
+
 oracle("accounts_normalised")("""
 , d AS (SELECT id, user_id,
     CASE WHEN id % 7 = 0 THEN '   ' ELSE '  ' || name || ' ' END AS name,
