@@ -20,10 +20,12 @@ pair is missed (two sets that meet only in bare parts both have too many).
 
 Candidates are checked with the full sets. Equal sets are one class, searched
 once. First every text is checked with the text it shares the most signatures
-with (the smallest of each group of equal signatures stands for it); then, in
-the groups whose members are not yet in one component, pairs of unlike
-components of fitting sizes, a growing number of pivots a round, until no
-unchecked pair is left. A pair that is never checked is in one component anyway.
+with (the smallest of each group of equal signatures stands for it). Groups of
+equal signatures whose members are then not in one component are gathered into
+clusters, and a cluster is compared whole, block by block: two blocks of texts
+meet in one task, where intersections of all their sets are counted at once
+(matrix products for shingles that many sets hold), and only what joins
+components leaves it. A pair that is never compared is in one component anyway.
 
 Edge cases: null, empty and blank texts have an empty set and link with
 nothing; repeated rows and equal texts are one class; null ids come after all
@@ -47,7 +49,8 @@ from .textarrays import BASES, Prefix, Texts, mix, texts_of, word_prints, words_
 
 SPLIT, SLACK = 2, 1
 SEEDS = 6
-PIVOTS = 16
+BLOCK = 768         # texts of a cluster's block
+BLOCK_SHINGLES = 1 << 20
 _U = np.uint64
 
 
@@ -202,20 +205,90 @@ def check(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFr
     return stored(map_arrow(df.select("a", "b", "ta", "tb"), checked_rows(gram, percent), "a long, b long, links boolean"), "checked")
 
 
-def labelled(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """Groups (sign, u, size) whose members are in several components, with ``c``."""
-    df = groups.join(comp.select(F.col("vertex").alias("u"), "component"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
-    open_ = df.groupBy("sign").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sign")
-    return df.join(open_, "sign", "left_semi")
+def open_texts(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(u, c, size, cluster): members of the groups that still hold several components.
+    Texts that share such a group, directly or through others, are one cluster."""
+    df = groups.join(comp.select(F.col("vertex").alias("u"), "component"), "u", "left")
+    df = df.select("sign", "u", "size", F.coalesce("component", "u").alias("c"))
+    open_ = (df.groupBy("sign").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("u").alias("a"))
+             .where("lo <> hi").select("sign", "a"))
+    df = stored(df.join(open_, "sign"), "open-groups")
+    clusters = components(df.select("a", F.col("u").alias("b")))
+    return (df.select("u", "c", "size").distinct().join(clusters.select(F.col("vertex").alias("u"), F.col("component").alias("cluster")), "u"))
+
+
+def intersections(values: np.ndarray, at: np.ndarray, heavy: int = 48) -> np.ndarray:
+    """The sizes of all pairwise intersections of a block's sets."""
+    n = len(at) - 1
+    doc = np.repeat(np.arange(n), np.diff(at))
+    order = np.argsort(values, kind="stable")
+    v, d = values[order], doc[order]
+    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(v)))
+    out = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(size >= heavy)               # in many sets: matrix products, some columns at a time
+    for k in range(0, len(often), 1024):
+        part = often[k:k + 1024]
+        m = np.zeros((n, len(part)), np.float32)
+        m[d[np.repeat(start[part], size[part]) + _runs(size[part])], np.repeat(np.arange(len(part)), size[part])] = 1
+        out += m @ m.T
+    for c in np.unique(size[(size > 1) & (size < heavy)]):      # in few: their pairs are counted
+        rows = d[start[size == c][:, None] + np.arange(c)]
+        for k in range(0, len(rows), max(1, (1 << 20) // (c * c))):
+            r = rows[k:k + max(1, (1 << 20) // (c * c))]
+            pairs = (r[:, :, None] * n + r[:, None, :]).ravel()
+            out += np.bincount(pairs, minlength=n * n).reshape(n, n) if n <= 64 or len(pairs) > n * n // 8 else _counted(pairs, n)
+    return out
+
+
+def _counted(pairs: np.ndarray, n: int) -> np.ndarray:
+    cells, count = np.unique(pairs, return_counts=True)
+    out = np.zeros(n * n, np.float32)
+    out[cells] = count
+    return out.reshape(n, n)
+
+
+def _runs(size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def block_links(gram: int, percent: int):
+    """Of a block of texts (two blocks of a cluster) every pair is compared; (a, b)
+    joins each text to the smallest one that links lead to, so no more rows leave
+    than came in."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("u")
+        u, c = t["u"].to_numpy(), t["c"].to_numpy()
+        values, at = shingles(texts_of(t["t"]), gram)
+        n = np.diff(at)
+        both = intersections(values, at)
+        links = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
+        _, first, label = np.unique(c, return_index=True, return_inverse=True)
+        label = first[label]                            # each text starts in its component
+        links |= label[:, None] == label[None, :]
+        while True:
+            low = np.where(links, label[None, :], len(u)).min(axis=1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        new = label != first[np.unique(c, return_inverse=True)[1]]
+        return pa.table({"a": u[label[new]], "b": u[new]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
 
 
-def open_pairs(groups: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """(a, b): the first ``pivots`` members of each group with the later members of
-    other components whose size fits."""
-    numbered = groups.withColumn("i", F.row_number().over(Window.partitionBy("sign").orderBy("u")))
-    p = numbered.where(F.col("i") <= pivots).select("sign", F.col("u").alias("a"), F.col("c").alias("ca"), F.col("i").alias("ia"), F.col("size").alias("sa"))
-    fits = percent * F.greatest("sa", "size") <= 100 * F.least("sa", "size")
-    return p.join(numbered, "sign").where((F.col("i") > F.col("ia")) & (F.col("c") != F.col("ca")) & fits).select("a", F.col("u").alias("b")).distinct()
+def cluster_links(members: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(a, b) joined by links, over every pair of a cluster: clusters are dealt into
+    blocks of about ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles, and each two
+    blocks meet in one group."""
+    need = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    blocks = members.groupBy("cluster").agg(F.ceil(need).cast("int").alias("blocks"))
+    df = members.drop("size").join(blocks, "cluster").join(texts, "u")
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    df = df.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "c", "t")
+    return df.groupBy("cluster", "i", "j").applyInArrow(block_links(gram, percent), "a long, b long")
 
 
 def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
@@ -240,23 +313,13 @@ def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     texts = stored(base.select("u", "t").join(groups.select("u").distinct(), "u", "left_semi"), "candidates")
-    checked = check(pairs, texts, gram, percent)
-    links = checked.where("links").select("a", "b")
+    links = check(pairs, texts, gram, percent).where("links").select("a", "b")
     comp = components(links)
-    pivots = PIVOTS
-    while True:
-        open_ = stored(labelled(groups, comp), "open-groups")
-        most = open_.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if not most:
-            break
-        new = open_pairs(open_, pivots, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = check(new, texts, gram, percent)
-        checked = checked.unionByName(found)
-        if not found.where("links").isEmpty():
-            comp = components(checked.where("links").select("a", "b"))
-        if pivots >= most:
-            break
-        pivots *= 8
+    members = stored(open_texts(groups, comp), "open-texts")
+    if not members.isEmpty():
+        more = stored(cluster_links(members, texts, gram, percent), "block-links")
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
     comp_of = comp.select(F.col("vertex").alias("rep"), "component")
     first = F.when(F.col("size") == 0, F.col("u")).otherwise(F.coalesce("component", "rep"))
     return (base.select("u", "copies", "doc_id").join(sets, "u").join(comp_of, "rep", "left")

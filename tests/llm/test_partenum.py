@@ -42,7 +42,7 @@ def run(spark, rows, **kw):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(partenum, "PIVOTS", 1 if seed == 2 else 16)
+    monkeypatch.setattr(partenum, "BLOCK", 4 if seed == 2 else 768)
     run(spark, planted(seed))
 
 
@@ -72,6 +72,17 @@ def test_signatures_meet():
             assert set(sign[who == 0]) & set(sign[who == 1]), (size, len(b), both)
 
 
+def test_intersections():
+    rng = np.random.default_rng(2)
+    for n, domain in ((1, 5), (7, 40), (90, 60), (150, 3000), (200, 80)):
+        sets = [np.unique(rng.integers(0, domain, rng.integers(0, 50)).astype(np.uint64)) for _ in range(n)]
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        got = partenum.intersections(np.concatenate(sets), at)
+        off = ~np.eye(n, dtype=bool)
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (got[off] == want[off]).all()
+
+
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     run(spark, rows)
