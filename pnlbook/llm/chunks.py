@@ -11,18 +11,18 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-MOST = 400_000
+MOST = 1_200_000
 LONG = 64           # longer chunks are encoded each time, not kept
 
 
 class ChunkTable(dict):
-    """chunk -> row; ``ids`` of row r are flat[at[r]:at[r + 1]]."""
+    """chunk -> row; ``ids`` of row r are flat[at[r]:at[r + 1]]. ``encode`` takes a list of chunks."""
 
-    def __init__(self, encode: Callable[[str], Sequence[int]]):
+    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]]):
         super().__init__()
         self.encode = encode
         self.reset()
@@ -31,22 +31,29 @@ class ChunkTable(dict):
         self.clear()
         self.flat, self.at = array("i"), array("q", [0])
 
-    def __missing__(self, chunk: str) -> int:
-        self.flat.extend(self.encode(chunk))
-        row = len(self.at) - 1
-        self.at.append(len(self.flat))
-        if len(chunk) <= LONG:
-            self[chunk] = row
-        return row
+    def add(self, chunks: list) -> None:
+        for chunk, ids in zip(chunks, self.encode(chunks), strict=True):
+            self.flat.extend(ids)
+            self[chunk] = len(self.at) - 1
+            self.at.append(len(self.flat))
 
-    def join(self, docs: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def join(self, docs: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each document's chunks in order: (all ids, where each document starts)."""
         if len(self) > MOST or len(self.flat) > 16 * MOST:
             self.reset()
         count = np.fromiter(map(len, docs), np.int64, len(docs))
-        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, int(count.sum()))
-        flat, at = np.array(self.flat, np.int32), np.array(self.at, np.int64)
+        words = list(chain.from_iterable(docs))
+        rows = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(rows < 0).tolist()
+        new = list({words[k] for k in unknown})
+        self.add(new)
+        rows[unknown] = [self[words[k]] for k in unknown]
+        flat, at = np.frombuffer(self.flat, np.int32), np.frombuffer(self.at, np.int64)
         size = at[rows + 1] - at[rows]
         end = np.concatenate(([0], np.cumsum(size)))
         take = np.arange(end[-1]) - np.repeat(end[:-1] - at[rows], size)
-        return flat[take], end[np.concatenate(([0], np.cumsum(count)))]
+        ids = flat[take] if len(take) else np.zeros(0, np.int32)
+        for chunk in new:                   # its ids stay until the next reset, without a key
+            if len(chunk) > LONG or not isinstance(chunk, str) and len(chunk[0]) > LONG:
+                del self[chunk]
+        return ids, end[np.concatenate(([0], np.cumsum(count)))]

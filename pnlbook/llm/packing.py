@@ -24,7 +24,6 @@ row; an empty table gives no pieces. Only ``doc_id`` and the text are read.
 from __future__ import annotations
 
 import os
-import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -42,7 +41,8 @@ STEP_TOKENS = 1 << 17
 END_ID = 1
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+# fixed values: white space other than the space and the line feed
+_OTHER_SPACE = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 _LOADED: dict[int, tuple] = {}
 
 
@@ -54,19 +54,22 @@ def tokenizer(data: bytes):
     if key not in _LOADED:
         tok = Tokenizer.from_buffer(data)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _LOADED[key] = tok, ChunkTable(lambda c: tok.encode(c, add_special_tokens=False).ids), special
+        whole = lambda c: c[0] if isinstance(c, tuple) else " " + c
+        _LOADED[key] = tok, ChunkTable(lambda cs: [e.ids for e in tok.encode_batch([whole(c) for c in cs], add_special_tokens=False)]), special
     return _LOADED[key]
 
 
-def chunks_of(text: str, special: list[str]) -> list[str]:
-    """Chunks that can be encoded on their own; the whole text where spacing is unusual."""
+def chunks_of(text: str, special: list[str]) -> list:
+    """Chunks that can be encoded on their own: a text's first as a tuple, the others
+    without the space before them. Where spacing is unusual the text is one chunk."""
     if not text:
         return []
     if ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
-            or _OTHER_SPACE.search(text) or any(s in text for s in special)):
-        return [text]
-    head, *tail = text.split(" ")
-    return [head, *(" " + p for p in tail)]
+            or any(c in text for c in _OTHER_SPACE) or any(s in text for s in special)):
+        return [(text,)]
+    parts = text.split(" ")
+    parts[0] = (parts[0],)
+    return parts
 
 
 def plan(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:

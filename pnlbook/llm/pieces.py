@@ -42,27 +42,28 @@ def processor(model: bytes):
             if MARK in sp.id_to_piece(i).lstrip(MARK):
                 raise ValueError(f"piece {i} crosses a marker; chunks cannot be encoded on their own")
         lone = sp.piece_to_id(MARK)
-        _LOADED[key] = sp, ChunkTable(lambda chunk: [lone] if chunk == " " else sp.encode(chunk[1:]))
+        _LOADED[key] = sp, ChunkTable(lambda chunks: [ids if c else [lone] for c, ids in zip(chunks, sp.encode(chunks, num_threads=1), strict=True)])
     return _LOADED[key]
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text's chunks, each with its leading markers as spaces (at least one)."""
+    """The text's chunks, their markers as spaces and without the first marker
+    (which the library puts before any text); a lone marker is an empty chunk."""
     if MARK in text:
         text = text.replace(MARK, " ")
     if not text:
         return []
     parts = text.split(" ")
     if "" not in parts:
-        return [" " + p for p in parts]
+        return parts
     out, run = [], 0
     for p in parts:
         run += 1
         if p:
-            out.append(" " * run + p)
+            out.append(" " * (run - 1) + p)
             run = 0
     if run:
-        out.append(" " * run)
+        out.append(" " * (run - 1))
     return out
 
 
