@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import map_arrow, slices
-from .repeats import combine, identified, lone, settle, signed, stored
+from .repeats import combine, identified, lone, settle, signed, stored, with_first
 from .textarrays import BASES, Prefix, Words, spans_cover, texts_of, word_prints, words_of
 
 WINDOW = 50
@@ -147,9 +147,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     shared = F.col("known") | (F.col("lo") != F.col("hi"))
     seen = (rows.where((F.col("pos") < 0) | shared).groupBy("u")
             .agg(F.max("n_words").alias("n_words"), F.max("digest").alias("digest"),
-                 F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"))
-            .withColumn("rep", F.min("u").over(Window.partitionBy("digest"))))
-    seen = stored(seen, "cover-texts")
+                 F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places")))
+    seen = with_first(stored(seen, "cover-texts"), "digest")
     firsts = seen.where((F.col("u") == F.col("rep")) & (F.size("places") > 0)).select("u", "places")
     texts = stored(base.join(firsts, "u").select("u", "d", "t", "places"), "cover-candidates")
     windows = settle(map_arrow(texts, window_rows, "key long, u long, d long, pos int, known boolean"))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_arrow, slices
 from .components import components
-from .repeats import identified, identify, lone, signed, stored
+from .repeats import identified, identify, lone, signed, stored, with_first
 from .textarrays import BASES, Prefix, Texts, mix, texts_of, word_prints, words_of
 
 SPLIT, SLACK = 2, 1
@@ -299,8 +299,7 @@ def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
     kept = stored(rows.where(F.col("size").isNotNull() | F.col("sign").isNotNull() | (F.col("n") > 1))
                   .select("u", F.when(F.col("size").isNull(), F.coalesce("sign", "key")).alias("sign"),
                           F.coalesce("leader", "lo").alias("leader"), "size", "digest"), "signatures")
-    sets = stored(kept.where(F.col("size").isNotNull()).select("u", "size", "digest")
-                  .withColumn("rep", F.min("u").over(Window.partitionBy("digest"))).drop("digest"), "sets")
+    sets = stored(with_first(kept.where(F.col("size").isNotNull()).select("u", "size", "digest"), "digest").drop("digest"), "sets")
     rep = lambda name: sets.select(F.col("u").alias(name), F.col("rep").alias(f"{name}_rep"))
     met = kept.where(F.col("size").isNull()).join(rep("u"), "u")
     groups = (met.select("sign", F.col("u_rep").alias("u")).distinct()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, ShortType
 
@@ -27,10 +27,11 @@ from .textarrays import mix, signed
 _U = np.uint64
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Written to the shared folder and read again: lineage ends here. A table of
+    a known number of ``rows`` goes into as few files as it needs."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(4 + rows // 100_000)).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -68,6 +69,16 @@ def identified(docs: DataFrame) -> DataFrame:
     return identify(docs).texts
 
 
+def with_first(df: DataFrame, key: str, *more: Column) -> DataFrame:
+    """``df`` with ``rep``, the smallest u of its ``key`` (and further aggregates).
+
+    A grouped minimum, reduced before the shuffle, joined back: a key that a third
+    of the rows share is split by the skew join, where a window would hold it in
+    one task. ``df`` is read twice, so it should be a stored table.
+    """
+    return df.join(df.groupBy(key).agg(F.min("u").alias("rep"), *more), key)
+
+
 def lone(u: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A key that no other row has, for rows that are settled."""
     return mix(mix(u.astype(np.uint64)) + pos.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -106,4 +117,4 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("u").over(by)).withColumn("n", F.count(F.lit(1)).over(by))
 
 
-__all__ = ["Identified", "combine", "identified", "identify", "lone", "settle", "signed", "stored"]
+__all__ = ["Identified", "combine", "identified", "identify", "lone", "settle", "signed", "stored", "with_first"]

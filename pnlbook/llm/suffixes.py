@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pnlbook.session import scratch_dir
 
 from .batches import lists, map_arrow, slices
-from .repeats import combine, identified, identify, lone, settle, signed, stored
+from .repeats import combine, identified, identify, lone, settle, signed, stored, with_first
 from .textarrays import BASES, Prefix, Texts, mix, spans_cover, texts_of
 
 MATCH = 200
@@ -274,9 +274,8 @@ def _dedup(base: DataFrame, batches: int) -> DataFrame:
     """One row for each distinct text; see ``dedup``."""
     spark = base.sparkSession
     kind = base.schema["doc_id"].dataType.simpleString()
-    seen = stored(map_arrow(base, digest_rows, f"u long, d long, copies long, doc_id {kind}, n_bytes long, digest binary")
-                  .withColumn("rep", F.min("u").over(Window.partitionBy("digest")))
-                  .withColumn("members", F.sum("copies").over(Window.partitionBy("digest"))), "suffix-texts")
+    seen = stored(map_arrow(base, digest_rows, f"u long, d long, copies long, doc_id {kind}, n_bytes long, digest binary"), "suffix-texts")
+    seen = with_first(seen, "digest", F.sum("copies").alias("members"))
     index = Levels(spark)
     for b in range(batches):
         index.insert(base.where(F.pmod(F.xxhash64("u"), F.lit(batches)) == b))
