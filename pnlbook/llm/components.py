@@ -25,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionByName(e.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = stored(both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct(), "large-star")
+        large = stored(both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct(), "large-star", 2 * before[0])
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
                  .unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
-        e = stored(small, "small-star")
+        e = stored(small, "small-star", before[0])
         after = _sum(e)
         if after == before:
             break
