@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z), cut into words, and become sets of distinct
 ``gram``-word shingles (the whole sequence where it is shorter). Two documents
 link when ``100 * intersection >= percent * union``.
 
-Sizes fall into bands, each as wide as two steps of the threshold. For a pair
+Sizes fall into bands, each as wide as one step of the threshold. For a pair
 whose smaller set is in band j the two sets differ in at most ``k_j`` elements.
 Band j's signatures divide the feature domain into first-level parts, each into
 ``SPLIT`` second-level parts, and take every choice of ``SPLIT - SLACK`` of
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ class Bands:
     def grow(self, size: int) -> None:
         while self.high[-1] < size:
             low = self.high[-1] + 1
-            self.high.append(max(low, low * 10000 // self.percent ** 2))
+            self.high.append(max(low, low * 100 // self.percent))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         self.grow(int(sizes.max(initial=1)) + 1)
@@ -92,6 +93,19 @@ class Bands:
         small = np.array(self.high)[band]
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def spares(self, band: np.ndarray) -> np.ndarray:
+        """First-level parts beyond those that the differences need: about as many
+        as stay bare in the band's smallest sets (a choice of cells without
+        elements), and some standard deviations more."""
+        low = np.array(self.high)[band - 1] + 1
+        need = self.differences(band) // (SLACK + 1) + 1
+        spare = np.zeros_like(need)
+        for _ in range(8):
+            held = low * (SPLIT - SLACK) / ((need + spare) * SPLIT)
+            bare = (need + spare) * np.minimum(1, comb(SPLIT, SLACK) * np.exp(-held))
+            spare = np.minimum(np.ceil(bare + 2.5 * np.sqrt(bare)).astype(np.int64), need // 2)
+        return spare
+
 
 def signatures(values: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all sets (set i is values[at[i]:at[i + 1]])."""
@@ -105,7 +119,7 @@ def signatures(values: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.nda
         for seed in range(SEEDS):
             if not len(who):
                 break
-            spare = k // 48
+            spare = bands.spares(band[who])
             parts = k // (SLACK + 1) + 1 + spare
             cells = parts * SPLIT
             base = np.concatenate(([0], np.cumsum(cells)))
