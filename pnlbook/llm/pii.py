@@ -8,8 +8,8 @@ dynamic programme over entities of at most ``MOST_TOKENS`` tokens chooses
 boundaries and types of a passage together. A sequence's probability is
 exp(sum of its spans' scores) over the sum for all ways to cut the passage.
 
-Training needs no labelled text: on a bounded sample (``SAMPLE_DOCS`` documents
-with a digit or an at sign, the smallest by a hash, so it does not depend on
+Training needs no labelled text: on a bounded sample (about ``SAMPLE_DOCS``
+documents with a digit or an at sign, by hash, so it does not depend on
 partitions) the rules label their four kinds, and the patterns in ``SEEDS``
 label some credentials. The model then runs over every text, wherever there is a
 digit or an at sign. Its weights are one fixed-size array.
@@ -301,10 +301,16 @@ def found(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Trains on at most ``sample`` documents with triggers, the smallest by hash."""
-    df = docs.select(text_of(docs).alias("t"), "doc_id").where(F.col("t").rlike("[0-9@]"))
-    rows = df.select(F.xxhash64("doc_id", "t").alias("h"), F.substring("t", 1, 1 << 20).alias("t")).orderBy("h", "t").limit(sample).collect()
-    return train([r["t"] for r in rows])
+    """Trains on about ``sample`` of the documents with triggers (all, if fewer):
+    those whose hash is in the first ``sample``-th part of the hash range, so each
+    task sends only its share. Texts over a million characters are not trained on."""
+    df = docs.select(text_of(docs).alias("t"), "doc_id").where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 1_000_000))
+    df = df.select(F.shiftrightunsigned(F.xxhash64("doc_id", "t"), 1).alias("h"), "t")
+    n = df.count()
+    if n > sample:
+        df = df.where(F.col("h") < F.lit((1 << 63) * sample // n))
+    rows = sorted((r["h"], r["t"]) for r in df.collect())
+    return train([t for _, t in rows])
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
