@@ -5,17 +5,22 @@ Rules find e-mail addresses, IP addresses, card numbers and phone numbers
 do not have, above all credentials: it scores whole candidate spans (their
 shape, length, digits, checks and neighbours) instead of single tokens, and a
 dynamic programme over entities of at most ``MOST_TOKENS`` tokens chooses
-boundaries and types of a passage together. A sequence's probability is
-exp(sum of its spans' scores) over the sum for all ways to cut the passage.
+boundaries and types of a passage together. A run of ASCII letters, digits, ``-``
+and ``_`` can also be one unit of a span, so a credential's length and number of
+separators have no bound. A sequence's probability is exp(sum of its spans'
+scores) over the sum for all ways to cut the passage.
 
 Training needs no labelled text: on a bounded sample (about ``SAMPLE_DOCS``
-documents with a digit or an at sign, by hash, so it does not depend on
-partitions) the rules label their four kinds, and the patterns in ``SEEDS``
-label some credentials. The model then runs over every text, wherever there is a
-digit or an at sign. Its weights are one fixed-size array.
-
-Edge cases: null and empty texts have no spans; texts without digits or at
-signs end after one search; long runs of digits or spaces cost linear time;
+documents with a trigger, by hash, so it does not depend on partitions) the
+rules label their four kinds, and the patterns in ``SEEDS`` label some
+credentials. What these patterns find is always among all spans, also where the
+sample has nothing like it to learn from. The model then runs over every text, wherever there is a trigger: a
+digit, an at sign or a word that announces a credential (``CUE``). Spans without
+a digit or an at sign are proposed up to ``REACH`` characters after such a word.
+Its weights are one fixed-size array.
+
+Edge cases: null and empty texts have no spans; texts without triggers end
+after a few searches; long runs of digits or spaces cost linear time;
 null ids and repeated rows are treated like any row; with nothing to learn from
 the model adds nothing; an empty table gives no rows. Only ``doc_id`` and the
 text are read. Offsets are in code points, the end exclusive.
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TRIGGER = re.compile("[0-9@]")
+_MARK = re.compile("[0-9@]")
+# words that announce a credential, and the fixed head of an access key
+CUE = r"(?:[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA)"
+_CUE = re.compile(CUE)
+TRIGGER = "[0-9@]|" + CUE
+_TRIGGER = re.compile(TRIGGER)
+_RUN = re.compile("[A-Za-z0-9_-]+")
+_CUE_PARTS = ("passw", "secret", "token", "api_key", "apikey")
+REACH = 40
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 # seed patterns for credentials; the first group is the credential
 SEEDS = re.compile(r"""(?:password|passwd|secret|token|api_?key)\s?[=:]\s?["']?([A-Za-z0-9_-]{8,})|\b(AKIA[A-Z0-9]{16})\b""")
@@ -97,10 +111,16 @@ def order(s: Span) -> tuple[int, int, int]:
 BLOCK = 1024            # span starts that are scored at once
 
 
+def has_cue(text: str) -> bool:
+    """Whether there may be a cue; plain searches are faster than the expression."""
+    low = text.lower()
+    return "AKIA" in text or any(c in low for c in _CUE_PARTS)
+
+
 def passages(text: str, before: int = 40, after: int = 40) -> list[tuple[int, int]]:
     """Stretches of text around triggers, cut at white space where there is some."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in (_TRIGGER if has_cue(text) else _MARK).finditer(text):
         if out and m.start() < out[-1][1]:
             continue                                # inside the last one, whose end is cut at white space
         a, b = max(0, m.start() - before), min(len(text), m.end() + after)
@@ -145,27 +165,62 @@ class Passage:
         self.text = text
         self.tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
         self.words = [text[x:y] for x, y in self.tokens]
-        self.has = np.concatenate(([0], np.cumsum([bool(_TRIGGER.search(w)) for w in self.words]))).tolist()
+        self.has = np.concatenate(([0], np.cumsum([bool(_MARK.search(w)) for w in self.words]))).tolist()
+        self.near = [False] * len(self.tokens)          # starts of spans that need no digit or at sign
+        starts = [x for x, _ in self.tokens]
+        for m in _CUE.finditer(text, a, b):
+            low = m.start() if m[0] == "AKIA" else m.end()
+            for i in range(bisect_left(starts, low), bisect_left(starts, m.end() + REACH)):
+                self.near[i] = True
+        self.run = [0] * len(self.tokens)               # the end token of the run that starts at a token
+        ends = {y: j + 1 for j, (_, y) in enumerate(self.tokens)}
+        for m in _RUN.finditer(text, a, b):
+            i = bisect_left(starts, m.start())
+            if i < len(starts) and starts[i] == m.start():
+                self.run[i] = ends.get(m.end(), 0)
+
+    def joined(self, j: int) -> bool:
+        """Whether token ``j`` can follow the one before it in a span: at most one space between."""
+        return self.tokens[j][0] <= self.tokens[j - 1][1] + 1 and self.text[self.tokens[j - 1][1]] not in "\r\n\t"
+
+    def ends(self, i: int) -> list[int]:
+        """End tokens of the spans that start at token ``i``: up to ``MOST_TOKENS`` tokens, or as many units, a whole run being one."""
+        words, n, out = self.words, len(self.tokens), []
+        plain = words[i][0].isalnum() or words[i] in "+("
+        if plain:
+            for j in range(i, min(i + MOST_TOKENS, n)):
+                if j > i and not self.joined(j):
+                    break
+                if words[j][-1].isalnum() or words[j] == ")":
+                    out.append(j + 1)
+        if self.run[i]:
+            j = self.run[i]
+            if j not in out:
+                out.append(j)
+            for _ in range(MOST_TOKENS - 1 if plain else 0):
+                if j >= n or not self.joined(j):
+                    break
+                j = self.run[j] or j + 1
+                if j > i + MOST_TOKENS and (words[j - 1][-1].isalnum() or words[j - 1] == ")"):
+                    out.append(j)
+        return out
 
     def candidates(self, low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Spans (first token, end token) that start at tokens low to high - 1, and their features."""
-        text, tokens, words, has = self.text, self.tokens, self.words, self.has
+        text, tokens, words, has, near = self.text, self.tokens, self.words, self.has, self.near
         segments, rows = [], []
         for i in range(low, min(high, len(tokens))):
-            if not (words[i][0].isalnum() or words[i] in "+("):
+            ends = [j for j in self.ends(i) if near[i] or has[j] > has[i]]
+            if not ends:
                 continue
             left = words[i - 1].lower()[:12] if i else "^"
             left2 = (words[i - 2].lower()[:12] if i > 1 else "^") + left
-            for j in range(i, min(i + MOST_TOKENS, len(tokens))):
-                if j > i and (tokens[j][0] > tokens[j - 1][1] + 1 or text[tokens[j - 1][1]] in "\r\n\t"):
-                    break                           # at most one space inside
-                if has[j + 1] == has[i] or not (words[j][-1].isalnum() or words[j] == ")"):
-                    continue
-                y = tokens[j][1]
-                right = words[j + 1][:1] if j + 1 < len(tokens) else "$"
-                right = right if not right.isalnum() else "w" + " " * (tokens[j + 1][0] > y)
-                names = feature_names(text, tokens[i][0], y, j - i + 1, left, left2, right)
-                segments.append((i, j + 1))
+            for j in ends:
+                y = tokens[j - 1][1]
+                right = words[j][:1] if j < len(tokens) else "$"
+                right = right if not right.isalnum() else "w" + " " * (tokens[j][0] > y)
+                names = feature_names(text, tokens[i][0], y, j - i, left, left2, right)
+                segments.append((i, j))
                 rows.append([zlib.crc32(f.encode()) & (SIZE - 1) for f in names])
         return segments, np.array(rows, np.int64).reshape(len(rows), -1)
 
@@ -229,9 +284,13 @@ class Model:
         return float(f[n]), np.exp(s + (f[i] + b[j] - f[n])[:, None])
 
 
+def seed_spans(text: str) -> list[Span]:
+    return [("secret", *m.span(1 if m[1] else 2)) for m in SEEDS.finditer(text)] if has_cue(text) else []
+
+
 def gold(text: str) -> list[Span]:
     """Training spans: the rules' and the seeds', without overlaps (the longer first)."""
-    spans = rule_spans(text) + [("secret", *m.span(1 if m[1] else 2)) for m in SEEDS.finditer(text)]
+    spans = rule_spans(text) + seed_spans(text)
     out: list[Span] = []
     for s in sorted(spans, key=lambda s: (s[1] - s[2], order(s))):
         if all(s[2] <= o[1] or o[2] <= s[1] for o in out):
@@ -290,21 +349,24 @@ def model_spans(text: str, model: Model) -> list[Span]:
 
 
 def found(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
-    """(rule spans, all spans): the model's spans that meet no rule span are added."""
-    if not _TRIGGER.search(text):
+    """(rule spans, all spans): added are the model's spans that meet no rule span,
+    and the seeds' spans; of these two kinds, none that lies inside another span."""
+    if not _MARK.search(text) and not has_cue(text):
         return [], []
     base = rule_spans(text)
     if model is None:
         return base, base
     added = [s for s in model_spans(text, model) if all(s[2] <= o[1] or o[2] <= s[1] for o in base)]
-    return base, sorted(base + added, key=order)
+    seeds = [s for s in seed_spans(text) if not any(o[1] <= s[1] and s[2] <= o[2] for o in base + added)]
+    added = [s for s in added if not any(o[1] <= s[1] and s[2] <= o[2] for o in seeds)]
+    return base, sorted(base + added + seeds, key=order)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """Trains on about ``sample`` of the documents with triggers (all, if fewer):
     those whose hash is in the first ``sample``-th part of the hash range, so each
     task sends only its share. Texts over a million characters are not trained on."""
-    df = docs.select(text_of(docs).alias("t"), "doc_id").where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 1_000_000))
+    df = docs.select(text_of(docs).alias("t"), "doc_id").where(F.col("t").rlike(TRIGGER) & (F.length("t") <= 1_000_000))
     df = df.select(F.shiftrightunsigned(F.xxhash64("doc_id", "t"), 1).alias("h"), "t")
     n = df.count()
     if n > sample:
