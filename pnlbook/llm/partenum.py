@@ -239,7 +239,7 @@ def intersections(values: np.ndarray, at: np.ndarray, heavy: int = 48) -> np.nda
     v, d = values[order], doc[order]
     start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(v)))
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))                              # exact below 2**53
     often = np.flatnonzero(size >= heavy)               # in many sets: matrix products, some columns at a time
     for k in range(0, len(often), 1024):
         part = often[k:k + 1024]
@@ -252,7 +252,7 @@ def intersections(values: np.ndarray, at: np.ndarray, heavy: int = 48) -> np.nda
             r = rows[k:k + max(1, (1 << 20) // (c * c))]
             pairs = (r[:, :, None] * n + r[:, None, :]).ravel()
             out += np.bincount(pairs, minlength=n * n).reshape(n, n) if n <= 64 or len(pairs) > n * n // 8 else _counted(pairs, n)
-    return out
+    return out.astype(np.int64)
 
 
 def _counted(pairs: np.ndarray, n: int) -> np.ndarray:

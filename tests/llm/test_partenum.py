@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pnlbook.llm import partenum
@@ -86,3 +87,14 @@ def test_intersections():
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     run(spark, rows)
+
+
+def test_long_texts_beside_the_threshold(monkeypatch):
+    percent = 67
+    both = next(b for b in range(700_000, 701_000) if 100 * b < percent * (100 * b // percent + 1) <= float(np.float32(100 * b)))
+    most = 100 * both // percent                        # the largest union that links
+    for union, linked in ((most + 1, 0), (most, 1)):
+        values = np.concatenate([np.arange(union), np.arange(both)]).astype(np.uint64)
+        at = np.array([0, union, union + both])
+        monkeypatch.setattr(partenum, "shingles", lambda texts, gram, sets=(values, at): sets)
+        assert partenum.block_links(1, percent)(pa.table({"u": [1, 2], "c": [1, 2], "t": ["x", "y"]})).num_rows == linked
