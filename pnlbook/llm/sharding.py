@@ -9,7 +9,9 @@ is all that the driver ever holds.
 
 Law ``bytes``: the shards' sizes are near equal (as near as whole slots
 allow). Records are spread by ``doc_id`` and text together, so one repeated
-``doc_id`` does not fill one slot; rows equal in both do.
+``doc_id`` does not fill one slot. Rows equal in both are numbered, and each but
+the first is spread by its number as well: how many of them a slot holds is the
+same in every run, only which of the equal rows are there can change.
 
 Edge cases: a null text counts one byte (and has the checksum of no bytes), a
 null ``doc_id`` hashes like any value, an empty table gives an empty result and
@@ -24,19 +26,40 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .repeats import stored
+
 SLOTS = 4096
 CELLS = 16          # numbering cells per slot: windows over rows stay small
+RUN = 12            # equal rows are numbered in runs of 2**RUN rows of a partition
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+OWN = ("cell", "_key", "_row", "_copy", "_run", "_start")     # columns of the steps
+
+
+def copy_numbers(df: DataFrame) -> DataFrame:
+    """Adds ``_copy``, 0, 1, 2 ... within the rows of equal ``_key``; ``df`` is
+    stored with its ``_row``. No window holds more than a run's rows of a key, or
+    one row for each run of a key."""
+    df = df.withColumn("_run", F.shiftright("_row", RUN))
+    before = Window.partitionBy("_key").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (df.groupBy("_key", "_run").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("_start", F.sum("n").over(before)).where("_start > 0").drop("n"))
+    inside = Window.partitionBy("_key", "_run").orderBy("_row")
+    df = df.withColumn("_copy", F.row_number().over(inside) - 1).join(starts, ["_key", "_run"], "left")
+    return df.withColumn("_copy", F.col("_copy") + F.coalesce("_start", F.lit(0))).drop("_run", "_start", "_row")
 
 
 def with_slot(df: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Adds ``virtual_slot``, ``size`` (UTF-8 bytes plus 1), ``text_crc32`` and the numbering cell."""
-    df = df.drop(*(c for c in df.columns if c in RESULT or c == "cell"))
+    """Replaces the text by ``virtual_slot``, ``size`` (UTF-8 bytes plus 1), ``text_crc32`` and the numbering cell; stored."""
+    df = df.drop(*(c for c in df.columns if c in RESULT or c in OWN))
     text = F.encode(F.coalesce(df["text"].cast("string"), F.lit("")), "UTF-8")
-    return (df.withColumn("size", F.octet_length(text).cast("long") + 1)
-            .withColumn("text_crc32", F.crc32(text).cast("long"))
-            .withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
-            .withColumn("cell", F.pmod(F.xxhash64("size", "doc_id", "virtual_slot"), F.lit(CELLS)).cast("int")))
+    df = (df.withColumn("size", F.octet_length(text).cast("long") + 1)
+          .withColumn("text_crc32", F.crc32(text).cast("long")).drop("text")
+          .withColumn("_key", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("_row", F.monotonically_increasing_id()))
+    df = copy_numbers(stored(df, "sized"))
+    again = lambda first: F.when(F.col("_copy") == 0, first).otherwise(F.xxhash64(first, "_copy"))
+    df = (df.withColumn("virtual_slot", F.pmod(again(F.col("_key")), F.lit(slots)).cast("int"))
+          .withColumn("cell", F.pmod(again(F.xxhash64("size", "doc_id", "virtual_slot")), F.lit(CELLS)).cast("int")))
+    return stored(df.drop("_key", "_copy"), "slotted")
 
 
 def slot_bytes(placed: DataFrame) -> DataFrame:
@@ -142,7 +165,7 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 16, slots: int = S
     returns the rows with the columns of ``RESULT``; the text is not moved.
     """
     spark = docs.sparkSession
-    placed = with_slot(docs, slots).drop("text")
+    placed = with_slot(docs, slots)
     stats = slot_bytes(placed)
     weight = [0] * slots
     for r in stats.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect():   # one row per slot

@@ -37,6 +37,27 @@ def test_documents_are_placed(spark, rows):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+@pytest.mark.parametrize("i", [None, 5])
+def test_equal_rows_are_spread(spark, monkeypatch, i):
+    monkeypatch.setattr(sharding, "RUN", 6, raising=False)
+    df = spark.range(4000).selectExpr("id + 10 AS doc_id", "repeat('t', 100) AS text")
+    df = df.unionAll(spark.range(2000).selectExpr(f"CAST({'NULL' if i is None else i} AS LONG)", "repeat('x', 100)"))
+    runs = []
+    for parts in (3, 7):
+        got = sharding.shard_documents(df.repartition(parts), scratch_dir(spark, "map")).collect()
+        load, places, copies = [0] * 16, {}, []
+        for r in got:
+            load[r.shard] += r.size
+            places.setdefault(r.shard, []).append(r.slot)
+            if r.doc_id == i:
+                copies.append(r.virtual_slot)
+        assert len(got) == 6000 and len(copies) == 2000 and max(copies.count(s) for s in set(copies)) < 10
+        assert max(load) - min(load) <= 0.03 * sum(load) / 16
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        runs.append(sorted(((r.doc_id or 0), r.virtual_slot) for r in got))
+    assert runs[0] == runs[1]
+
+
 def test_versions_are_kept(spark):
     path = scratch_dir(spark, "map")
     sharding.store_map(spark, path, sharding.even_map(4, 8), 1)
