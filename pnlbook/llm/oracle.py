@@ -93,3 +93,37 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 SQL |= {"op2_warc_derivatives": OP2, "op7_block_neighbours": OP7}
+
+_CUT = r"[^A-Za-z0-9_.%-]"
+OP11 = rf"""
+WITH at AS (SELECT page_id, url, strpos(url, '://') AS k FROM pages),
+rest AS (SELECT *, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS r FROM at),
+cut AS (
+  SELECT *, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+whole AS (SELECT *, host || substr(r, length(host) + 1) AS site, CASE WHEN k > 0 THEN substr(url, 1, k + 2) || host || substr(r, length(host) + 1) ELSE url END AS f FROM cut),
+sites(h, p, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM (SELECT DISTINCT url, host, path FROM whole) JOIN sites ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+others AS (
+  SELECT page_id, host, path, rule, action,
+    CASE WHEN rule IS NOT NULL THEN NULL
+      WHEN regexp_matches(f, '(?s)/de/.*utm_source=feed\z') THEN '/de/*utm_source=feed|'
+      WHEN regexp_matches(site, '(?s)^([^/?#]*\.)?spam-farm\.example\.net/fr/') THEN '||spam-farm.example.net/fr/*'
+      WHEN regexp_matches(f, '/login({_CUT}|\z)') THEN '/login^'
+      WHEN regexp_matches(f, '(?s)/tag/.*/feed({_CUT}|\z)') THEN '/tag/*/feed^'
+      WHEN regexp_matches(f, '{_CUT}replytocom=') THEN '^replytocom='
+      WHEN regexp_matches(f, '(?s){_CUT}sessionid=.*&page=') THEN '^sessionid=*&page='
+      WHEN regexp_matches(f, '(?s)^http://m\..*\.html\z') THEN '|http://m.*.html|'
+      WHEN regexp_matches(site, '^([^/?#]*\.)?ads-track\.') THEN '||ads-track.'
+      WHEN regexp_matches(site, '^([^/?#]*\.)?cheap-pills\.') THEN '||cheap-pills.'
+      WHEN regexp_matches(site, '(?s)^([^/?#]*\.)?example\.net({_CUT}|\z).*\.html({_CUT}|\z)page=2&') THEN '||example.net^*.html^page=2&'
+      WHEN regexp_matches(site, '^([^/?#]*\.)?spam-farm\.') THEN '||spam-farm.' END AS pattern
+  FROM whole LEFT JOIN best USING (url))
+SELECT page_id, host, path, rule, pattern,
+  CASE WHEN rule IS NOT NULL THEN action WHEN pattern IS NULL OR pattern IN ('/de/*utm_source=feed|', '||spam-farm.example.net/fr/*') THEN 'allow' ELSE 'block' END AS verdict
+FROM others
+"""
+
+SQL |= {"op11_url_rules": OP11}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import cover, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, warc
+from . import cover, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by the production rules."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -85,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_span_crf": op8_span_crf,
     "op9_chunk_pieces": op9_chunk_pieces,
     "op10_tier_packing": op10_tier_packing,
+    "op11_url_rules": op11_url_rules,
 }
