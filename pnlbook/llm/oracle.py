@@ -96,8 +96,8 @@ SQL |= {"op2_warc_derivatives": OP2, "op7_block_neighbours": OP7}
 
 _CUT = r"[^A-Za-z0-9_.%-]"
 OP11 = rf"""
-WITH at AS (SELECT page_id, url, strpos(url, '://') AS k FROM pages),
-rest AS (SELECT *, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS r FROM at),
+WITH scheme AS (SELECT page_id, url, strpos(url, '://') AS k FROM pages),
+rest AS (SELECT *, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS r FROM scheme),
 cut AS (
   SELECT *, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),

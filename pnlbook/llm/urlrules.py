@@ -72,7 +72,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     ``site_rule``, and ``tokens``."""
     text = F.col("rule")
     by_site = text.startswith("||")
-    ends = text.endswith("|") & (F.length(text) > 2)
+    ends = text.endswith("|") & ~text.isin("|", "||")
     body = F.regexp_replace(text, r"\A\|\|?|\|\z", "")
     body = F.regexp_replace(body, r"\*{2,}", "*")
     body = F.when(text.startswith("|"), body).otherwise(F.regexp_replace(body, r"\A\*", ""))     # a wildcard at an open end says nothing

@@ -23,7 +23,7 @@ def fits(rule, url):
     """A rule on a URL, character by character."""
     _, _, site, full = parts(url)
     body = rule[2:] if rule.startswith("||") else rule[1:] if rule.startswith("|") else rule
-    end = rule.endswith("|") and len(rule) > 2
+    end = rule.endswith("|")
     body = body[:-1] if end else body
     rx = "".join(".*" if c == "*" else SEP if c == "^" else re.escape(c) for c in body) + (r"\Z" if end else "")
     head = r"(?:[^/?#]*\.)?" if rule.startswith("||") else ""
