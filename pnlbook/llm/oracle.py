@@ -127,3 +127,39 @@ FROM others
 """
 
 SQL |= {"op11_url_rules": OP11}
+
+OP12 = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+words AS (
+  SELECT *, [x FOR x IN regexp_split_to_array(t, '[ \t\n\x0b\f\r]+') IF x <> ''] AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+fails AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(first_id < doc_id, false) AS e FROM words),
+listed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [x.f FOR x IN [{'f': 'A', 'v': a}, {'f': 'B', 'v': b}, {'f': 'C', 'v': c}, {'f': 'D', 'v': d}, {'f': 'E', 'v': e}] IF x.v] AS f
+  FROM fails LEFT JOIN marks USING (doc_id)),
+combos AS (SELECT part, good, toxic, f, count(*) AS n FROM listed GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS o FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+steps AS (SELECT o, s, o[s:s] AS own, string_split(o[1:s - 1], '') AS before FROM orders, range(1, 6) AS r(s)),
+counted AS (
+  SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, own,
+    sum(CASE WHEN NOT list_has_any(f, before) AND NOT list_contains(f, own) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT list_has_any(f, before) AND list_contains(f, own) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN list_has_any(f, before) AND list_contains(f, own) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f = [own] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT list_has_any(f, before) AND list_contains(f, own) AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT list_has_any(f, before) AND list_contains(f, own) AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM combos, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+SQL |= {"op12_filter_audit": OP12}

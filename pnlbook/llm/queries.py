@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import cover, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, urlrules, warc
+from . import cover, interactions, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of the five filters over all documents."""
+    return interactions.audit(interactions.combinations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chunk_pieces": op9_chunk_pieces,
     "op10_tier_packing": op10_tier_packing,
     "op11_url_rules": op11_url_rules,
+    "op12_filter_audit": op12_filter_audit,
 }
