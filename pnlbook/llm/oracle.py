@@ -163,3 +163,44 @@ FROM counted
 """
 
 SQL |= {"op12_filter_audit": OP12}
+
+# crc32 of decimal text as SQL: a table of the eight shifts of each byte, folded over the characters
+OP13 = """
+WITH table_(b, v) AS (
+  SELECT b, list_reduce(list_prepend(b::UBIGINT, [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)
+  FROM range(256) AS r(b)),
+lookup AS (SELECT list(v ORDER BY b) AS v FROM table_),
+sorted AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS idx,
+    coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS own FROM sorted GROUP BY conv_id),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, own,
+    CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+      lambda x, c: xor(x >> 8, lookup.v[CAST(xor(x, c) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) % 9 AS BIGINT) AS h
+  FROM sizes, lookup),
+rebuilt AS (
+  SELECT c.conv_id, s.idx AS depth, role, t FROM convs c JOIN sorted s ON s.conv_id = c.base AND s.idx <= c.h
+  UNION ALL
+  SELECT c.conv_id, s.idx - h + least(h, coalesce(b.own, 0)), role, t FROM convs c JOIN sorted s USING (conv_id) LEFT JOIN sizes b ON b.conv_id = c.base WHERE s.idx > h),
+paths AS (
+  SELECT conv_id, depth, t, sha256(string_agg(sha256(role) || sha256(t), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+nodes AS (SELECT depth, k, min(conv_id) AS node, count(*) AS n_convs, any_value(strlen(t)) AS bytes FROM paths GROUP BY depth, k),
+named AS (SELECT conv_id, depth, node, n_convs, bytes FROM paths JOIN nodes USING (depth, k)),
+own AS (SELECT c.node, c.depth, p.node AS parent, c.n_convs, (c.n_convs - 1) * c.bytes AS saved
+        FROM named c LEFT JOIN named p ON p.conv_id = c.conv_id AND p.depth = c.depth - 1 WHERE c.conv_id = c.node),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM own WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT own.*, coalesce(n_children, 0) AS n_children FROM own LEFT JOIN kids USING (node, depth)),
+totals AS (
+  SELECT a.node, a.depth, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(u.saved) AS saved_tokens
+  FROM full_ u JOIN named a ON a.conv_id = u.node AND a.depth <= u.depth GROUP BY ALL),
+ends AS (
+  SELECT node, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS d FROM named JOIN lengths USING (conv_id) WHERE depth = n GROUP BY ALL)
+SELECT f.node AS conv_id, f.depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(d, sha256('')) AS ends_sha256
+FROM full_ f JOIN totals USING (node, depth) LEFT JOIN ends USING (node, depth)
+"""
+
+SQL |= {"op13_centroid_trie": OP13}

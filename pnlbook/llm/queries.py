@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
-from . import cover, interactions, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, urlrules, warc
+from . import cover, interactions, neighbours, packing, partenum, pieces, pii, rules, sharding, suffixes, turntrie, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(interactions.combinations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_centroid_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return turntrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_sharding": op1_slot_sharding,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -97,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tier_packing": op10_tier_packing,
     "op11_url_rules": op11_url_rules,
     "op12_filter_audit": op12_filter_audit,
+    "op13_centroid_trie": op13_centroid_trie,
 }
