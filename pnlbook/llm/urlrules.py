@@ -30,6 +30,7 @@ empty table gives none, and so do no rules no match. Only ``page_id`` and ``url`
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +65,9 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "rule string, action string")
+    """A list of rules as a table, by a JSON literal (a list handed to Spark would start Python workers)."""
+    text = json.dumps([{"rule": r, "action": a} for r, a in rules])
+    return spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(text), "array<struct<rule:string,action:string>>")).alias("r")).select("r.*")
 
 
 def compiled(rules: DataFrame) -> DataFrame:
