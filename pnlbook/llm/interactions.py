@@ -30,6 +30,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pnlbook.plans.joins import bounded_broadcast
+
 from .repeats import stored
 
 FILTERS = "ABCDE"
@@ -60,9 +62,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, book: DataFrame) -> DataFrame:
     """(doc_id, part, h) of the rows whose text a smaller doc_id has, too."""
-    shared = book.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    rows = texts(docs).where(F.col("doc_id").isNotNull()).join(shared, "h", "left_semi")
-    first = rows.groupBy("h", "t").agg(F.min("doc_id").alias("first_id")).withColumnsRenamed({"h": "first_h", "t": "first_t"})
+    shared = stored(book.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "shared-hashes")
+    # within the checked bound other texts stay where they are; beyond it all texts are shuffled by hash
+    rows = texts(docs).where(F.col("doc_id").isNotNull()).join(bounded_broadcast(shared), "h", "left_semi")
+    first = rows.groupBy("h", "t").agg(F.min("doc_id").alias("first_id"))
+    first = stored(first.withColumnsRenamed({"h": "first_h", "t": "first_t"}), "first-copies")      # a table of its own, so that the skew join can split its partner
     smaller = (F.col("h") == F.col("first_h")) & (F.col("t") == F.col("first_t")) & (F.col("first_id") < F.col("doc_id"))
     return rows.join(first, smaller, "left_semi").select("doc_id", "part", "h")
 
