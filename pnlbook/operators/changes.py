@@ -101,7 +101,7 @@ LEDGER_COLUMNS = [*KEY, *TRADE_PAYLOAD, "born", "seq", "created_at"]
 def checked_changes(changes: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """The feed with whole trades: B6 for changes that send only a PnL (entry
     100, exit 100 +- PnL, size 1), then the same checks, defaults and PnL as
-    batch ingest (B1-B5). Adds ``ok`` (a delete needs no payload) and
+    batch ingest (B1-B5). Adds ``ok`` (a delete or a purge needs no payload) and
     ``reasons``. Columns that the feed lacks count as not sent."""
     df = changes
     for f in TRADE_CHANGES:
@@ -117,7 +117,7 @@ def checked_changes(changes: DataFrame, users: DataFrame | None = None) -> DataF
         "position_size": F.when(only, dec(1).cast(MONEY)).otherwise(F.col("position_size")),
     })
     checked = with_defaults(check_entries(df, users))
-    return checked.withColumn("ok", (F.col("op") == "D") | F.col("valid")).select(
+    return checked.withColumn("ok", F.col("op").isin("D", "P") | F.col("valid")).select(
         "seq", "op", *KEY, "ts", *TRADE_PAYLOAD, "ok", "reasons")
 
 

@@ -32,6 +32,11 @@ def consistency_from_daily(daily: DataFrame, users: DataFrame) -> DataFrame:
     """G1 + G2 over daily sums (user_id, date, daily_pnl)."""
     per_user = (daily.groupBy("user_id")
                 .agg(F.sum("daily_pnl").alias("net"), F.max("daily_pnl").alias("_max")))
+    return consistency_from_best(per_user, users)
+
+
+def consistency_from_best(per_user: DataFrame, users: DataFrame) -> DataFrame:
+    """G1 + G2 from each user's net and greatest daily sum (user_id, net, _max)."""
     ids = users.select(F.col("id").alias("user_id"))
     df = ids.join(per_user, "user_id", "left").select(
         "user_id",

@@ -105,8 +105,12 @@ def api_stats(trades: DataFrame, users: DataFrame, date_from=None, date_to=None)
 
 def stat_card(trades: DataFrame, users: DataFrame) -> DataFrame:
     """E4 per user (all users, zero rows included)."""
-    df = _from_users(users, _per_user(trades.select("user_id", "pnl", "type")))
-    return card_figures(df).select("user_id", *CARD_COLUMNS)
+    return card_from_sums(_per_user(trades.select("user_id", "pnl", "type")), users)
+
+
+def card_from_sums(per_user: DataFrame, users: DataFrame) -> DataFrame:
+    """E4 from the base aggregates per user."""
+    return card_figures(_from_users(users, per_user)).select("user_id", *CARD_COLUMNS)
 
 
 def account_stats(trades: DataFrame, accounts: DataFrame, users: DataFrame) -> DataFrame:
@@ -123,7 +127,11 @@ def account_stats(trades: DataFrame, accounts: DataFrame, users: DataFrame) -> D
     # each account once per trade (membership, as `= ANY(list)`), plus "all"
     every = F.concat(F.array_distinct(F.col("account_ids")), F.array(F.lit(None).cast("int")))
     pairs = trades.select("user_id", "type", "pnl", F.explode(every).alias("account_id"))
-    agg = pairs.groupBy("user_id", "account_id").agg(*base_aggs())
+    return account_cards_from_sums(pairs.groupBy("user_id", "account_id").agg(*base_aggs()), accounts, users)
+
+
+def account_cards_from_sums(agg: DataFrame, accounts: DataFrame, users: DataFrame) -> DataFrame:
+    """E5 from the base aggregates per (user_id, account_id); account NULL = all."""
     keys = (accounts.select("user_id", F.col("id").cast("int").alias("account_id"))
             .unionByName(users.select(F.col("id").alias("user_id"),
                                       F.lit(None).cast("int").alias("account_id"))))
@@ -138,6 +146,11 @@ def month_stats(trades: DataFrame) -> DataFrame:
     """The card per (user, month) with trades."""
     agg = (trades.select("user_id", "pnl", "type", F.trunc("date", "month").alias("first"))
            .groupBy("user_id", "first").agg(*base_aggs()))
+    return month_cards_from_sums(agg)
+
+
+def month_cards_from_sums(agg: DataFrame) -> DataFrame:
+    """E6 from the base aggregates per (user_id, first day of the month)."""
     named = card_figures(zero_filled(agg)).withColumn("month", month_key(F.col("first")))
     return named.select("user_id", "month", *CARD_COLUMNS)
 

@@ -7,6 +7,7 @@ SQL oracles (``pnlbook.plans.oracle``).
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pnlbook.schemas import TOTAL
 from pnlbook.session import scratch_dir
 from pnlbook.sources import export, fixtures, ledger
 from pnlbook.sources.tables import read_table
-from pnlbook.streaming import feed, jobs
+from pnlbook.streaming import feed, jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,3 +445,90 @@ def q_stream_ledger(spark, sf_dir):
     root = _staged_stream(spark, sf_dir, "s3", lambda src, r, ck: jobs.run_ledger(
         spark, src, users, f"{r}/ledger", ck))
     return jobs.read_ledger_state(spark, f"{root}/ledger")
+
+
+# ---- the live dashboard --------------------------------------------------------
+
+_LIVE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _live_root(spark, sf_dir, purge: bool = False) -> str:
+    """The live tables over the whole feed, built once a session: slices in an order
+    that has nothing to do with seq, each run starting again from the checkpoint, the
+    sums folded in between. With ``purge``, the first slice also purges every fifth
+    user for good, so that most of their changes come after it."""
+    built = _LIVE.setdefault(spark, {})
+    if (sf_dir, purge) not in built:
+        root = scratch_dir(spark, "live")
+        src, users = f"{root}/source", _j(spark, sf_dir).users
+        changes_ = fixtures.trade_changes(spark, sf_dir)
+        turn = F.pmod(F.xxhash64("seq"), F.lit(STREAM_SLICES * 7))
+        if purge:
+            wiped = users.filter(F.col("id") % 5 == 0).select(F.lit(1 << 62).alias("seq"), F.lit("P").alias("op"), F.col("id").alias("user_id"))
+            changes_ = changes_.unionByName(wiped, allowMissingColumns=True)
+            turn = F.when(F.col("op") == "P", 0).otherwise(turn)
+        schema = changes_.schema
+
+        def run(i):
+            live.run_live(spark.readStream.schema(schema).parquet(src), users, f"{root}/live", f"{root}/checkpoint").awaitTermination()
+            if i == 1:
+                live.fold_sums(spark, f"{root}/live")
+                jobs.compact(spark, f"{root}/live")
+
+        feed.feed_in_slices(changes_.withColumn("turn", turn), "turn", STREAM_SLICES, src, run)
+        built[sf_dir, purge] = f"{root}/live"
+    return built[sf_dir, purge]
+
+
+@query("stream_outcomes")
+def q_stream_outcomes(spark, sf_dir):
+    """I4 on the stream."""
+    return live.read_outcomes(spark, _live_root(spark, sf_dir))
+
+
+@query("stream_stat_card")
+def q_stream_stat_card(spark, sf_dir):
+    """E4 live."""
+    return live.read_stat_card(spark, _live_root(spark, sf_dir), _j(spark, sf_dir).users)
+
+
+@query("stream_account_stats")
+def q_stream_account_stats(spark, sf_dir):
+    """E5 live."""
+    j = _j(spark, sf_dir)
+    return live.read_account_stats(spark, _live_root(spark, sf_dir), j.accounts, j.users)
+
+
+@query("stream_month_stats")
+def q_stream_month_stats(spark, sf_dir):
+    """E6 live."""
+    return live.read_month_stats(spark, _live_root(spark, sf_dir))
+
+
+@query("stream_consistency")
+def q_stream_consistency(spark, sf_dir):
+    """E7, G1 and G2 live."""
+    return live.read_consistency(spark, _live_root(spark, sf_dir), _j(spark, sf_dir).users)
+
+
+@query("stream_curve")
+def q_stream_curve(spark, sf_dir):
+    """F1 live."""
+    return live.read_curve(spark, _live_root(spark, sf_dir))
+
+
+@query("stream_closed_days")
+def q_stream_closed_days(spark, sf_dir):
+    """Closed days with their corrections, and the days still open."""
+    root = _live_root(spark, sf_dir)
+    return (live.read_closed(spark, root).withColumn("closed", F.lit(True))
+            .unionByName(live.read_open(spark, root).withColumn("closed", F.lit(False))))
+
+
+@query("stream_user_purge")
+def q_stream_user_purge(spark, sf_dir):
+    """I6 on the stream: the live ledger and the live days without the purged users."""
+    root = _live_root(spark, sf_dir, purge=True)
+    rows = jobs.read_ledger_state(spark, root).select("user_id", "id", "date", "pnl")
+    days = live.read_days(spark, root).where("account_id is null").select("user_id", "date", F.col("net_pnl").alias("day_pnl"))
+    return rows.join(days, ["user_id", "date"], "full")

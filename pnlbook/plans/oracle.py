@@ -315,17 +315,18 @@ SELECT user_id, month, week_index, CAST(COALESCE(SUM(pnl), 0) AS DECIMAL(28,4))
   CASE WHEN COALESCE(SUM(pnl), 0) >= 0 THEN 'pos' ELSE 'neg' END AS week_sign
 FROM grid GROUP BY user_id, month, week_index""")
 
-oracle("consistency")(f"""
-, d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades WHERE {_TRAIL.format(n=365)} GROUP BY user_id, date),
+_CONSISTENCY = f"""
+, d AS (SELECT user_id, date, SUM(pnl) AS s FROM trades {{where}} GROUP BY user_id, date),
 m AS (SELECT user_id, SUM(s) AS net, MAX(s) AS mx FROM d GROUP BY user_id),
-c AS (SELECT u.id AS user_id, CAST(COALESCE(net, 0) AS DECIMAL(28,4)) AS net,
+share AS (SELECT u.id AS user_id, CAST(COALESCE(net, 0) AS DECIMAL(28,4)) AS net,
     CAST(greatest(COALESCE(mx, 0), 0) AS DECIMAL(28,4)) AS best_day FROM users u LEFT JOIN m ON m.user_id = u.id)
 SELECT user_id, net, best_day,
   CASE WHEN net > 0 THEN {hu('CAST(best_day * 10000 AS HUGEINT) * 100', 'CAST(net * 10000 AS HUGEINT)', 1, 'DECIMAL(32,1)')} END
     AS consistency_pct,
   CASE WHEN net <= 0 THEN 'none' WHEN best_day * 100 < net * 30 THEN 'good'
        WHEN best_day * 100 > net * 50 THEN 'poor' ELSE 'fair' END AS band
-FROM c""")
+FROM share"""
+oracle("consistency")(_CONSISTENCY.format(where="WHERE " + _TRAIL.format(n=365)))
 
 oracle("edge_scores")(f"""
 , card AS ({_stat_card(nested=True)}),
@@ -506,3 +507,26 @@ SELECT user_id, date, CAST(COUNT(*) AS BIGINT) AS trade_count, CAST(SUM(pnl) AS
 FROM live GROUP BY user_id, date""")
 
 QUERIES["stream_ledger"] = QUERIES["live_ledger"]
+
+
+# the live dashboard: the batch figures with the live ledger in the place of the trades
+def _over_live(body: str) -> str:
+    return PRELUDE + _LIVE_LEDGER + body.removeprefix(PRELUDE).replace("FROM trades", "FROM live")
+
+
+QUERIES["stream_outcomes"] = QUERIES["change_outcomes"]
+QUERIES["stream_stat_card"] = _over_live(QUERIES["stat_card"])
+QUERIES["stream_account_stats"] = _over_live(QUERIES["account_stats"])
+QUERIES["stream_month_stats"] = _over_live(QUERIES["month_stats"])
+QUERIES["stream_consistency"] = _over_live(_CONSISTENCY.format(where=""))
+QUERIES["stream_curve"] = _over_live(QUERIES["equity_curve"])
+oracle("stream_closed_days")(_LIVE_LEDGER + f""",
+b AS ({_base('live', 'user_id, date')})
+SELECT user_id, date, CAST(total AS BIGINT) AS total, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(longs AS BIGINT) AS longs,
+  CAST(shorts AS BIGINT) AS shorts, CAST(net AS {_TOTAL}) AS net_pnl, CAST(CAST(gw AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_TOTAL}) AS gross_win,
+  CAST(CAST(gl AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS {_TOTAL}) AS gross_loss,
+  date < (SELECT CAST(MAX(ts) AS DATE) - 7 FROM checked WHERE ok) AS closed
+FROM b""")
+oracle("stream_user_purge")(_LIVE_LEDGER + """
+SELECT user_id, id, date, pnl, CAST(SUM(pnl) OVER (PARTITION BY user_id, date) AS DECIMAL(28,4)) AS day_pnl FROM live
+WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = live.user_id AND u.id % 5 = 0)""")

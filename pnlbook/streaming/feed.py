@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 
 def seq_bounds(df: DataFrame, order_col: str, parts: int) -> list[int]:
-    """``parts`` + 1 cut points of equal width over [min, max] of the key."""
+    """``parts`` + 1 cut points of equal width over [min, max] of the key (all 0 for an empty feed)."""
     row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    if row["lo"] is None:
+        return [0] * (parts + 1)
     lo, hi = int(row["lo"]), int(row["hi"]) + 1
     step = max(1, -(-(hi - lo) // parts))
     return [lo + i * step for i in range(parts)] + [hi]

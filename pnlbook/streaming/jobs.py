@@ -15,7 +15,6 @@ that any later (even late) change can still need.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +42,9 @@ def _batch_dir(root: str, batch_id: int) -> str:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table, or an empty one while nothing has been written at ``path``."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def run_ingest(spark: SparkSession, source_dir: str, users: DataFrame, sink: str, rejects: str, checkpoint: str):
@@ -74,20 +70,47 @@ def key_bucket(buckets: int = BUCKETS):
 
 def append_changes(batch: DataFrame, users: DataFrame | None, root: str, batch_id: int, buckets: int = BUCKETS) -> None:
     """S3: one batch of changes into the log, checked, by key bucket."""
-    checked = checked_changes(batch, users).filter("ok").drop("reasons").withColumn("bucket", key_bucket(buckets))
-    (checked.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(_batch_dir(f"{root}/log", batch_id)))
+    write_log(checked_changes(batch, users).filter("ok").drop("reasons"), root, batch_id, buckets)
 
 
-def _version(spark: SparkSession, root: str) -> int:
-    """The last published snapshot (it holds all batches up to that id), or -1."""
-    last = _read(spark, f"{root}/pointers", "version BIGINT").agg(F.max("version")).first()[0]
+def write_log(checked: DataFrame, root: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Checked changes into the log; a purge (op P) into the purge list as well."""
+    checked.where("op = 'P'").select("user_id", "seq").write.mode("overwrite").parquet(_batch_dir(f"{root}/purges", batch_id))
+    rows = checked.where("op <> 'P'").withColumn("bucket", key_bucket(buckets))
+    (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "user_id", "id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(_batch_dir(f"{root}/log", batch_id)))
+
+
+def _version(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """The last published snapshot (it holds all batches up to that id), or -1;
+    if wanted, the last one that holds no batch from ``before`` on, so that a batch that
+    is run again after a compaction still finds the state it began with."""
+    pointers = _read(spark, f"{root}/pointers", "version BIGINT")
+    if before is not None:
+        pointers = pointers.filter(F.col("version") < before)
+    last = pointers.agg(F.max("version")).first()[0]
     return -1 if last is None else last
 
 
+def read_purges(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """(user_id, purged): the last purge of each purged user, by seq."""
+    rows = _read(spark, f"{root}/purges", "user_id INT, seq BIGINT, batch_id BIGINT")
+    if before is not None:
+        rows = rows.filter(F.col("batch_id") < before)
+    return rows.groupBy("user_id").agg(F.max("seq").alias("purged"))
+
+
+def unpurged(rows: DataFrame, purges: DataFrame) -> DataFrame:
+    """Without the changes that a purge of their user has wiped out, whenever
+    they arrive; what has a greater seq than the purge counts anew."""
+    marked = rows.join(purges, "user_id", "left")
+    return marked.filter(F.col("purged").isNull() | (F.col("seq") > F.col("purged"))).drop("purged")
+
+
 def read_log(spark: SparkSession, root: str, before: int | None = None, touched: list[int] | None = None) -> DataFrame:
     """The checked changes that count: the last snapshot and the batches after
-    it, if wanted only those before a batch id or of some buckets."""
-    version = _version(spark, root)
+    it, if wanted only those before a batch id or of some buckets. Purges are not applied."""
+    version = _version(spark, root, before)
     log = _read(spark, f"{root}/log", LOG_SCHEMA + ", batch_id BIGINT").filter(F.col("batch_id") > version)
     if before is not None:
         log = log.filter(F.col("batch_id") < before)
@@ -99,7 +122,7 @@ def read_log(spark: SparkSession, root: str, before: int | None = None, touched:
 
 def read_ledger_state(spark: SparkSession, root: str) -> DataFrame:
     """The live rows of the stream ledger."""
-    return live_rows(read_log(spark, root))
+    return live_rows(unpurged(read_log(spark, root), read_purges(spark, root)))
 
 
 def compact(spark: SparkSession, root: str) -> int:
@@ -108,7 +131,7 @@ def compact(spark: SparkSession, root: str) -> int:
     ids = _read(spark, f"{root}/log", LOG_SCHEMA + ", batch_id BIGINT").agg(F.max("batch_id")).first()[0]
     if ids is None or ids <= _version(spark, root):
         return _version(spark, root)
-    rows = read_log(spark, root, before=ids + 1)
+    rows = unpurged(read_log(spark, root, before=ids + 1), read_purges(spark, root, before=ids + 1))
     last_d = rows.filter("op = 'D'").groupBy(*KEY).agg(F.max("seq").alias("last_d"))
     kept = rows.join(last_d, KEY, "left").filter(F.col("last_d").isNull() | (F.col("seq") >= F.col("last_d"))).drop("last_d")
     (kept.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/snapshots/version={ids}"))
@@ -127,6 +150,32 @@ def run_ledger(spark: SparkSession, source_dir: str, users: DataFrame | None, ro
             .trigger(availableNow=True).start())
 
 
+# Up to so many users of a batch are looked up by an IN list that the scan can push down.
+LOOKUP_USERS = 1_000
+
+
+def for_users(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of some users (user_id): a pushed-down IN list while they are few
+    (files and row groups without them are skipped), a semi join beyond."""
+    few = [r[0] for r in users.select("user_id").distinct().limit(LOOKUP_USERS + 1).collect()]
+    if len(few) <= LOOKUP_USERS:
+        return rows.where(F.col("user_id").isin(few)) if few else rows.where(F.lit(False))
+    return rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
+
+
+def states(spark: SparkSession, root: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """The live rows of the keys that a logged batch touches, before and after
+    it: its own keys, and all keys of the users it purges."""
+    new = _read(spark, _batch_dir(f"{root}/log", batch_id), LOG_SCHEMA)
+    purged = _read(spark, _batch_dir(f"{root}/purges", batch_id), "user_id INT, seq BIGINT").select("user_id").distinct()
+    keys = new.select(*KEY).distinct()
+    earlier = for_users(read_log(spark, root, batch_id), new.select("user_id").unionByName(purged))
+    old = earlier.join(keys, KEY, "left_semi").unionByName(earlier.join(purged, "user_id", "left_semi").join(keys, KEY, "left_anti"))
+    before = live_rows(unpurged(old, read_purges(spark, root, batch_id)))
+    after = live_rows(unpurged(old.unionByName(new), read_purges(spark, root, batch_id + 1)))
+    return before, after
+
+
 def daily_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """What changed in E1 between two states of the same keys: sums to add per (user, date)."""
     sides = [daily_summary(t.select("user_id", "date", "pnl", "type")).withColumns({c: F.col(c) * sign for c in SUMMARY})
@@ -148,13 +197,8 @@ def run_daily_summary(spark: SparkSession, source_dir: str, users: DataFrame | N
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_changes(batch, users, root, batch_id, buckets)
-        new = spark.read.schema(LOG_SCHEMA).parquet(_batch_dir(f"{root}/log", batch_id))
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]        # at most ``buckets`` numbers
-        if not touched:
-            return
-        old = read_log(spark, root, batch_id, touched).join(new.select(*KEY).distinct(), KEY, "left_semi")
-        deltas = daily_deltas(live_rows(old), live_rows(old.unionByName(new)))
-        deltas.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
+        before, after = states(spark, root, batch_id)
+        daily_deltas(before, after).write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
 
     return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
