@@ -89,11 +89,13 @@ def check_entries(raw: DataFrame, users: DataFrame | None) -> DataFrame:
         (F.length(F.col("grade")) > MAX_GRADE_LEN, "bad_grade"),
         (side_ok & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull()
          & F.col("pnl").isNull() | problem(8), "out_of_range"),
-        (F.col("_known").isNull(), "unknown_user"),
+        (F.col("_known").isNull() & ~problem(32), "unknown_user"),
     ]
     if from_json:
         checks = [(~problem(1) & cond, code) for cond, code in checks]
         checks += [(problem(1), "bad_json"), (~problem(1) & problem(2), "bad_date"), (~problem(1) & problem(4), "bad_number")]
+        checks += [(~problem(1) & problem(bit), code) for bit, code in
+                   ((16, "bad_id"), (32, "bad_user_id"), (64, "bad_accounts"), (128, "bad_created_at"))]
     # One integer of fault bits. It is a single expression over both join
     # sides, so Catalyst keeps it above the join instead of splitting it and
     # pushing copies of the PnL arithmetic below; valid rows build no text.

@@ -82,7 +82,7 @@ def q_pnl_only_entries(spark, sf_dir):
 @query("user_trades")
 def q_user_trades(spark, sf_dir):
     t = filters.date_range(filters.by_user(_j(spark, sf_dir).trades, USER), RANGE_FROM, RANGE_TO)
-    return ordering.newest_first(t).select("id", "date", "type", "pnl")
+    return ordering.with_position(t).select("position", "id", "date", "type", "pnl").orderBy("position")
 
 
 @query("account_trades")
@@ -248,20 +248,53 @@ def q_month_steps(spark, sf_dir):
 
 @query("trade_table")
 def q_trade_table(spark, sf_dir):
-    t = ordering.newest_first(_j(spark, sf_dir).trades)
-    return t.select("id", "date", "type", text.currency(F.col("pnl")).alias("pnl_text"),
+    t = ordering.newest_first(ordering.with_position(_j(spark, sf_dir).trades))
+    return t.select("user_id", "position", "id", "date", "type", text.currency(F.col("pnl")).alias("pnl_text"),
                     text.dash_if_empty(F.col("grade")).alias("grade"),
                     text.dash_if_empty(F.col("notes")).alias("notes"))
 
 
 @query("account_list")
 def q_account_list(spark, sf_dir):
-    a = _j(spark, sf_dir).accounts
-    return (a.orderBy("user_id", "id")
-            .select("user_id", "id", "name", text.account_label(F.col("type"), F.col("size"))
+    a = ordering.oldest_first(_j(spark, sf_dir).accounts)
+    return (a.orderBy("user_id", "position")
+            .select("user_id", "position", "id", "name", text.account_label(F.col("type"), F.col("size"))
                     .alias("label")))
 
 
+@query("user_accounts")
+def q_user_accounts(spark, sf_dir):
+    """A2 for one user."""
+    return ordering.oldest_first(_j(spark, sf_dir).accounts, USER).select("position", "id", "name", "created_at").orderBy("position")
+
+
+@query("chart_order")
+def q_chart_order(spark, sf_dir):
+    """D3: every user's trades in the order of the chart."""
+    return ordering.with_position(_j(spark, sf_dir).trades, newest=False).select("user_id", "position", "id", "date", "pnl")
+
+
+def _indexed_ledger(spark, sf_dir):
+    path = scratch_dir(spark, "ledger")
+    ledger.write_ledger(_j(spark, sf_dir).trades, path)
+    ledger.index_ledger(spark, path)
+    return path
+
+
+@query("trade_by_id")
+def q_trade_by_id(spark, sf_dir):
+    """C7 over the written, indexed ledger: the user's trade with the greatest id."""
+    path = _indexed_ledger(spark, sf_dir)
+    last = ledger.find_trades(spark, path, USER).agg(F.max("id")).first()[0]
+    return ledger.find_trades(spark, path, USER, last).select("id", "user_id", "date", "type", "pnl")
+
+
+@query("ledger_range")
+def q_ledger_range(spark, sf_dir):
+    """C1 and C2 over the written, indexed ledger."""
+    return ledger.find_trades(spark, _indexed_ledger(spark, sf_dir), USER, None, RANGE_FROM, RANGE_TO).select("id", "date", "type", "pnl")
+
+
 @query("change_outcomes")
 def q_change_outcomes(spark, sf_dir):
     j = _j(spark, sf_dir)

@@ -13,7 +13,8 @@ accounts AS (
   SELECT CAST(u.id*3+k AS INT) AS id, u.id AS user_id,
          concat(username,'-',CAST(k AS VARCHAR)) AS name,
          CASE WHEN k = 2 THEN 'prop' ELSE 'live' END AS type,
-         CAST(25000*(k+1) AS DECIMAL(18,4)) AS size
+         CAST(25000*(k+1) AS DECIMAL(18,4)) AS size,
+         CAST(DATE '2020-01-01' + CAST((u.id*5 + k*4) % 7 AS INT) AS TIMESTAMP) AS created_at
   FROM users u CROSS JOIN (VALUES (0),(1),(2)) v(k)),
 rb AS (
   SELECT o_orderkey AS id,
@@ -207,8 +208,9 @@ SELECT seq, type, entry_price, exit_price,
   CAST(ROUND(CASE WHEN type = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END, 2)
     AS DECIMAL(18,4)) AS pnl FROM e""")
 
-oracle("user_trades")("""
-SELECT id, date, type, pnl FROM trades WHERE user_id = 7 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
+_RANK = "ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY date {d}, created_at DESC, id DESC) AS position"
+oracle("user_trades")(f"""
+SELECT {_RANK.format(d='DESC')}, id, date, type, pnl FROM trades WHERE user_id = 7 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
 
 oracle("account_trades")("""
 SELECT id, date, pnl FROM trades WHERE user_id = 7 AND list_contains(account_ids, 22)""")
@@ -371,12 +373,24 @@ oracle("month_steps")("""
 , m AS (SELECT DISTINCT user_id, CAST(date_trunc('month', date) AS DATE) AS first FROM trades)
 SELECT user_id, first, CAST(first - INTERVAL 1 MONTH AS DATE) AS before, CAST(first + INTERVAL 1 MONTH AS DATE) AS after FROM m""")
 
+oracle("chart_order")(f"""
+SELECT user_id, {_RANK.format(d='ASC')}, id, date, pnl FROM trades""")
+
+oracle("trade_by_id")("""
+SELECT id, user_id, date, type, pnl FROM trades WHERE user_id = 7 AND id = (SELECT MAX(id) FROM trades WHERE user_id = 7)""")
+
+oracle("ledger_range")("""
+SELECT id, date, type, pnl FROM trades WHERE user_id = 7 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
+
+oracle("user_accounts")("""
+SELECT ROW_NUMBER() OVER (ORDER BY created_at, id) AS position, id, name, created_at FROM accounts WHERE user_id = 7""")
+
 oracle("trade_table")(f"""
-SELECT id, date, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS grade, {_dash('notes')} AS notes
+SELECT user_id, {_RANK.format(d='DESC')}, id, date, type, {_money_text('pnl')} AS pnl_text, {_dash('grade')} AS grade, {_dash('notes')} AS notes
 FROM trades""")
 
 oracle("account_list")("""
-SELECT user_id, id, name,
+SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at, id) AS position, id, name,
   CASE WHEN type = 'prop' THEN '🏆 Prop Firm' ELSE '💼 Live' END || ' · $' || format('{:,}', CAST(size AS BIGINT)) AS label
 FROM accounts""")
 
@@ -435,18 +449,21 @@ SELECT id, user_id FROM trades t WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u
 # entries sent as JSON: those with a planted fault (see fixtures.entries_json) are refused
 oracle("json_ingest")("""
 SELECT id, user_id, date, type, entry_price, exit_price, position_size, pnl, grade, mental, notes, initial_risk
-FROM trades WHERE id % 101 <> 0 AND id % 103 <> 0 AND id % 107 <> 0 AND id % 109 <> 0""")
+FROM trades WHERE id % 101 <> 0 AND id % 103 <> 0 AND id % 107 <> 0 AND id % 109 <> 0
+  AND id % 113 <> 0 AND id % 127 <> 0 AND id % 131 <> 0 AND id % 137 <> 0 AND id % 139 <> 0 AND id % 149 <> 0""")
 QUERIES["json_file_ingest"] = QUERIES["json_ingest"]
 
 oracle("json_rejects")("""
 , x AS (SELECT id, id % 101 = 0 AS broken, concat_ws(',',
     CASE WHEN entry_price IS NULL THEN 'missing_entry_price' END,
     CASE WHEN type NOT IN ('LONG','SHORT') THEN 'bad_type' END,
-    CASE WHEN id % 109 = 0 AND id % 107 <> 0 THEN 'out_of_range' END,
-    CASE WHEN NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id) THEN 'unknown_user' END,
+    CASE WHEN (id % 109 = 0 AND id % 107 <> 0) OR (id % 139 = 0 AND id % 137 <> 0) THEN 'out_of_range' END,
+    CASE WHEN id % 127 <> 0 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id) THEN 'unknown_user' END,
     CASE WHEN id % 103 = 0 THEN 'bad_date' END,
-    CASE WHEN id % 107 = 0 THEN 'bad_number' END) AS reasons FROM raw_trades r)
-SELECT CASE WHEN NOT broken THEN id END AS id, CASE WHEN broken THEN 'bad_json' ELSE reasons END AS reasons,
+    CASE WHEN id % 107 = 0 OR id % 137 = 0 THEN 'bad_number' END,
+    CASE WHEN id % 113 = 0 THEN 'bad_id' END, CASE WHEN id % 127 = 0 THEN 'bad_user_id' END,
+    CASE WHEN id % 131 = 0 THEN 'bad_accounts' END, CASE WHEN id % 149 = 0 THEN 'bad_created_at' END) AS reasons FROM raw_trades r)
+SELECT CASE WHEN NOT broken AND id % 113 <> 0 THEN id END AS id, CASE WHEN broken THEN 'bad_json' ELSE reasons END AS reasons,
   CASE WHEN broken THEN '{"id":' || CAST(id AS VARCHAR) || ',"user_id":' END AS raw
 FROM x WHERE broken OR reasons <> ''""")
 

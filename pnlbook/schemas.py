@@ -53,7 +53,7 @@ RAW_TRADES_JSON = T.StructType([
     T.StructField("mental", T.StringType(), True),
     T.StructField("initial_risk", T.StringType(), True),
     T.StructField("notes", T.StringType(), True),
-    T.StructField("account_ids", T.ArrayType(T.StringType()), True),
+    T.StructField("account_ids", T.StringType(), True),         # the value's JSON text
     T.StructField("created_at", T.StringType(), True),
     T.StructField("_corrupt_record", T.StringType(), True),
 ])

@@ -45,7 +45,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("owner").alias("user_id"),
                     F.concat(F.col("username"), F.lit("-"), k.cast("string")).alias("name"),
                     F.when(k == 2, F.lit("prop")).otherwise(F.lit("live")).alias("type"),
-                    (F.lit(ACCOUNT_UNIT_SIZE) * (k + 1)).cast(MONEY).alias("size")))
+                    (F.lit(ACCOUNT_UNIT_SIZE) * (k + 1)).cast(MONEY).alias("size"),
+                    # not in the order of the ids, and with ties
+                    F.date_add(F.lit("2020-01-01").cast("date"), (F.col("owner") * 5 + k * 4) % 7).cast("timestamp_ntz").alias("created_at")))
 
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +93,21 @@ def entries_json(raw: DataFrame) -> DataFrame:
     """The entries as JSON text, with faults planted by id: every second one
     sends its user id as text; some lines are cut off (101), some have a date
     in another format (103), a size that is no number (107) or that no column
-    holds (109)."""
+    holds (109), an id (113), a user id (127) or an account (131) that is no number, a risk
+    that is none (137) or too large (139), or a time that is none (149)."""
     cols = {c: F.col(c) for c in raw.columns}
     size = (F.when(F.col("id") % 107 == 0, "abc").when(F.col("id") % 109 == 0, "99999999999999999999")
             .otherwise(F.col("position_size").cast("string")))
     date = F.when(F.col("id") % 103 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("date").cast("string"))
-    cols |= {"position_size": size, "date": date}
+    fault = lambda mod, value, other: F.when(F.col("id") % mod == 0, value).otherwise(other)
+    as_text = lambda c: F.col(c).cast("string")
+    cols |= {"position_size": size, "date": date, "id": fault(113, F.concat(F.lit("n"), as_text("id")), as_text("id")),
+             "account_ids": fault(131, F.array(F.lit("x"), F.lit("5")), F.col("account_ids").cast("array<string>")),
+             "initial_risk": fault(137, F.lit("abc"), fault(139, F.lit("99999999999999999999"), as_text("initial_risk"))),
+             "created_at": fault(149, F.lit("nonsense"), as_text("created_at"))}
+    cols["user_id"] = fault(127, F.concat(F.lit("u"), as_text("user_id")), as_text("user_id"))
     text = lambda c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items())))
-    whole = F.when(F.col("id") % 2 == 0, text(cols | {"user_id": F.col("user_id").cast("string")})).otherwise(text(cols))
+    whole = F.when((F.col("id") % 2 == 0) | (F.col("id") % 127 == 0), text(cols)).otherwise(text(cols | {"user_id": F.col("user_id")}))
     cut = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"user_id":'))
     return raw.select(F.when(F.col("id") % 101 == 0, cut).otherwise(whole).alias("value"))
 
