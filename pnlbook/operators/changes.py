@@ -95,7 +95,6 @@ def live_state(outcomes: DataFrame, payload: list[str], key: list[str] = KEY) ->
 # What a trade change carries besides its key, seq and op.
 TRADE_PAYLOAD = ["date", "type", "entry_price", "exit_price", "position_size", "pnl", "grade", "notes", "mental",
                  "initial_risk", "account_ids"]
-LEDGER_COLUMNS = [*KEY, *TRADE_PAYLOAD, "born", "seq", "created_at"]
 
 
 def checked_changes(changes: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -127,8 +126,8 @@ def change_outcomes(changes: DataFrame, users: DataFrame | None = None, chunk_sp
     return fold_outcomes(checked, F.col("ok"), KEY, chunk_span)
 
 
-def live_rows(checked: DataFrame) -> DataFrame:
-    """The ledger after the checked changes, in whatever order they came.
+def live_rows(checked: DataFrame, payload: list[str] = TRADE_PAYLOAD) -> DataFrame:
+    """The ledger (or the accounts, by their payload) after the checked changes, in whatever order they came.
 
     By seq, a key is live from the first accepted insert after its last delete
     (``born``; its ts is ``created_at``); its row is the latest accepted update
@@ -137,12 +136,13 @@ def live_rows(checked: DataFrame) -> DataFrame:
     rows = checked.filter("ok")
     last_d = rows.filter("op = 'D'").groupBy(*KEY).agg(F.max("seq").alias("last_d"))
     after = rows.filter("op <> 'D'").join(last_d, KEY, "left").filter(F.col("last_d").isNull() | (F.col("seq") > F.col("last_d")))
-    payload = F.struct("seq", *TRADE_PAYLOAD)
+    columns = [*KEY, *payload, "born", "seq", "created_at"]
+    whole = F.struct("seq", *payload)
     ins, upd = F.when(F.col("op") == "I", F.col("seq")), F.when(F.col("op") == "U", F.col("seq"))
     agg = after.groupBy(*KEY).agg(F.min(ins).alias("born"), F.min_by("ts", ins).alias("created_at"),
-                                  F.min_by(payload, ins).alias("first"), F.max_by(payload, upd).alias("last"))
+                                  F.min_by(whole, ins).alias("first"), F.max_by(whole, upd).alias("last"))
     row = F.when(F.col("last.seq") > F.col("born"), F.col("last")).otherwise(F.col("first"))
-    return agg.filter(F.col("born").isNotNull()).withColumn("row", row).select(*KEY, "row.*", "born", "created_at").select(*LEDGER_COLUMNS)
+    return agg.filter(F.col("born").isNotNull()).withColumn("row", row).select(*KEY, "row.*", "born", "created_at").select(*columns)
 
 
 def live_ledger(changes: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -168,6 +168,12 @@ def account_outcomes(changes: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFr
     return fold_outcomes(norm, F.col("valid"), KEY, chunk_span)
 
 
+def checked_accounts(changes: DataFrame) -> DataFrame:
+    """Account changes with the B8 rules and ``ok``, as the live state takes them."""
+    norm = normalise_accounts(changes)
+    return norm.withColumn("ok", (F.col("op") == "D") | F.col("valid")).select("seq", "op", *KEY, "ts", *ACCOUNT_PAYLOAD, "ok")
+
+
 def account_changes_from_events(ev: DataFrame) -> DataFrame:
     """A feed of account edits derived from events: signup = create,
     error = delete, else edit; names padded with spaces, some missing; type

@@ -94,7 +94,12 @@ def api_stats(trades: DataFrame, users: DataFrame, date_from=None, date_to=None)
         t = t.filter(F.col("date") >= F.lit(date_from).cast("date"))
     if date_to is not None:
         t = t.filter(F.col("date") <= F.lit(date_to).cast("date"))
-    df = _from_users(users, _per_user(t.select("user_id", "pnl", "type")))
+    return api_from_sums(_per_user(t.select("user_id", "pnl", "type")), users)
+
+
+def api_from_sums(per_user: DataFrame, users: DataFrame) -> DataFrame:
+    """E3 from the base aggregates per user."""
+    df = _from_users(users, per_user)
     gw, gl = F.col("gross_win"), F.col("gross_loss")
     return df.select(
         "user_id", "total", "wins", "losses",

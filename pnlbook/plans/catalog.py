@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pnlbook.functions import text
 from pnlbook.operators import calendar_grid, changes, curve, filters, ordering, scoped, scores, stats, summaries
 from pnlbook.operators import ingest as ing
-from pnlbook.plans import batch
+from pnlbook.plans import batch, sql_api
 from pnlbook.plans.context import Journal
-from pnlbook.schemas import TOTAL
+from pnlbook.schemas import EVENTS, TOTAL
 from pnlbook.session import scratch_dir
 from pnlbook.sources import export, fixtures, ledger
 from pnlbook.sources.tables import read_table
@@ -565,3 +565,47 @@ def q_stream_user_purge(spark, sf_dir):
     rows = jobs.read_ledger_state(spark, root).select("user_id", "id", "date", "pnl")
     days = live.read_days(spark, root).where("account_id is null").select("user_id", "date", F.col("net_pnl").alias("day_pnl"))
     return rows.join(days, ["user_id", "date"], "full")
+
+
+@query("stream_api_stats")
+def q_stream_api_stats(spark, sf_dir):
+    """E3 live, over a range of days."""
+    return live.read_api_stats(spark, _live_root(spark, sf_dir), _j(spark, sf_dir).users, "2024-02-01", "2024-12-31")
+
+
+def _account_stream(spark, sf_dir):
+    def start(src, root, checkpoint):
+        changes_ = changes.account_changes_from_events(spark.readStream.schema(EVENTS).parquet(src))
+        return live.run_accounts(changes_, f"{root}/live", checkpoint)
+
+    return f"{_staged_stream(spark, sf_dir, 's5', start)}/live"
+
+
+@query("stream_accounts")
+def q_stream_accounts(spark, sf_dir):
+    """I5 on the stream: the accounts."""
+    return live.read_accounts(spark, _account_stream(spark, sf_dir)).select("user_id", "id", "name", "type", "size")
+
+
+@query("stream_account_outcomes")
+def q_stream_account_outcomes(spark, sf_dir):
+    """I5 on the stream: what each account change did."""
+    return live.read_account_outcomes(spark, _account_stream(spark, sf_dir))
+
+
+# ---- SQL ---------------------------------------------------------------------------
+
+@query("sql_user_trades")
+def q_sql_user_trades(spark, sf_dir):
+    """C1-C3 as a table function of SQL."""
+    sql_api.register(_j(spark, sf_dir))
+    return spark.sql("SELECT id, date, type, pnl FROM user_trades(7, DATE'1997-01-01', DATE'1998-12-31', 22)")
+
+
+@query("sql_views")
+def q_sql_views(spark, sf_dir):
+    """E1 and E2 as SQL views, joined by month."""
+    sql_api.register(_j(spark, sf_dir))
+    return spark.sql("""SELECT m.user_id, m.month, m.net_pnl, m.profit_factor, CAST(COUNT(*) AS BIGINT) AS days, CAST(MAX(d.daily_pnl) AS DECIMAL(28,4)) AS best_day
+        FROM monthly_summary m JOIN daily_summary d ON d.user_id = m.user_id AND date_format(d.date, 'yyyy-MM') = m.month
+        GROUP BY m.user_id, m.month, m.net_pnl, m.profit_factor""")

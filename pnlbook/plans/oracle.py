@@ -236,9 +236,9 @@ FROM trades GROUP BY user_id, date""")
 oracle("api_stats")(f"""
 , b AS ({_base("(SELECT * FROM trades WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')", 'user_id')}),
 j AS (SELECT u.id AS user_id, b.* EXCLUDE (user_id) FROM users u LEFT JOIN b ON b.user_id = u.id),
-c AS ({_card('j', 'user_id', nested=True)})
+api AS ({_card('j', 'user_id', nested=True)})
 SELECT user_id, total, wins, losses, win_rate,
-  CASE WHEN gross_loss > 0 THEN profit_factor END AS profit_factor, net_pnl, longs, shorts FROM c""")
+  CASE WHEN gross_loss > 0 THEN profit_factor END AS profit_factor, net_pnl, longs, shorts FROM api""")
 
 oracle("stat_card")(_stat_card())
 
@@ -547,3 +547,16 @@ FROM b""")
 oracle("stream_user_purge")(_LIVE_LEDGER + """
 SELECT user_id, id, date, pnl, CAST(SUM(pnl) OVER (PARTITION BY user_id, date) AS DECIMAL(28,4)) AS day_pnl FROM live
 WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = live.user_id AND u.id % 5 = 0)""")
+
+QUERIES["stream_api_stats"] = _over_live(QUERIES["api_stats"]).replace("1996-01-01", "2024-02-01").replace("2000-12-31", "2024-12-31")
+QUERIES["stream_accounts"] = QUERIES["account_changes"]
+QUERIES["stream_account_outcomes"] = QUERIES["account_outcomes"]
+
+oracle("sql_user_trades")("""
+SELECT id, date, type, pnl FROM trades WHERE user_id = 7 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND list_contains(account_ids, 22)""")
+
+oracle("sql_views")("""
+, d AS (SELECT user_id, date, SUM(pnl) AS p FROM trades GROUP BY user_id, date),
+best AS (SELECT user_id, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS days, CAST(MAX(p) AS DECIMAL(28,4)) AS best_day FROM d GROUP BY ALL)
+SELECT m.user_id, m.month, net_pnl, profit_factor, days, best_day
+FROM (""" + QUERIES["monthly_summary"] + """) m JOIN best USING (user_id, month)""")

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pnlbook.operators import scores, stats
-from pnlbook.operators.changes import KEY, checked_changes, fold_outcomes
+from pnlbook.operators.changes import ACCOUNT_PAYLOAD, KEY, checked_accounts, checked_changes, fold_outcomes, live_rows
+from pnlbook.operators.filters import date_range
 from pnlbook.schemas import TOTAL
 from pnlbook.streaming import jobs
 from pnlbook.streaming.jobs import _batch_dir, _read, for_users
@@ -115,6 +116,12 @@ def read_stat_card(spark: SparkSession, root: str, users: DataFrame) -> DataFram
     return stats.card_from_sums(added(_all_accounts(read_sums(spark, root, "months")), ["user_id"]), users)
 
 
+def read_api_stats(spark: SparkSession, root: str, users: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """E3 of the live ledger over an optional range of days."""
+    days = date_range(_all_accounts(read_sums(spark, root, "days")), date_from, date_to)
+    return stats.api_from_sums(added(days, ["user_id"]), users)
+
+
 def read_account_stats(spark: SparkSession, root: str, accounts: DataFrame, users: DataFrame) -> DataFrame:
     """E5 of the live ledger."""
     return stats.account_cards_from_sums(added(read_sums(spark, root, "months"), ["user_id", "account_id"]), accounts, users)
@@ -270,6 +277,28 @@ def read_open(spark: SparkSession, root: str) -> DataFrame:
     return days.where(F.col("date") >= F.lit(mark)) if mark else days
 
 
+# ---- accounts ----------------------------------------------------------------------------
+
+ACCOUNT_LOG = "seq BIGINT, op STRING, user_id BIGINT, id BIGINT, ts TIMESTAMP_NTZ, name STRING, type STRING, size DECIMAL(18,4), ok BOOLEAN"
+
+
+def run_accounts(changes: DataFrame, root: str, checkpoint: str):
+    """I5 on a stream: checked account changes as a log; read it with ``read_accounts``
+    (the accounts) and ``read_account_outcomes`` (what each change did)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write(checked_accounts(batch), root, "accounts", batch_id)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_accounts(spark: SparkSession, root: str) -> DataFrame:
+    return live_rows(_read(spark, f"{root}/accounts", ACCOUNT_LOG), ACCOUNT_PAYLOAD)
+
+
+def read_account_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    return fold_outcomes(_read(spark, f"{root}/accounts", ACCOUNT_LOG), F.col("ok"), KEY).select("seq", "op", "outcome")
+
+
 # ---- the job -----------------------------------------------------------------------------
 
 def write_batch(batch: DataFrame, batch_id: int, users: DataFrame | None, root: str, buckets: int = jobs.BUCKETS, delay_days: int = DELAY_DAYS) -> None:

@@ -61,3 +61,36 @@ def test_ingest_path_builds_no_reason_text(spark):
     assert "concat_ws" not in p
     # the PnL arithmetic is evaluated once, not copied into a pushed filter
     assert p.count("try_cast(round(") == 1
+
+
+def test_sql_functions_push_the_same_filters(spark, tmp_dir):
+    """A table function over a written ledger: folders pruned and filters in the scan as in the DataFrame form."""
+    import os
+
+    from pnlbook.operators import filters
+    from pnlbook.plans import sql_api
+    from pnlbook.sources import ledger
+    path = os.path.join(tmp_dir, "ledger")
+    ledger.write_ledger(Journal(spark, SF_SMALL).trades, path)
+    j = Journal(spark, SF_SMALL, ledger_path=path)
+    sql_api.register(j)
+    sql = spark.sql("SELECT id FROM user_trades(7, DATE'1997-01-01', NULL, NULL)")
+    df = filters.date_range(filters.by_user(j.trades.drop("month"), 7), "1997-01-01").select("id")
+    pushed = lambda d: d._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+    assert sorted(pushed(sql).strip("[").split(", ")) == sorted(pushed(df).strip("[").split(", ")) and "EqualTo(user_id,7)" in pushed(sql)
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, df.collect()))
+    one = spark.sql("SELECT id FROM user_trades(7, NULL, NULL, NULL) ORDER BY id LIMIT 1").first().id
+    assert [r.id for r in spark.sql(f"SELECT id FROM user_trade(7, {one})").collect()] == [one]
+    assert spark.sql("SELECT id FROM user_accounts(7)").count() == 3
+
+
+def test_broadcast_is_bounded_by_files_rows_and_bytes(spark, monkeypatch):
+    from pnlbook.plans import joins
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    users = Journal(spark, SF_SMALL).users
+    assert hinted(joins.bounded_broadcast(users))
+    monkeypatch.setattr(joins, "BROADCAST_MAX_FILE_BYTES", 0)
+    assert hinted(joins.bounded_broadcast(users))                    # by count
+    assert not hinted(joins.bounded_broadcast(users, max_rows=5))
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 100)
+    assert not hinted(joins.bounded_broadcast(users))
