@@ -16,9 +16,9 @@ Every query meets every candidate in exactly one tile, so the result is exact.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 and rows without a ``vec_id`` take no part; vectors of another length are only
-compared with their like; of several vectors under one ``vec_id`` the smallest
-(by components) stands; ties go to the smaller ``vec_id``; an empty table has
-no queries. Only ``vec_id`` and ``embedding`` are read.
+compared with their like; rows that share a ``vec_id`` are each a query and a
+candidate, a query leaves out its own row only; ties go to the smaller ``vec_id``; an
+empty table has no queries. Only ``vec_id`` and ``embedding`` are read.
 """
 
 from __future__ import annotations
@@ -28,27 +28,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .repeats import stored
+
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 16384
 STRIPE = 1024           # candidates of a tile that are multiplied at once
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_row long, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, v): one finite, non-zero vector for each id."""
+    """(row, vec_id, dim, v): the finite, non-zero vectors, numbered and written down,
+    so that a row keeps its number as query and as candidate."""
     v = F.col("embedding").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ok = F.forall("v", finite) & F.exists("v", lambda x: x != 0)
-    return (vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & ok)
-            .groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    rows = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & ok)
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
 
 
 class Block:
     """One side of a tile: the vectors, their int8 form and what bounds its error."""
 
-    def __init__(self, ids: pa.ChunkedArray, vectors: pa.ChunkedArray):
+    def __init__(self, rows: pa.ChunkedArray, ids: pa.ChunkedArray, vectors: pa.ChunkedArray):
         order = np.argsort(ids.to_numpy(), kind="stable")
-        self.id = ids.to_numpy()[order]
+        self.id, self.row = ids.to_numpy()[order], rows.to_numpy()[order]
         flat = vectors.combine_chunks()
         self.v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(self.id), -1)[order]
         scale = np.abs(self.v).max(axis=1, keepdims=True) / 127
@@ -86,7 +89,7 @@ def tile(queries: Block, cands: Block, k: int) -> tuple[np.ndarray, np.ndarray,
         s = slice(at, at + STRIPE)
         near = int8_product(queries.q, cands.q[s]) * queries.scale[:, None] * cands.scale[None, s]
         err = queries.near_norm[:, None] * cands.rest[None, s] + queries.rest[:, None] * cands.norm[None, s]
-        own = queries.id[:, None] == cands.id[None, s]
+        own = queries.row[:, None] == cands.row[None, s]
         low = np.where(own, -np.inf, near - err)
         if low.shape[1] >= k:
             floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
@@ -110,21 +113,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     grid = sizes.select("dim", F.greatest(F.ceil(F.col("nq") / QUERY_BLOCK), F.lit(1)).cast("int").alias("gq"),
                         F.ceil(F.col("n") / CANDIDATE_BLOCK).cast("int").alias("gc"))
     placed = base.join(grid, "dim")
-    place = lambda g: F.pmod(F.xxhash64("vec_id"), F.col(g)).cast("int")
+    place = lambda g: F.pmod(F.xxhash64("row"), F.col(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
-    queries = placed.where(is_query).select("vec_id", "v", "dim", place("gq").alias("qb"), every("gc").alias("cb"))
-    cands = placed.select(F.col("vec_id").alias("cand_id"), F.col("v").alias("w"), F.col("dim").alias("cand_dim"),
+    queries = placed.where(is_query).select("row", "vec_id", "v", "dim", place("gq").alias("qb"), every("gc").alias("cb"))
+    cands = placed.select(F.col("row").alias("cand_row"), F.col("vec_id").alias("cand_id"), F.col("v").alias("w"), F.col("dim").alias("cand_dim"),
                           every("gq").alias("cand_qb"), place("gc").alias("cand_cb"))
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    kind = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return kind.empty_table()
-        q = Block(left["vec_id"], left["v"])
-        row, ids, score = tile(q, Block(right["cand_id"], right["w"]), k)
-        return pa.table([q.id[row], ids, score], schema=kind)
+        q = Block(left["row"], left["vec_id"], left["v"])
+        at, ids, score = tile(q, Block(right["cand_row"], right["cand_id"], right["w"]), k)
+        return pa.table([q.row[at], q.id[at], ids, score], schema=kind)
 
     found = queries.groupBy("dim", "qb", "cb").cogroup(cands.groupBy("cand_dim", "cand_qb", "cand_cb")).applyInArrow(run, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -42,15 +42,16 @@ def test_neighbours_on_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "STRIPE", 4)
     good = [(k, [float((k * 7) % 11 - 5), float(k % 3), 0.25 * (k % 5)]) for k in range(60)]
     odd = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, math.nan, 0.0]), (103, [1.0, None, 2.0]), (None, [1.0, 1.0, 1.0]), (104, [math.inf, 0.0, 0.0]),
-           (105, [1.0, 2.0]), (106, [3.0, 4.0]), (40, good[40][1]), (107, [])]
+           (105, [1.0, 2.0]), (106, [3.0, 4.0]), (40, good[40][1]), (40, [5.0, 5.0, 1.0]), (41, [9.0, 9.0, 9.0]), (107, [])]
     df = spark.createDataFrame([(*r, 1) for r in good + odd], "vec_id LONG, embedding ARRAY<DOUBLE>, rank INT")
     got = neighbours.nearest(df, F.col("vec_id") % 5 == 0, 6).collect()
-    vectors = {i: v for i, v in good if any(v)}
-    pairs = {105: [(11.0, 106)]}
-    for q, v in vectors.items():
-        if q % 5 == 0:
-            pairs[q] = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q), key=lambda x: (-x[0], x[1]))[:6]
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted((q, k + 1, i, s) for q, best in pairs.items() for k, (s, i) in enumerate(best))
+    vectors = [(i, v) for i, v in [*good, (40, good[40][1]), (40, [5.0, 5.0, 1.0]), (41, [9.0, 9.0, 9.0])] if any(v)]
+    want = [(105, 1, 106, 11.0)]
+    for n, (q, v) in enumerate(vectors):
+        if q % 5 == 0:                  # every row of an id is a query of its own, and a candidate of the others
+            best = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(vectors) if m != n), key=lambda x: (-x[0], x[1]))[:6]
+            want += [(q, k + 1, i, s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
