@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 OP5 = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -36,24 +38,41 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fa
 SQL: dict[str, str] = {"op5_rule_ledger": OP5}
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# every name of HTML5, in hexadecimal so that the SQL stays plain ASCII
+_NAMES = ", ".join(f"({_text(k)}, decode(unhex('{v.encode().hex()}')))" for k, v in html5.items())
+_OPEN = "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True))
+_WESTERN = "[" + ", ".join(str(ord(bytes([c]).decode("cp1252", "ignore") or chr(c))) for c in range(128, 160)) + "]"
+
+
 def _entities(sql: str) -> str:
-    """Nested replace() calls for the entities, the ampersand last."""
-    pairs = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"),
-             ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
-    for a, b in pairs:
-        sql = f"replace({sql}, '{a}', '{b}')"
-    return sql
+    """Character references decoded: the text is cut at each ampersand (CTE names has the map m)."""
+    head = r"regexp_extract(p, '^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)')"
+    digits = f"regexp_extract({head}, '^#[xX]?0*([0-9a-fA-F]*)', 1)"
+    code = (f"CASE WHEN {head} ILIKE '#x%' THEN CASE WHEN length({digits}) > 6 THEN 2097152 ELSE coalesce(TRY_CAST('0x' || {digits} AS BIGINT), 0) END "
+            f"ELSE CASE WHEN length({digits}) > 7 THEN 2097152 ELSE coalesce(TRY_CAST({digits} AS BIGINT), 0) END END")
+    shown = (f"[CASE WHEN c BETWEEN 128 AND 159 THEN chr({_WESTERN}[c - 127]) WHEN c = 0 OR c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr(65533) "
+             "WHEN c BETWEEN 1 AND 8 OR c BETWEEN 14 AND 31 OR c IN (11, 127) OR c BETWEEN 64976 AND 65007 OR c & 65534 = 65534 THEN '' "
+             f"ELSE chr(CAST(c AS INTEGER)) END FOR c IN [{code}]][1]")
+    begin = f"regexp_extract({head}, '^(?:{_OPEN})')"
+    name = (f"coalesce(m[{head}], CASE WHEN {begin} <> '' THEN m[{begin}] || substr({head}, length({begin}) + 1) END, '&' || {head})")
+    return (f"array_to_string(list_transform(string_split({sql}, '&'), lambda p, i: CASE WHEN i = 1 THEN p WHEN starts_with(p, '#') AND {head} <> '' "
+            f"THEN {shown} || substr(p, length({head}) + 1) ELSE {name} || substr(p, length({head}) + 1) END), '')")
 
 
 _URN = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
 _CRLF = "chr(13) || chr(10)"
 OP2 = rf"""
-WITH source AS (
+WITH names AS (SELECT map_from_entries(list(struct_pack(k := k, v := v))) AS m FROM (VALUES {_NAMES}) AS n(k, v)),
+source AS (
   SELECT page_id, url AS target_uri, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages),
 response AS (
   SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '') || '|sha256:' || d) AS u,
     regexp_replace(h, '(?is)<!--.*?(?:-->|\z)|<script(?:[ \t\r\n\f/][^>]*)?>.*?(?:</script[ \t\r\n\f]*>|\z)|<style(?:[ \t\r\n\f/][^>]*)?>.*?(?:</style[ \t\r\n\f]*>|\z)', '', 'g') AS seen,
-    trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<title(?:[ \t\r\n\f][^>]*)?>(.*?)</title', 1), '</?[A-Za-z!?][^>]*>', '', 'g'), '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title,
+    regexp_replace(regexp_extract(h, '(?is)<title(?:[ \t\r\n\f][^>]*)?>(.*?)</title', 1), '</?[A-Za-z!?][^>]*>', '', 'g') AS raw_title,
     lower(regexp_extract(h, '(?i)<html[^>]*[ \t\r\n\f]lang=["'']?([A-Za-z0-9-]+)', 1)) AS lang,
     lower(regexp_extract(h, '(?i)<meta[^>]*charset=["'']?([A-Za-z0-9_-]+)', 1)) AS charset
   FROM source),
@@ -62,18 +81,19 @@ bare AS (
   FROM response),
 both_kinds AS (
   SELECT page_id, target_uri, {_URN.format('u')} AS refers_to, 'sha256:' || d AS payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || title || {_CRLF} || 'language: ' || lang || {_CRLF} || 'charset: ' || charset || {_CRLF} || 'source-status: HTTP/1.1 200 OK' || {_CRLF}
+    'title: ' || trim(regexp_replace({_entities('raw_title')}, '[\x00-\x20\x7F\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}]+', ' ', 'g'), ' ') || {_CRLF} || 'language: ' || lang || {_CRLF} || 'charset: ' || charset || {_CRLF} || 'source-status: HTTP/1.1 200 OK' || {_CRLF}
       || 'source-content-type: text/html; charset=utf-8' || {_CRLF} || 'source-payload-length: ' || strlen(h)::VARCHAR || {_CRLF}
-      || 'source-payload-digest: sha256:' || d || {_CRLF} AS block FROM bare
+      || 'source-payload-digest: sha256:' || d || {_CRLF} || 'source-header: Content-Type: text/html; charset=utf-8' || {_CRLF}
+      || 'source-header: Content-Length: ' || strlen(h)::VARCHAR || {_CRLF} AS block FROM bare, names
   UNION ALL
   SELECT page_id, target_uri, {_URN.format('u')}, 'sha256:' || d, 'conversion', 'text/plain; charset=utf-8',
-    regexp_replace(regexp_replace(regexp_replace({_entities('b')}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g') FROM bare),
+    regexp_replace(regexp_replace(regexp_replace({_entities('b')}, '[ \t\r\f\x{{A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g') FROM bare, names),
 named AS (
   SELECT *, md5(warc_type || '|' || refers_to) AS m, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length,
     '2024-01-01T00:00:00Z' AS date FROM both_kinds),
 ids AS (SELECT * EXCLUDE (m), {_URN.format('m')} AS record_id FROM named)
 SELECT *, 'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF}
-  || CASE WHEN target_uri IS NULL THEN '' ELSE 'WARC-Target-URI: ' || target_uri || {_CRLF} END || 'WARC-Date: ' || date || {_CRLF}
+  || CASE WHEN target_uri IS NULL THEN '' ELSE 'WARC-Target-URI: ' || regexp_replace(replace(replace(target_uri, chr(13), '%0D'), chr(10), '%0A'), '[\x00-\x1F\x7F]', '', 'g') || {_CRLF} END || 'WARC-Date: ' || date || {_CRLF}
   || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF}
   || 'Content-Length: ' || content_length::VARCHAR || {_CRLF} || {_CRLF} AS header
 FROM ids

@@ -10,7 +10,9 @@ id and block digest. All of it is column expressions, one pass, no shuffle.
 Record ids are ``urn:uuid`` names made from a digest of what the record is
 about, so a rerun writes the same ids. Text extraction drops comments, scripts
 and styles, turns block tags into line ends and other tags into nothing, and
-decodes the entities in ``ENTITIES``.
+decodes character references in one pass as HTML5 does (all names, numbers, missing
+semicolons); the title likewise. All lines of the source's HTTP header are kept in the
+metadata record. Line ends and control characters of a url or a title never reach a header.
 
 Edge cases: a null or empty page gives records with empty text; a null url
 leaves the target URI header out; null page ids and repeated rows give records
@@ -20,17 +22,16 @@ Only ``page_id``, ``url`` and ``html`` are read.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
-# fixed values: elements that end a line of text, and entities with their characters (&amp; last)
+# fixed values: elements that end a line of text
 BLOCK_TAGS = ("address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|"
               "li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©",
-            "&reg;": "®", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
 HIDDEN = (r"(?is)<!--.*?(?:-->|\z)|<script(?:[ \t\r\n\f/][^>]*)?>.*?(?:</script[ \t\r\n\f]*>|\z)"
           r"|<style(?:[ \t\r\n\f/][^>]*)?>.*?(?:</style[ \t\r\n\f]*>|\z)")
 BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[ \t\r\n\f/][^>]*)?>"
@@ -40,6 +41,39 @@ LANG = r"(?i)<html[^>]*[ \t\r\n\f]lang=[\"']?([A-Za-z0-9-]+)"
 CHARSET = r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9_-]+)"
 
 
+REFERENCE = r"\A(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+OPEN_NAMES = r"\A(?:" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
+# numbers 128 to 159 stand for the characters of the old Western code page
+WESTERN = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, each once: a reference holds no ``&``, so the text is
+    cut there and every part decodes its own beginning."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def number(head: Column) -> Column:
+        digits = F.regexp_extract(head, r"\A#(?:[xX])?0*([0-9a-fA-F]*)", 1)
+        code = F.when(head.rlike(r"\A#[xX]"), F.when(F.length(digits) > 6, 1 << 21).otherwise(F.conv(digits, 16, 10).cast("int")))
+        code = code.otherwise(F.when(F.length(digits) > 7, 1 << 21).otherwise(digits.try_cast("int")))
+        code = F.coalesce(code, F.lit(0))
+        nothing = (code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+                   | (code.bitwiseAND(0xFFFE) == 0xFFFE))
+        return (F.when(code.between(128, 159), F.element_at(F.array(*map(F.lit, WESTERN)), F.greatest(code - 127, F.lit(1))))
+                .when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\uFFFD").when(nothing, "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+    def part(p: Column, at: Column) -> Column:
+        head = F.regexp_extract(p, REFERENCE, 0)
+        rest = F.substring(p, F.length(head) + 1, F.length(p))
+        begin = F.regexp_extract(head, OPEN_NAMES, 0)
+        name = F.coalesce(F.try_element_at(names, head), F.when(begin != "", F.concat(F.try_element_at(names, begin), F.substring(head, F.length(begin) + 1, F.length(head)))),
+                          F.concat(F.lit("&"), head))
+        return F.when(at == 0, p).when(p.startswith("#") & (head != ""), F.concat(number(head), rest)).otherwise(F.concat(name, rest))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+
+
 def urn(*parts: Column | str) -> Column:
     """<urn:uuid:...> named by a digest of the parts."""
     d = F.md5(F.concat_ws("|", *parts))
@@ -71,15 +105,21 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(html, HIDDEN, "")
     t = F.regexp_replace(t, BLOCK, "\n")
     t = F.regexp_replace(t, TAG, "")
-    t = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), t)
-    t = F.regexp_replace(t, "[ \\t\\r\\f]+", " ")
+    t = unescaped(t)
+    t = F.regexp_replace(t, "[ \\t\\r\\f\\u00A0]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+\\z", "")
 
 
 def one_line(col: Column) -> Column:
-    """A header value: tags and line ends out."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col, TAG, ""), "[ \\t\\r\\n\\f]+", " "))
+    """A header value: tags out, references decoded, line ends and controls to spaces."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(col, TAG, "")), "[\\x00-\\x20\\x7F\\u0085\\u00A0\\u2028\\u2029]+", " "))
+
+
+def header_safe(uri: Column) -> Column:
+    """A URI for a header: line ends percent-encoded, other controls out."""
+    uri = F.replace(F.replace(uri, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.regexp_replace(uri, "[\\x00-\\x1F\\x7F]", "")
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -92,7 +132,8 @@ def derive(records: DataFrame) -> DataFrame:
         line("source-status", F.regexp_extract("http_header", "^([^\r\n]*)", 1)),
         line("source-content-type", F.regexp_extract("http_header", "(?i)\nContent-Type: *([^\r\n]*)", 1)),
         line("source-payload-length", F.col("payload_length").cast("string")),
-        line("source-payload-digest", F.col("payload_digest"))))
+        line("source-payload-digest", F.col("payload_digest")),
+        F.array_join(F.transform(F.filter(F.split("http_header", "\r?\n"), lambda h, i: (i > 0) & (h != "")), lambda h: line("source-header", h)), "")))
     make = lambda kind, mime, block: F.struct(
         F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     df = df.withColumn("made", F.explode(F.array(
@@ -100,7 +141,7 @@ def derive(records: DataFrame) -> DataFrame:
     df = df.select("page_id", "target_uri", "date", F.col("record_id").alias("refers_to"), "payload_digest", "made.*")
     df = df.withColumn("record_id", urn("warc_type", "refers_to")).withColumn("block_digest", digest("block")).withColumn("content_length", octets("block"))
     header = F.concat_ws("\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "warc_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"),
-                         F.concat(F.lit("WARC-Refers-To: "), "refers_to"), F.concat(F.lit("WARC-Target-URI: "), "target_uri"),
+                         F.concat(F.lit("WARC-Refers-To: "), "refers_to"), F.concat(F.lit("WARC-Target-URI: "), header_safe(F.col("target_uri"))),
                          F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
                          F.concat(F.lit("Content-Type: "), "content_type"),
                          F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")))

@@ -1,6 +1,9 @@
 """The queries that SQL can express, against DuckDB, and their edge cases."""
 
+import html
 import math
+import random
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +68,31 @@ def test_warc_links_and_odd_pages(spark):
     text = next(r for r in made if r.page_id == 1 and r.warc_type == "conversion" and r.block)
     assert text.block == "T & x\na b\nc" and f"Content-Length: {len(text.block.encode())}\r\n" in text.header
     meta = next(r for r in made if r.refers_to == text.refers_to and r.warc_type == "metadata")
-    assert "title: T &amp; x\r\nlanguage: de\r\ncharset: utf-8\r\n" in meta.block and "WARC-Refers-To: " + text.refers_to in meta.header
+    assert "title: T & x\r\nlanguage: de\r\ncharset: utf-8\r\n" in meta.block and "WARC-Refers-To: " + text.refers_to in meta.header
     assert all(("WARC-Target-URI" in r.header) == (r.target_uri is not None) for r in made)
     raw = warc.serialised(warc.derive(warc.responses(df))).collect()
     assert all(bytes(r.warc).startswith(b"WARC/1.1\r\n") and bytes(r.warc).endswith(b"\r\n\r\n") for r in raw)
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
+
+
+def test_references_as_html_unescape(spark):
+    rng = random.Random(2)
+    names = [*html5, "nosuch;", "notit;", "ampx", "amp;lt;", "#", "#x", "#;", "#x;", "x" * 40, " amp;", "#38;", "#x26;amp;"]
+    numbers = [0, 1, 8, 9, 10, 11, 13, 14, 38, 127, 128, 150, 159, 160, 8217, 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x1F600, 0x10FFFF, 0x110000, 99999999999]
+    refs = names + [f"#{n}{e}" for n in numbers for e in (";", "", "z")] + [f"#{x}{n:x}{e}" for n in numbers for x in "xX" for e in (";", " ")] + ["#00038;", "#x00026;"]
+    texts = ["&" + r for r in refs] + ["".join(rng.choice(["&", "a", " ", "&" + rng.choice(refs), ";", "\u00e9"]) for _ in range(30)) for _ in range(300)] + ["", "&&", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for r in df.select("t", warc.unescaped(F.col("t")).alias("u")).collect():
+        assert r.u == html.unescape(r.t), r.t
+
+
+def test_warc_headers_hold_no_foreign_lines(spark):
+    rows = [(1, "http://a/\r\nX-Evil: 1", "<title>x&#13;&#10;X-Evil: 1&#x2028;y</title>&middot;&#8217;"), (2, "http://b/\x00\x7f", "<p>a &amp;lt; b")]
+    pages = warc.responses(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING"))
+    made = warc.derive(pages.withColumn("http_header", F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: s\r\nSet-Cookie: a=b\r\n"), F.lit("Content-Type: text/html\r\n\r\n")))).collect()
+    assert not any(line.startswith("X-Evil") for r in made for line in r.header.splitlines() + (r.block.splitlines() if r.warc_type == "metadata" else []))
+    meta = next(r for r in made if r.page_id == 1 and r.warc_type == "metadata")
+    assert "title: x X-Evil: 1 y\r\n" in meta.block and "source-header: Server: s\r\nsource-header: Set-Cookie: a=b\r\nsource-header: Content-Type: text/html\r\n" in meta.block
+    assert "http://a/%0D%0AX-Evil: 1\r\n" in meta.header
+    text = {r.page_id: r.block for r in made if r.warc_type == "conversion"}
+    assert text[1].endswith("\u00b7\u2019") and text[2] == "a &lt; b"
