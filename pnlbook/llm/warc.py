@@ -50,7 +50,10 @@ WESTERN = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 1
 def unescaped(text: Column) -> Column:
     """Character references decoded, each once: a reference holds no ``&``, so the text is
     cut there and every part decodes its own beginning."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # a map is searched from its beginning, so the names are dealt by their first letter
+    lists = {c: {n: v for n, v in html5.items() if n[0] == c} for c in sorted({n[0] for n in html5})}
+    lists = F.from_json(F.lit(json.dumps(lists)), "map<string,map<string,string>>")
+    named = lambda n: F.try_element_at(F.try_element_at(lists, F.substring(n, 1, 1)), n)
 
     def number(head: Column) -> Column:
         digits = F.regexp_extract(head, r"\A#(?:[xX])?0*([0-9a-fA-F]*)", 1)
@@ -67,7 +70,7 @@ def unescaped(text: Column) -> Column:
         head = F.regexp_extract(p, REFERENCE, 0)
         rest = F.substring(p, F.length(head) + 1, F.length(p))
         begin = F.regexp_extract(head, OPEN_NAMES, 0)
-        name = F.coalesce(F.try_element_at(names, head), F.when(begin != "", F.concat(F.try_element_at(names, begin), F.substring(head, F.length(begin) + 1, F.length(head)))),
+        name = F.coalesce(named(head), F.when(begin != "", F.concat(named(begin), F.substring(head, F.length(begin) + 1, F.length(head)))),
                           F.concat(F.lit("&"), head))
         return F.when(at == 0, p).when(p.startswith("#") & (head != ""), F.concat(number(head), rest)).otherwise(F.concat(name, rest))
 
