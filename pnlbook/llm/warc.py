@@ -74,7 +74,9 @@ def unescaped(text: Column) -> Column:
                           F.concat(F.lit("&"), head))
         return F.when(at == 0, p).when(p.startswith("#") & (head != ""), F.concat(number(head), rest)).otherwise(F.concat(name, rest))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+    # in a lambda the text is a variable, so what made it runs once and not for each mention
+    whole = lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), part), "")).otherwise(t)
+    return F.transform(F.array(text), whole)[0]
 
 
 def urn(*parts: Column | str) -> Column:
