@@ -20,12 +20,17 @@ pair is missed (two sets that meet only in bare parts both have too many).
 
 Candidates are checked with the full sets. Equal sets are one class, searched
 once. First every text is checked with the text it shares the most signatures
-with (the smallest of each group of equal signatures stands for it). Groups of
-equal signatures whose members are then not in one component are gathered into
-clusters, and a cluster is compared whole, block by block: two blocks of texts
-meet in one task, where intersections of all their sets are counted at once
+with (the smallest of each group of equal signatures stands for it). In groups of
+equal signatures whose members are then not in one component, every pair's
+difference is bounded from below: each set has a parity bitmap (a bit for each
+cell of a hashed domain, set where an odd number of elements fall), and two sets
+differ in at least as many elements as their bitmaps in bits. Pairs that this
+bound leaves gather their texts into clusters (a group sends a spanning forest of
+them, no row for each pair), and a cluster is compared whole, block by block: two blocks
+of texts meet in one task, where intersections of all their sets are counted at once
 (matrix products for shingles that many sets hold), and only what joins
-components leaves it. A pair that is never compared is in one component anyway.
+components leaves it. A pair that is never compared is in one component anyway, or
+too far apart.
 
 Edge cases: null, empty and blank texts have an empty set and link with
 nothing; repeated rows and equal texts are one class; null ids come after all
@@ -45,13 +50,15 @@ from pyspark.sql import functions as F
 
 from .batches import map_arrow, slices
 from .components import components
-from .repeats import identified, identify, lone, signed, stored, with_first
+from .repeats import dropped, identified, identify, lone, signed, stored, with_first
 from .textarrays import BASES, Prefix, Texts, mix, texts_of, word_prints, words_of
 
 SPLIT, SLACK = 2, 1
 SEEDS = 6
 BLOCK = 768         # texts of a cluster's block
 BLOCK_SHINGLES = 1 << 20
+GROUP = 2048        # bitmaps of a group's block
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 _U = np.uint64
 
 
@@ -71,6 +78,93 @@ def shingles(t: Texts, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.searchsorted(of[new], np.arange(t.n + 1))
 
 
+def bitmaps(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each set, of a power of two of bits: twice its elements and more."""
+    size = np.diff(at)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    cell = (mix(values) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(base[:-1], size)
+    packed = np.packbits((np.bincount(cell, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    ends = (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def near(bits: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may link, by size and by what their bitmaps say they differ in at least."""
+    n = len(bits)
+    width = np.array([len(b) for b in bits])
+    out = np.zeros((n, n), bool)
+    # linked sets have at most this share of their sizes' sum in differences
+    most = (size[:, None] + size[None, :]) * (100 - percent) // (100 + percent)
+    fits = 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    for w in np.unique(width):
+        narrow = np.flatnonzero(width == w)
+        words = np.frombuffer(b"".join(bits[k] for k in narrow), np.uint64).reshape(len(narrow), -1)
+        for v in np.unique(width[width >= w]):
+            wide = np.flatnonzero(width == v)
+            if not fits[np.ix_(narrow, wide)].any():
+                continue
+            folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[k] for k in wide), np.uint64).reshape(len(wide), v // w, -1), axis=1)
+            step = max(1, (1 << 22) // (len(wide) * words.shape[1]))
+            for k in range(0, len(narrow), step):
+                apart = np.bitwise_count(words[k:k + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                ok = apart <= most[np.ix_(narrow[k:k + step], wide)]
+                out[np.ix_(narrow[k:k + step], wide)] = ok
+                out[np.ix_(wide, narrow[k:k + step])] = ok.T
+    return out & fits
+
+
+def near_edges(percent: int):
+    """Of each group (or two blocks of one), rows together: edges that join what ``near`` leaves
+    of its pairs between components."""
+    def forest(u: np.ndarray, c: np.ndarray, size: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        links = near(bits, size, percent) & (c[:, None] != c[None, :])
+        label = np.arange(len(u))
+        while True:
+            low = np.minimum(label, np.where(links, label[None, :], len(u)).min(axis=1))
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        joined = np.flatnonzero(label != np.arange(len(u)))
+        return u[label[joined]], u[joined]
+
+    def rows(batches):
+        kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in _whole_groups(batches):
+            at = np.append(batch["start"], len(batch["u"]))
+            made = [forest(batch["u"][x:y], batch["c"][x:y], batch["size"][x:y], batch["bits"][x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            a, b = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.record_batch([a, b], schema=kind)
+
+    return rows
+
+
+def _whole_groups(batches):
+    """Batches of rows (sign, i, j, u, c, size, bits) sorted by group, cut between groups."""
+    held = []
+
+    def cut(tables, last):
+        t = pa.Table.from_batches(tables)
+        key = np.stack([t[c].to_numpy() for c in ("sign", "i", "j")])
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        start = np.flatnonzero(new)
+        end = t.num_rows if last else int(start[-1])
+        done = t.slice(0, end)
+        out = {"start": start[start < end], "bits": done["bits"].to_pylist(), **{c: done[c].to_numpy() for c in ("u", "c", "size")}}
+        return out, t.slice(end).to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            out, held = cut(held, False)
+            if len(out["start"]):
+                yield out
+    if held:
+        yield cut(held, True)[0]
+
+
 class Bands:
     """Size bands of a threshold, and each band's number of differences and parts."""
 
@@ -172,7 +266,8 @@ def signature_rows(gram: int, percent: int):
                 digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = len(u)
                 none = pa.nulls(n, pa.int64())
-                yield {"key": signed(lone(u, np.full(n, -1))), "u": u, "sign": none, "leader": none, "size": np.diff(at), "digest": pa.array(digest, pa.binary())}
+                yield {"key": signed(lone(u, np.full(n, -1))), "u": u, "sign": none, "leader": none, "size": np.diff(at), "digest": pa.array(digest, pa.binary()),
+                       "bits": pa.array(bitmaps(values, at), pa.binary())}
                 order = np.argsort(u, kind="stable").tolist()
                 once = {}
                 for k in order:
@@ -193,7 +288,8 @@ def signature_rows(gram: int, percent: int):
                 key = np.where(first, sign, lone(owner, (sign >> _U(2)).astype(np.int64)))
                 n = len(sign)
                 yield {"key": signed(key), "u": owner, "sign": pa.array(signed(sign), pa.int64(), mask=first & ~several),
-                       "leader": pa.array(owner[head], pa.int64(), mask=first), "size": pa.nulls(n, pa.int64()), "digest": pa.nulls(n, pa.binary())}
+                       "leader": pa.array(owner[head], pa.int64(), mask=first), "size": pa.nulls(n, pa.int64()), "digest": pa.nulls(n, pa.binary()),
+                       "bits": pa.nulls(n, pa.binary())}
 
     return rows
 
@@ -219,16 +315,26 @@ def check(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFr
     return stored(map_arrow(df.select("a", "b", "ta", "tb"), checked_rows(gram, percent), "a long, b long, links boolean"), "checked")
 
 
-def open_texts(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """(u, c, size, cluster): members of the groups that still hold several components.
-    Texts that share such a group, directly or through others, are one cluster."""
+def open_texts(groups: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, c, size, cluster): texts of the groups that still hold several components,
+    where a pair of them may link. Texts of such pairs, directly or through others, are one
+    cluster."""
     df = groups.join(comp.select(F.col("vertex").alias("u"), "component"), "u", "left")
     df = df.select("sign", "u", "size", F.coalesce("component", "u").alias("c"))
-    open_ = (df.groupBy("sign").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("u").alias("a"))
-             .where("lo <> hi").select("sign", "a"))
+    held = df.groupBy("sign").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                  *(F.sum(F.xxhash64(F.lit(k), "u").cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2))).where("lo <> hi")
+    # groups with the same members are one
+    open_ = held.groupBy("n", "m1", "m2").agg(F.min("sign").alias("sign")).select("sign", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     df = stored(df.join(open_, "sign"), "open-groups")
-    clusters = components(df.select("a", F.col("u").alias("b")))
-    return (df.select("u", "c", "size").distinct().join(clusters.select(F.col("vertex").alias("u"), F.col("component").alias("cluster")), "u"))
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    dealt = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = (dealt.select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "c", "size")
+             .join(sets.select("u", "bits"), "u").repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "u"))
+    edges = stored(dealt.select("sign", "i", "j", "u", "c", "size", "bits").mapInArrow(near_edges(percent), "a long, b long"), "near")
+    clusters = components(edges).select(F.col("vertex").alias("u"), F.col("component").alias("cluster"))
+    out = stored(df.select("u", "c", "size").distinct().join(clusters, "u"), "open-texts")
+    dropped(df, edges)
+    return out
 
 
 def intersections(values: np.ndarray, at: np.ndarray, heavy: int = 48) -> np.ndarray:
@@ -307,13 +413,13 @@ def cluster_links(members: DataFrame, texts: DataFrame, gram: int, percent: int)
 
 def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
     """(u, copies, doc_id, size, c): ``c`` is the first text of the component."""
-    rows = map_arrow(base.select("u", "t"), signature_rows(gram, percent), "key long, u long, sign long, leader long, size long, digest binary")
+    rows = map_arrow(base.select("u", "t"), signature_rows(gram, percent), "key long, u long, sign long, leader long, size long, digest binary, bits binary")
     by = Window.partitionBy("key")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("lo", F.min("u").over(by))
     kept = stored(rows.where(F.col("size").isNotNull() | F.col("sign").isNotNull() | (F.col("n") > 1))
                   .select("u", F.when(F.col("size").isNull(), F.coalesce("sign", "key")).alias("sign"),
-                          F.coalesce("leader", "lo").alias("leader"), "size", "digest"), "signatures")
-    sets = stored(with_first(kept.where(F.col("size").isNotNull()).select("u", "size", "digest"), "digest").drop("digest"), "sets")
+                          F.coalesce("leader", "lo").alias("leader"), "size", "digest", "bits"), "signatures")
+    sets = stored(with_first(kept.where(F.col("size").isNotNull()).select("u", "size", "digest", "bits"), "digest").drop("digest"), "sets")
     rep = lambda name: sets.select(F.col("u").alias(name), F.col("rep").alias(f"{name}_rep"))
     met = kept.where(F.col("size").isNull()).join(rep("u"), "u")
     groups = (met.select("sign", F.col("u_rep").alias("u")).distinct()
@@ -327,12 +433,15 @@ def _components(base: DataFrame, gram: int, percent: int) -> DataFrame:
     pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     texts = stored(base.select("u", "t").join(groups.select("u").distinct(), "u", "left_semi"), "candidates")
     links = check(pairs, texts, gram, percent).where("links").select("a", "b")
+    dropped(kept)
     comp = components(links)
-    members = stored(open_texts(groups, comp), "open-texts")
+    members = open_texts(groups, comp, sets, percent)
+    dropped(groups)
     if not members.isEmpty():
         more = stored(cluster_links(members, texts, gram, percent), "block-links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
+    dropped(texts)
     comp_of = comp.select(F.col("vertex").alias("rep"), "component")
     first = F.when(F.col("size") == 0, F.col("u")).otherwise(F.coalesce("component", "rep"))
     return (base.select("u", "copies", "doc_id").join(sets, "u").join(comp_of, "rep", "left")

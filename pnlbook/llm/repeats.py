@@ -25,14 +25,35 @@ from pnlbook.session import scratch_dir
 from .textarrays import mix, signed
 
 _U = np.uint64
+# Spark deletes a query's shuffle files when the query has ended
+RELEASE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here. A table of
+    """Written to the shared folder and read again: lineage ends here, so the shuffle
+    files behind it are released with the query that wrote it. A table of
     a known number of ``rows`` goes into as few files as it needs."""
-    path = scratch_dir(df.sparkSession, name)
-    (df if rows is None else df.coalesce(4 + rows // 100_000)).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    before = spark.conf.get(RELEASE_CONF, None)
+    spark.conf.set(RELEASE_CONF, "true")
+    try:
+        (df if rows is None else df.coalesce(4 + rows // 100_000)).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE_CONF)
+        else:
+            spark.conf.set(RELEASE_CONF, before)
+    return spark.read.parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read any more."""
+    for df in tables:
+        hadoop = df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 @dataclass
@@ -117,4 +138,4 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("u").over(by)).withColumn("n", F.count(F.lit(1)).over(by))
 
 
-__all__ = ["Identified", "combine", "identified", "identify", "lone", "settle", "signed", "stored", "with_first"]
+__all__ = ["Identified", "combine", "dropped", "identified", "identify", "lone", "settle", "signed", "stored", "with_first"]

@@ -98,3 +98,36 @@ def test_long_texts_beside_the_threshold(monkeypatch):
         at = np.array([0, union, union + both])
         monkeypatch.setattr(partenum, "shingles", lambda texts, gram, sets=(values, at): sets)
         assert partenum.block_links(1, percent)(pa.table({"u": [1, 2], "c": [1, 2], "t": ["x", "y"]})).num_rows == linked
+
+
+def test_bitmaps_never_rule_out_a_link():
+    """The bound of ``near`` against the true differences, for sets of any size, and its power on unlike ones."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 2 ** 63, 40_000, dtype=np.uint64)
+    sets = []
+    for size in (1, 2, 3, 10, 40, 300, 1000, 5000, 40_000):
+        base = rng.choice(pool, size, replace=False)
+        for share in (1.0, 0.95, 0.9, 0.85, 0.8, 0.5):
+            sets.append(np.unique(np.concatenate((base[:int(size * share)], rng.integers(1, 2 ** 63, rng.integers(0, size // 10 + 1), dtype=np.uint64)))))
+    sets = [s for s in sets if len(s)]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    size = np.diff(at)
+    for percent in (80, 85):
+        ok = partenum.near(partenum.bitmaps(np.concatenate(sets), at), size, percent)
+        true = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets])
+        assert not (true & ~ok).any() and true.sum() > len(sets)
+        assert ok.sum() < 2 * true.sum()
+
+
+def test_groups_are_cut_into_blocks(spark, monkeypatch):
+    """A group larger than a block: every two blocks meet, and batches cut no group."""
+    monkeypatch.setattr(partenum, "GROUP", 5)
+    monkeypatch.setattr(partenum, "BLOCK", 7)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:57] + [f"x{k}", f"y{k}"])) for k in range(40)] + [(100 + k, " ".join(words[:30] + [f"z{k}{m}" for m in range(30)])) for k in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = partenum.components_of(spark.createDataFrame(rows, "doc_id LONG, text STRING"), gram=1, percent=85).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == sorted(similar_components(rows, n=1))
