@@ -13,25 +13,23 @@ SQL = E.oracle_sql()
 NAMES = sorted(QUERIES)           # the llm queries have their own tests
 
 
+# sf0.01 always; the smaller scale too if PNLBOOK_ORACLE_SMALL is set
+SCALES = [SF_MID] + ([SF_SMALL] if os.environ.get("PNLBOOK_ORACLE_SMALL") else [])
+
+
 @pytest.fixture(scope="module")
-def con():
-    return duck(SF_SMALL)
+def cons():
+    return {d: duck(d) for d in SCALES}
 
 
 def test_every_query_has_an_oracle():
     assert set(NAMES) <= set(SQL)
 
 
+@pytest.mark.parametrize("sf_dir", SCALES, ids=lambda d: d.rsplit("/", 1)[-1])
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    same(df, con, SQL[name])
-
-
-@pytest.mark.skipif(not os.environ.get("PNLBOOK_ORACLE_MID"), reason="set PNLBOOK_ORACLE_MID=1 for sf0.01")
-@pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle_mid(spark, name):
-    same(E.queries()[name](spark, SF_MID), duck(SF_MID), SQL[name])
+def test_query_matches_oracle(spark, cons, name, sf_dir):
+    same(E.queries()[name](spark, sf_dir), cons[sf_dir], SQL[name])
 
 
 def test_entry_smoke(spark):
