@@ -127,10 +127,19 @@ def fresh_map(weight: list[int], shards: int) -> list[int]:
 
 
 def store_map(spark: SparkSession, path: str, shard_of: list[int], version: int) -> None:
-    """Appends one version of the map to the table at ``path``."""
-    rows = [(version, slot, shard) for slot, shard in enumerate(shard_of)]
-    (spark.createDataFrame(rows, "map_version int, virtual_slot int, shard int").coalesce(1)
-     .write.mode("append").partitionBy("map_version").parquet(path))
+    """Writes one version of the map below ``path``; a version that is there already is refused."""
+    rows = [(slot, shard) for slot, shard in enumerate(shard_of)]
+    (spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1)
+     .write.mode("errorifexists").parquet(f"{path}/map_version={version}"))
+
+
+def latest_map(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The last stored version and its shards by slot; 0 and none if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return 0, []
+    rows = load_map(spark, path).orderBy("virtual_slot").collect()          # one row per slot
+    return rows[0]["map_version"], [r["shard"] for r in rows]
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -161,8 +170,11 @@ def assign(placed: DataFrame, shard_map: DataFrame, stats: DataFrame) -> DataFra
 def shard_documents(docs: DataFrame, path: str, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Places all rows of ``docs`` into ``shards`` shards by bytes.
 
-    Writes map versions 1 (even slot counts) and 2 (rebalanced) at ``path`` and
-    returns the rows with the columns of ``RESULT``; the text is not moved.
+    The last map stored at ``path`` is edited by moves and swaps of single slots and
+    written as the next version, if anything moved; records of other slots stay where
+    they are. Where none is stored yet, version 1 is made from even slot counts, or, if
+    edits of it get stuck on a few heavy slots, from the sizes. Returns the rows with the
+    columns of ``RESULT``; the text is not moved.
     """
     spark = docs.sparkSession
     placed = with_slot(docs, slots)
@@ -170,15 +182,20 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 16, slots: int = S
     weight = [0] * slots
     for r in stats.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect():   # one row per slot
         weight[r["virtual_slot"]] = r["bytes"]
-    first = even_map(shards, slots)
-    store_map(spark, path, first, 1)
-    second = rebalance(first, weight, shards)
-    remade = fresh_map(weight, shards)
-    spread = lambda m: _spread(m, weight, shards)
-    if spread(second) > 0.001 * sum(weight) / shards and spread(remade) < spread(second):
-        second = rebalance(remade, weight, shards)      # few, heavy slots: edits alone got stuck
-    store_map(spark, path, second, 2)
-    out = assign(placed, load_map(spark, path, 2), stats)
+    version, current = latest_map(spark, path)
+    if not version:
+        version, current = 1, even_map(shards, slots)
+        spread = lambda m: _spread(m, weight, shards)
+        if spread(edited := rebalance(current, weight, shards)) > 0.001 * sum(weight) / shards and spread(fresh := fresh_map(weight, shards)) < spread(edited):
+            current = fresh
+        store_map(spark, path, current, version)
+    if len(current) != slots or max(current) >= shards:
+        raise ValueError(f"the map at {path} is for {len(current)} slots and {max(current) + 1} shards")
+    edited = rebalance(current, weight, shards)
+    if edited != current:
+        version += 1
+        store_map(spark, path, edited, version)
+    out = assign(placed, load_map(spark, path, version), stats)
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 

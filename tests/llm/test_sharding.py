@@ -1,9 +1,11 @@
 """Slots, maps and places."""
 
+import os
 import random
 import zlib
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from pnlbook.llm import sharding
 from pnlbook.session import scratch_dir
@@ -64,3 +66,30 @@ def test_versions_are_kept(spark):
     sharding.store_map(spark, path, [0] * 8, 2)
     assert {r.shard for r in sharding.load_map(spark, path).collect()} == {0}
     assert {r.shard for r in sharding.load_map(spark, path, 1).collect()} == {0, 1, 2, 3}
+
+
+def test_a_living_map(spark, tmp_dir):
+    """New rows edit the last stored map; a repeated call changes nothing; a version is written once."""
+    path = os.path.join(tmp_dir, "living")
+    rows = [(k, "x" * (k * 37 % 400)) for k in range(300)]
+    schema = "doc_id LONG, text STRING"
+
+    def place(some):
+        got = sharding.shard_documents(spark.createDataFrame(some, schema), path, shards=4, slots=64).collect()
+        assert len(got) == len(some)
+        return {r.doc_id: (r.virtual_slot, r.shard) for r in got}, sharding.latest_map(spark, path)
+
+    first, (one, map_one) = place(rows)
+    again, (same, map_same) = place(rows)
+    assert again == first and (one, map_one) == (same, map_same)
+    more = rows + [(1000 + k, "y" * 900) for k in range(40)]
+    second, (two, map_two) = place(more)
+    moved = {s for s in range(64) if map_one[s] != map_two[s]}
+    assert two == one + 1 and moved and len(moved) < 32
+    assert all(second[k] == first[k] for k in first if first[k][0] not in moved)
+    third, (three, map_three) = place(more + [(5000, "z" * 3000)])
+    assert three in (two, two + 1) and sum(a != b for a, b in zip(map_two, map_three, strict=True)) < 32
+    with pytest.raises(AnalysisException):
+        sharding.store_map(spark, path, map_one, 1)
+    with pytest.raises(ValueError, match="64 slots"):
+        sharding.shard_documents(spark.createDataFrame(rows, schema), path, shards=4, slots=32)
