@@ -79,7 +79,9 @@ def identify(docs: DataFrame) -> Identified:
     ids = (keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
            .orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("u", F.monotonically_increasing_id()))
     ids = stored(ids, "ids")                # in the order of ids, and fixed from here on
-    ids = ids.withColumn("d", F.min("u").over(Window.partitionBy("doc_id"))).withColumnsRenamed({"doc_id": "id_", "h": "h_"})
+    ids = ids.withColumnsRenamed({"doc_id": "id_", "h": "h_"})
+    firsts = ids.groupBy(F.col("id_").alias("first_")).agg(F.min("u").alias("d"))       # joined back: an id of a third of the rows is in no single task
+    ids = ids.join(firsts, F.col("id_").eqNullSafe(F.col("first_"))).drop("first_")
     rows = keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["id_"]) & (F.col("h") == F.col("h_")))
     texts = rows.dropDuplicates(["u"]).select("u", "d", "copies", "doc_id", "t")
     return Identified(stored(texts, "texts"), rows.select("u", "row"), False)

@@ -11,8 +11,8 @@ one suffix in 80 is stored. An entry's key is its first three bytes followed by
 bytes and brings equal grams together.
 
 ``Levels`` is the family. A new batch of texts becomes a sorted run (level 0)
-and is merge-scanned against every run that is there: keys found on both sides
-are marked. Two runs of equal level are merged into one of the next level before
+and is merge-scanned against every run that is there, a merge join of sorted
+files: keys found on both sides are marked. Two runs of equal level are merged into one of the next level before
 the next batch comes, so a suffix is rewritten a logarithmic number of times.
 
 Marked suffixes are only candidates. Their windows are decided exactly by
@@ -31,16 +31,19 @@ no rows. Only ``doc_id`` and the text are read. Fingerprints have 64 bits.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
 
 from .batches import lists, map_arrow, slices
-from .repeats import combine, identified, identify, lone, settle, signed, stored, with_first
+from .repeats import combine, dropped, identified, identify, lone, settle, signed, stored, with_first
 from .textarrays import BASES, Prefix, Texts, mix, spans_cover, texts_of
 
 MATCH = 200
@@ -49,6 +52,9 @@ REACH = MATCH - GRAM + 1        # gram starts in a window
 STRIDE = 17
 BATCHES = 4
 SEGMENT = 1 << 23               # bytes whose minima are found at once
+LEAST_BUCKETS = 16
+BUCKET_BYTES = 1 << 29         # text bytes whose suffixes make one bucket of the family
+ORDER_CONF = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _U = np.uint64
 
 
@@ -98,53 +104,78 @@ def entry_rows(it):
 
 
 class Levels:
-    """A family of sorted runs of suffixes in the shared folder."""
+    """A family of sorted runs of suffixes, as bucketed tables in the shared folder.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, scratch_dir(spark, "suffix-levels")
+    A run is dealt to ``buckets`` by key and each bucket is one sorted file, so a
+    new run meets a level by a merge join of sorted files, bucket by bucket:
+    neither side is shuffled. All runs have the same buckets.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int = LEAST_BUCKETS):
+        self.spark, self.root, self.buckets = spark, scratch_dir(spark, "suffix-levels"), buckets
         self.runs: list[tuple[int, DataFrame]] = []
         self.marks: list[DataFrame] = []
-        self.written = 0
+        self.tables: dict[int, str] = {}
 
     def _write(self, df: DataFrame) -> DataFrame:
-        self.written += 1
-        path = f"{self.root}/{self.written}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        name = f"suffix_run_{uuid.uuid4().hex}"
+        (df.repartition(self.buckets, "key").sortWithinPartitions("key")
+         .write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.root}/{name}").saveAsTable(name))
+        run = self.spark.table(name)
+        self.tables[id(run)] = name
+        return run
+
+    def _drop(self, run: DataFrame) -> None:
+        dropped(run)
+        self.spark.sql(f"DROP TABLE {self.tables.pop(id(run))}")
 
     def _carry(self) -> None:
-        """Merges runs of equal level until all levels differ."""
+        """Merges runs of equal level until all levels differ; what was merged is deleted."""
         self.runs.sort(key=lambda r: r[0])
         while len(self.runs) > 1 and self.runs[0][0] == self.runs[1][0]:
             (level, a), (_, b) = self.runs[:2]
-            merged = a.unionByName(b).repartition("key").sortWithinPartitions("key")
-            self.runs = sorted([(level + 1, self._write(merged)), *self.runs[2:]], key=lambda r: r[0])
+            merged = self._write(a.unionByName(b))
+            self.runs = sorted([(level + 1, merged), *self.runs[2:]], key=lambda r: r[0])
+            self._drop(a)
+            self._drop(b)
 
     def insert(self, batch: DataFrame) -> None:
-        """Adds a batch (u, t): its suffixes as a run, scanned against all others."""
+        """Adds a batch (u, t): its suffixes as a run, merge-scanned against itself and all others."""
         self._carry()
-        rows = map_arrow(batch.select("u", "t"), entry_rows, "key long, u long, pos int, known boolean")
-        by = Window.partitionBy("key")                  # one shuffle and sort by key
-        run = rows.withColumn("known", F.col("known") | (F.count(F.lit(1)).over(by) > 1))
-        run = self._write(run)
-        for _, level in self.runs:
-            sides = run.select("key", F.lit(1).alias("side")).unionByName(level.select("key", F.lit(2).alias("side")))
-            both = sides.groupBy("key").agg(F.bit_or("side").alias("side")).where(F.col("side") == 3)
-            self.marks.append(self._write(both.select("key")))
+        with ordered_scans(self.spark):
+            run = self._write(map_arrow(batch.select("u", "t"), entry_rows, "key long, u long, pos int, known boolean"))
+            keys = run.select("key")
+            self.marks.append(self._write(keys.groupBy("key").count().where("count > 1").select("key")))
+            for _, level in self.runs:
+                self.marks.append(self._write(keys.join(level.select("key").hint("merge"), "key", "left_semi").distinct()))
         self.runs.append((0, run))
 
+    def close(self) -> None:
+        """Deletes all runs and marks."""
+        for run in [r for _, r in self.runs] + self.marks:
+            self._drop(run)
+        self.runs, self.marks = [], []
+
     def shared(self) -> DataFrame:
         """(u, pos) of the suffixes whose key occurs in several places."""
-        entries = None
-        for _, run in self.runs:
-            entries = run if entries is None else entries.unionByName(run)
-        found = entries.where("known").select("u", "pos")
-        if not self.marks:
-            return found
-        marks = self.marks[0]
-        for m in self.marks[1:]:
-            marks = marks.unionByName(m)
-        return found.unionByName(entries.where(~F.col("known")).join(marks, "key", "left_semi").select("u", "pos"))
+        marks = reduce(DataFrame.unionByName, self.marks)
+        found = [run.where("known").select("u", "pos") for _, run in self.runs]
+        found += [run.where(~F.col("known")).join(marks, "key", "left_semi").select("u", "pos") for _, run in self.runs]
+        return reduce(DataFrame.unionByName, found)
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession):
+    """Scans of a bucket that is one file keep the file's order, so a merge join sorts nothing."""
+    before = spark.conf.get(ORDER_CONF, None)
+    spark.conf.set(ORDER_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ORDER_CONF)
+        else:
+            spark.conf.set(ORDER_CONF, before)
 
 
 def digest_rows(it):
@@ -199,16 +230,20 @@ def context_rows(it):
 def strides_settled(rows: DataFrame) -> DataFrame:
     """(u, code): strides whose windows all match (bit 0), and those whose windows
     are compared one by one (bit 1): where a core has unlike hulls, every stride
-    that no equal hull decides, and one of each that are equal."""
-    core, same = Window.partitionBy("key"), Window.partitionBy("key", "hull")
-    df = (rows.withColumn("n", F.count(F.lit(1)).over(core)).withColumn("hulls", F.count("hull").over(core))
-          .withColumn("low", F.min("hull").over(core)).withColumn("high", F.max("hull").over(core))
-          .withColumn("equal", F.count(F.lit(1)).over(same))
-          .withColumn("head", F.min(F.struct("u", "pos")).over(same)))
-    all_match = F.col("hull").isNotNull() & (F.col("known") | (F.col("equal") > 1))
+    that no equal hull decides, and one of each that are equal.
+
+    Cores and hulls are counted by grouping, reduced before the shuffle, and joined
+    back by both, so a core that a third of the strides share is in no single task.
+    ``rows`` is read twice: a stored table."""
+    same = rows.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("u", "pos")).alias("head"))
+    core = same.groupBy("key").agg(F.sum("equal").alias("n"), F.coalesce(F.sum(F.when(F.col("hull").isNotNull(), F.col("equal"))), F.lit(0)).alias("hulls"),
+                                   F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
     unlike = (F.col("hulls") < F.col("n")) | (F.col("low") != F.col("high"))
+    facts = same.join(core.select("key", unlike.alias("unlike")), "key").withColumnsRenamed({"key": "key_", "hull": "hull_"})
+    df = rows.join(facts, (F.col("key") == F.col("key_")) & F.col("hull").eqNullSafe(F.col("hull_")), "left")
+    all_match = F.col("hull").isNotNull() & (F.col("known") | (F.coalesce("equal", F.lit(1)) > 1))
     head = (F.col("head.u") == F.col("u")) & (F.col("head.pos") == F.col("pos"))
-    open_ = (F.col("n") > 1) & unlike & (~all_match | head)
+    open_ = F.coalesce(F.col("unlike") & (~all_match | head), F.lit(False))
     code = F.col("pos").cast("long") * 256 + F.col("k") * 4 + F.when(all_match, 1).otherwise(0) + F.when(open_, 2).otherwise(0)
     return df.where(all_match | open_).select("u", code.alias("code"))
 
@@ -276,15 +311,18 @@ def _dedup(base: DataFrame, batches: int) -> DataFrame:
     kind = base.schema["doc_id"].dataType.simpleString()
     seen = stored(map_arrow(base, digest_rows, f"u long, d long, copies long, doc_id {kind}, n_bytes long, digest binary"), "suffix-texts")
     seen = with_first(seen, "digest", F.sum("copies").alias("members"))
-    index = Levels(spark)
+    size = seen.agg(F.sum("n_bytes")).first()[0] or 0
+    index = Levels(spark, max(LEAST_BUCKETS, 1 + size // BUCKET_BYTES))
     for b in range(batches):
         index.insert(base.where(F.pmod(F.xxhash64("u"), F.lit(batches)) == b))
     places = index.shared().groupBy("u").agg(F.collect_list("pos").alias("places"))
     firsts = seen.where(F.col("u") == F.col("rep")).select("u")
     texts = stored(base.select("u", "t").join(places.join(firsts, "u", "left_semi"), "u"), "suffix-candidates")
-    context = map_arrow(texts, context_rows, "key long, hull long, u long, pos int, k int, known boolean")
+    index.close()
+    context = stored(map_arrow(texts, context_rows, "key long, hull long, u long, pos int, k int, known boolean"), "suffix-strides")
     hits = strides_settled(context).groupBy("u").agg(F.collect_list("code").alias("hits"))
-    texts = stored(texts.join(hits, "u"), "suffix-contexts")
+    candidates, texts = texts, stored(texts.join(hits, "u"), "suffix-contexts")
+    dropped(context, candidates)
     windows = settle(map_arrow(texts, window_rows, "key long, u long, pos int, known boolean"))
     singles = windows.where(F.col("known") | (F.col("n") > 1)).groupBy("u").agg(F.collect_list("pos").alias("singles"))
     cut = map_arrow(texts.join(singles, "u", "left").withColumn("singles", F.coalesce("singles", F.array().cast("array<int>"))), cut_rows,
