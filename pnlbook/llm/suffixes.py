@@ -37,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pnlbook.session import scratch_dir
@@ -209,7 +209,9 @@ def strides(t: Texts, doc, place, first, last):
 def context_rows(it):
     """One row for each stride of the shared suffixes: ``key`` its core, ``hull``
     its hull (null where that leaves the text), ``pos`` the suffix, ``k`` the stride.
-    Strides of a slice with one hull are settled but for the first."""
+    Strides of a slice with one hull are settled but for the first. Where a core has
+    several hulls in a slice all are ``unlike``, and only the first stays under the core's
+    key, the others under core and hull: no core has more than a row for each slice."""
     for batch in it:
         for part in slices(batch, "t"):
             u = part.column("u").to_numpy()
@@ -223,27 +225,31 @@ def context_rows(it):
             owner, pos = u[doc[row]], place[row] - t.at[doc[row]]
             both = np.where(fits, mix(core + hull), lone(owner, pos * 64 + k))
             key, known = combine(both, owner, pos * 64 + k)
-            yield {"key": signed(np.where(key == both, core, key)), "hull": pa.array(signed(hull), pa.int64(), mask=~fits),
-                   "u": owner, "pos": pos.astype(np.int32), "k": k.astype(np.int32), "known": known}
+            on = np.flatnonzero(key == both)
+            on = on[np.argsort(core[on], kind="stable")]
+            new = np.ones(len(on), bool)
+            new[1:] = core[on[1:]] != core[on[:-1]]
+            n = np.diff(np.append(np.flatnonzero(new), len(on)))
+            unlike = np.zeros(len(key), bool)
+            unlike[on] = np.repeat(n > 1, n)
+            key[on[new]] = core[on[new]]
+            yield {"key": signed(key), "hull": pa.array(signed(hull), pa.int64(), mask=~fits),
+                   "u": owner, "pos": pos.astype(np.int32), "k": k.astype(np.int32), "known": known, "unlike": unlike}
 
 
 def strides_settled(rows: DataFrame) -> DataFrame:
     """(u, code): strides whose windows all match (bit 0), and those whose windows
     are compared one by one (bit 1): where a core has unlike hulls, every stride
-    that no equal hull decides, and one of each that are equal.
-
-    Cores and hulls are counted by grouping, reduced before the shuffle, and joined
-    back by both, so a core that a third of the strides share is in no single task.
-    ``rows`` is read twice: a stored table."""
-    same = rows.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("u", "pos")).alias("head"))
-    core = same.groupBy("key").agg(F.sum("equal").alias("n"), F.coalesce(F.sum(F.when(F.col("hull").isNotNull(), F.col("equal"))), F.lit(0)).alias("hulls"),
-                                   F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
-    unlike = (F.col("hulls") < F.col("n")) | (F.col("low") != F.col("high"))
-    facts = same.join(core.select("key", unlike.alias("unlike")), "key").withColumnsRenamed({"key": "key_", "hull": "hull_"})
-    df = rows.join(facts, (F.col("key") == F.col("key_")) & F.col("hull").eqNullSafe(F.col("hull_")), "left")
-    all_match = F.col("hull").isNotNull() & (F.col("known") | (F.coalesce("equal", F.lit(1)) > 1))
+    that no equal hull decides, and one of each that are equal."""
+    core, same = Window.partitionBy("key"), Window.partitionBy("key", "hull")
+    df = (rows.withColumn("n", F.count(F.lit(1)).over(core)).withColumn("hulls", F.count("hull").over(core))
+          .withColumn("low", F.min("hull").over(core)).withColumn("high", F.max("hull").over(core))
+          .withColumn("mixed", F.max("unlike").over(core)).withColumn("equal", F.count(F.lit(1)).over(same))
+          .withColumn("head", F.min(F.struct("u", "pos")).over(same)))
+    all_match = F.col("hull").isNotNull() & (F.col("known") | (F.col("equal") > 1))
+    unlike = (F.col("hulls") < F.col("n")) | (F.col("low") != F.col("high")) | F.col("mixed")
     head = (F.col("head.u") == F.col("u")) & (F.col("head.pos") == F.col("pos"))
-    open_ = F.coalesce(F.col("unlike") & (~all_match | head), F.lit(False))
+    open_ = ((F.col("n") > 1) | F.col("unlike")) & unlike & (~all_match | head)
     code = F.col("pos").cast("long") * 256 + F.col("k") * 4 + F.when(all_match, 1).otherwise(0) + F.when(open_, 2).otherwise(0)
     return df.where(all_match | open_).select("u", code.alias("code"))
 
@@ -319,10 +325,10 @@ def _dedup(base: DataFrame, batches: int) -> DataFrame:
     firsts = seen.where(F.col("u") == F.col("rep")).select("u")
     texts = stored(base.select("u", "t").join(places.join(firsts, "u", "left_semi"), "u"), "suffix-candidates")
     index.close()
-    context = stored(map_arrow(texts, context_rows, "key long, hull long, u long, pos int, k int, known boolean"), "suffix-strides")
+    context = map_arrow(texts, context_rows, "key long, hull long, u long, pos int, k int, known boolean, unlike boolean")
     hits = strides_settled(context).groupBy("u").agg(F.collect_list("code").alias("hits"))
     candidates, texts = texts, stored(texts.join(hits, "u"), "suffix-contexts")
-    dropped(context, candidates)
+    dropped(candidates)
     windows = settle(map_arrow(texts, window_rows, "key long, u long, pos int, known boolean"))
     singles = windows.where(F.col("known") | (F.col("n") > 1)).groupBy("u").agg(F.collect_list("pos").alias("singles"))
     cut = map_arrow(texts.join(singles, "u", "left").withColumn("singles", F.coalesce("singles", F.array().cast("array<int>"))), cut_rows,

@@ -68,3 +68,38 @@ def test_runs_merge_geometrically(spark):
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     run(spark, rows, 2)
+
+
+@pytest.mark.parametrize("rows_in_slice", [1, 3, 20_000])
+def test_cores_with_unlike_surroundings(spark, rows_in_slice):
+    """One passage in all texts, of about a window's length, between bytes that differ or agree: however the texts fall into slices."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(214))
+    rows = []
+    for i in range(60):
+        cut = passage[rnd.randrange(12):]
+        left, right = (rnd.choice(["", "p", "qq", "".join(rnd.choice("uvw") for _ in range(30))]) for _ in range(2))
+        rows.append((i, left + cut + right))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"       # a batch is a slice at most
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, rows_in_slice)
+    try:
+        got = [tuple(r) for r in suffixes.digests(suffixes.dedup(df, 2)).collect()]
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(got) == sorted(byte_dedup(rows))
+
+
+def test_levels_meet_by_merging_files(spark):
+    index = suffixes.Levels(spark)
+    docs = spark.createDataFrame(planted(9), "u long, t string").fillna("")
+    for b in range(3):
+        index.insert(docs.where(F.col("u") % 3 == b))
+    (_, a), (_, b) = index.runs
+    keys = a.select("key").join(b.select("key").hint("merge"), "key", "left_semi")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    names = set(index.tables.values())
+    index.close()
+    assert len(names) == len(index.tables) + 7 and not names & {t.name for t in spark.catalog.listTables()}
