@@ -103,3 +103,17 @@ def test_levels_meet_by_merging_files(spark):
     names = set(index.tables.values())
     index.close()
     assert len(names) == len(index.tables) + 7 and not names & {t.name for t in spark.catalog.listTables()}
+
+
+def test_a_bucket_is_one_file(spark, monkeypatch):
+    """Also where the session deals to more partitions than asked for."""
+    frame = type(spark.range(1))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: plain(self, max(n, 61), *cols))
+    index = suffixes.Levels(spark)
+    docs = spark.createDataFrame(planted(9), "u long, t string").fillna("")
+    for b in range(3):
+        index.insert(docs.where(F.col("u") % 3 == b))
+    for run in [r for _, r in index.runs] + index.marks:
+        assert len(run.inputFiles()) <= index.buckets
+    index.close()
