@@ -167,3 +167,17 @@ def test_few_users_are_pushed_down(spark, tmp_dir):
     some = spark.createDataFrame([(3,), (4,)], "user_id INT")
     plan = jobs.for_users(live.read_sums(spark, root, "days"), some)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(user_id, [3,4])]" in plan
+
+
+def test_both_states_come_from_one_pass(spark, tmp_dir):
+    """Not a plan for each state, and no column that no sum needs."""
+    root = os.path.join(tmp_dir, "live")
+    users = spark.createDataFrame([(1,), (2,)], "id INT")
+    live.write_batch(frame(spark, [change(k, "I", 1 + k % 2, k, k, 10, (1,)) for k in range(6)]), 0, users, root)
+    jobs.append_changes(frame(spark, [change(10, "D", 1, 0), change(11, "U", 2, 1, 1, -5, (1, 2)), change(12, "I", 2, 7, 3, 4)]), users, root, 1)
+    deltas = live.day_deltas(jobs.state_changes(spark, root, 1, live.DAY_COLUMNS))
+    plan = deltas._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 3 and "mental" not in plan.split("ReadSchema", 1)[1]
+    days = {(r.user_id, r.account_id, r.date.day): (r.total, float(r.net_pnl)) for r in deltas.collect()}
+    assert days == {(1, None, 1): (-1, -10.0), (1, 1, 1): (-1, -10.0), (2, None, 2): (0, -15.0), (2, 1, 2): (0, -15.0), (2, 2, 2): (1, -5.0),
+                    (2, None, 4): (1, 4.0)}
